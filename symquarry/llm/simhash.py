@@ -109,9 +109,10 @@ def _half_balls(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (src, dst) between distinct fingerprints (column fp) that connect all within 3 bits."""
+    # Spark's size estimates don't know what explode() multiplies: without the hints it would broadcast.
     balls = _half_balls(fps)
     met = balls.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own_max")).where("n > 1 and own_max = 1")
-    flagged = balls.join(met.select("key"), "key").groupBy("fp").agg(
+    flagged = balls.hint("merge").join(met.select("key"), "key").groupBy("fp").agg(
         F.max((F.col("half") == 1).cast("int")).alias("upper"), F.max((F.col("half") == 2).cast("int")).alias("lower")
     )
     near = written(flagged, "simhash-near")
@@ -119,7 +120,7 @@ def links(fps: DataFrame) -> DataFrame:
     one = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)).cast("long") for i in range(64)])
     close = near.select("fp", F.explode(one).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"))
     centre = close.groupBy("v").agg(F.min("fp").alias("c"), F.count("*").alias("n"))
-    inner = close.join(centre.where("n > 1").drop("n"), "v").select("fp", "c")
+    inner = close.hint("merge").join(centre.where("n > 1").drop("n"), "v").select("fp", "c")
 
     odd = near.where(F.bit_count("fp") % 2 == 1)
     low = F.array(*[F.lit(m).cast("long") for m in _TWO_LOW])
@@ -127,7 +128,7 @@ def links(fps: DataFrame) -> DataFrame:
     far = odd.where("upper = 1").select("fp", F.explode(low).alias("m")).union(
         odd.where("lower = 1").select("fp", F.explode(low).alias("m")).select("fp", F.shiftleft("m", 32).alias("m"))
     )
-    outer = far.select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v")).join(centre.select("v", "c"), "v").select("fp", "c")
+    outer = far.select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v")).hint("merge").join(centre.select("v", "c"), "v").select("fp", "c")
     pairs = inner.union(outer).where("fp <> c").distinct()
     return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("c"))) <= 3).select(F.col("fp").alias("src"), F.col("c").alias("dst"))
 
