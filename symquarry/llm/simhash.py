@@ -147,17 +147,108 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     label = nodes.join(member, nodes.fp == member.node).groupBy("component").agg(F.min("rep").alias("least"))
     named = member.join(label, "component").select(F.col("node").alias("fp"), "least")
     reps = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return own.join(reps, "fp").select(
+    # Written, the join with a hot fingerprint's documents is one that adaptive execution can split.
+    return own.join(written(reps, "simhash-reps"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+
+# --- one document of each group of copies ---
+
+#: Shingles of the similarity, the similarity that makes a copy, segments kept per document.
+COPY_SHINGLE, COPY_SIMILARITY, SEGMENTS = 5, 0.8, 12
+#: Full fingerprints of copies differ in no more bits than this (a filter before the exact check).
+COPY_BITS = 20
+_TRAITS = "doc_id long, fp long, words_hash long, segments array<long>"
+
+
+def _segment_hashes(words: list[bytes]) -> list[int]:
+    """Fingerprints of the segments of a document: cut after words that hash to a multiple of 16, 8 to 64 words long.
+
+    Segments depend on the words near them only, so copies share all that no edit touches. The
+    smallest fingerprints are kept: near copies mostly keep the same ones.
+    """
+    join, digest = b" ".join, xxhash.xxh64_intdigest
+    found, start = set(), 0
+    for i, word in enumerate(words):
+        size = i + 1 - start
+        if size >= 64 or (size >= 8 and digest(word) % 16 == 0):
+            found.add(_signed(digest(join(words[start : i + 1]), SEED)))
+            start = i + 1
+    if not found or len(words) - start >= 8:
+        found.add(_signed(digest(join(words[start:]), SEED)))
+    return sorted(found)[:SEGMENTS]
+
+
+def _trait_batches(shingle: int):
+    fingerprint = _hash_batches(shingle)
+
+    def run(batches):
+        for batch in batches:
+            fps = next(fingerprint(iter([batch]))).column(1)
+            hashes, segments = [], []
+            for text in batch.column(1).to_pylist():
+                words = (text or b"").lower().split()
+                hashes.append(_signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)))
+                segments.append(_segment_hashes(words))
+            columns = [batch.column(0), fps, pa.array(hashes, pa.int64()), pa.array(segments, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "words_hash", "segments"])
+
+    return run
+
+
+def _shingle_sets(batches):
+    for batch in batches:
+        sets = []
+        for text in batch.column(1).to_pylist():
+            words = (text or b"").lower().split()
+            parts = [words] if len(words) < COPY_SHINGLE else zip(*(words[i:] for i in range(COPY_SHINGLE)))
+            sets.append([_signed(h) for h in {xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in parts}])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+
+def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, keep_id): classes of documents whose words agree, or whose five-word shingles agree to 0.8 or more.
+
+    Candidates are SimHash links of 3 bits or fewer between whole documents and, since edits that keep
+    that similarity can flip more bits, documents that share a segment's fingerprint; each segment gives
+    a star around its smallest document. Every candidate is checked exactly on its shingle sets.
+    keep_id is the smallest doc_id of the class. Rows without a doc_id take no part.
+    """
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
+    traits = written(picked.mapInArrow(_trait_batches(shingle), _TRAITS), "copies-traits")
+    # Equal words: one node, its smallest document.
+    nodes = traits.groupBy("words_hash").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "segments"), "doc_id").alias("t"))
+    nodes = written(nodes.select("words_hash", "rep", "t.fp", "t.segments"), "copies-nodes")
+    by_fp = written(nodes.groupBy("fp").agg(F.min("rep").alias("first")), "copies-fps")
+    same_fp = nodes.join(by_fp, "fp").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    near = links(by_fp.select("fp"))
+    near = near.join(by_fp.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(by_fp.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst")
+    held = nodes.select("rep", "fp", F.explode("segments").alias("segment"))
+    star = held.groupBy("segment").agg(F.min(F.struct("rep", "fp")).alias("s"), F.count("*").alias("n")).where("n > 1")
+    shared = held.hint("merge").join(star, "segment").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("s.fp"))) <= COPY_BITS)
+    pairs = same_fp.union(near.select("a", "b")).union(shared.select(F.col("rep").alias("a"), F.col("s.rep").alias("b")))
+    pairs = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "copies-pairs")
+    asked = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "copies-asked")
+    sets = picked.select(F.col("doc_id").alias("id"), "text").join(asked, "id").mapInArrow(_shingle_sets, "id long, shingles array<long>")
+    sets = written(sets, "copies-shingles")
+    checked = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(
+        sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"
+    )
+    both = F.size(F.array_intersect("x", "y"))
+    alike = both >= F.lit(COPY_SIMILARITY) * (F.size("x") + F.size("y") - both)
+    classes = connected_components(checked.where(alike).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    label = nodes.join(classes, nodes.rep == classes.node, "left").select("words_hash", F.coalesce("component", "rep").alias("keep_id"))
+    return traits.select("doc_id", "words_hash").join(written(label, "copies-labels"), "words_hash").select("doc_id", "keep_id")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their class, with the columns of ``docs``.
+    """The rows of ``docs`` that are the smallest doc_id of their class of copies, with the columns of ``docs``.
 
     Rows without a doc_id stay; rows that repeat the smallest doc_id of a class all stay. Only ids
     of the rows that go are joined back.
     """
-    classes = near_duplicate_classes(docs, id_col, text_col, shingle)
-    gone = written(classes.where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
+    classes = copy_classes(docs, id_col, text_col, shingle)
+    gone = written(classes.where("doc_id > keep_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
