@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symquarry.llm.fm_index import FmIndex
+from symquarry.llm.store import parts
 
 WINDOW = 10
 #: Byte table: ASCII outside 0-9 and a-z becomes a space (after lower-casing).
@@ -87,7 +88,7 @@ def _found(windows: Windows, texts: pa.Array) -> tuple[list, list, list]:
 
 def _scan(windows: Windows):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 4096):
             counts, spans, items = _found(windows, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, _TYPE.field(2).type), pa.array(items, _TYPE.field(3).type)],
@@ -99,7 +100,7 @@ def _scan(windows: Windows):
 
 def _unhit(windows: Windows, column: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 4096):
             spans = _found(windows, batch.column(column).cast(pa.binary()))[1]
             yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
 

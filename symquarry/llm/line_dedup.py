@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symquarry.llm.store import written
+from symquarry.llm.store import parts, written
 
 RUN, LONG_WORDS = 3, 20
 _SELECTED = "doc_id long, fp long, before array<long>, after array<long>, before_at array<int>, after_at array<int>, at int, long_line boolean"
@@ -47,7 +47,7 @@ def _select(run: int, long_words: int):
             yield doc_id, h[i], h[lo:i], h[i + 1 : hi], at[lo:i], at[i + 1 : hi], at[i], i in long_
 
     def run_batches(batches):
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if doc_id is not None:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symquarry.llm.store import written
+from symquarry.llm.store import parts, written
 from symquarry.llm.toxicity import held_out, logistic
 
 FEATURES = 14
@@ -50,7 +50,7 @@ def _measured(coefficients: np.ndarray | None):
     """Batches of (keys..., text): features with the label, or the evidence in log odds."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             rows = [statistics(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             keys, names = batch.columns[:-1], batch.schema.names[:-1]
             if coefficients is None:
@@ -106,14 +106,14 @@ def score(docs: DataFrame, coefficients: np.ndarray, *, site: Column, section: C
     schema = "doc_id long, site string, section string, z double"
     rows = written(rows.mapInArrow(_measured(coefficients), schema), "quality-evidence")
     p = 1 / (1 + F.exp(-F.col("z")))
-    parts = written(rows.groupBy("site", "section").agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("p"), F.sum(p * p).alias("pp")), "quality-groups")
-    total = parts.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
+    groups = written(rows.groupBy("site", "section").agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("p"), F.sum(p * p).alias("pp")), "quality-groups")
+    total = groups.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
     mean = total.p / total.n if total.n else 0.5
-    sites = parts.groupBy("site").agg(*[F.sum(c).alias(c) for c in ("n", "p", "pp")]).withColumn("mean", F.lit(mean))
+    sites = groups.groupBy("site").agg(*[F.sum(c).alias(c) for c in ("n", "p", "pp")]).withColumn("mean", F.lit(mean))
     k1 = _strength(sites, "mean")
     sites = sites.select("site", ((F.lit(k1 * mean) + F.col("p")) / (F.lit(k1) + F.col("n"))).alias("site_posterior"))
     same = lambda a, b, c: F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
-    both = parts.alias("g").join(sites.alias("s"), same("g", "s", "site")).select("g.*", "site_posterior")
+    both = groups.alias("g").join(sites.alias("s"), same("g", "s", "site")).select("g.*", "site_posterior")
     k2 = _strength(both, "site_posterior")
     both = both.select("site", "section", "site_posterior", ((F.lit(k2) * F.col("site_posterior") + F.col("p")) / (F.lit(k2) + F.col("n"))).alias("section_posterior"))
     out = rows.alias("d").join(both.alias("g"), same("d", "g", "site") & same("d", "g", "section"))

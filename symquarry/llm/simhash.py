@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symquarry.llm.components import connected_components
-from symquarry.llm.store import written
+from symquarry.llm.store import parts, written
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
@@ -67,7 +67,7 @@ def _hash_batches(shingle: int):
     join, digest = b" ".join, xxhash.xxh64_intdigest
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             hashes, ends = array("Q"), []
             for text in batch.column(1).to_pylist():
                 words = (text or b"").lower().split()
@@ -185,7 +185,7 @@ def _trait_batches(shingle: int):
     fingerprint = _hash_batches(shingle)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             fps = next(fingerprint(iter([batch]))).column(1)
             hashes, segments = [], []
             for text in batch.column(1).to_pylist():
@@ -199,12 +199,12 @@ def _trait_batches(shingle: int):
 
 
 def _shingle_sets(batches):
-    for batch in batches:
+    for batch in parts(batches):
         sets = []
         for text in batch.column(1).to_pylist():
             words = (text or b"").lower().split()
-            parts = [words] if len(words) < COPY_SHINGLE else zip(*(words[i:] for i in range(COPY_SHINGLE)))
-            sets.append([_signed(h) for h in {xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in parts}])
+            grams = [words] if len(words) < COPY_SHINGLE else zip(*(words[i:] for i in range(COPY_SHINGLE)))
+            sets.append([_signed(h) for h in {xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in grams}])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 

@@ -57,3 +57,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def parts(batches, rows: int = 512):
+    """Arrow batches in slices: what Python holds of a batch follows the slice, not Spark's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

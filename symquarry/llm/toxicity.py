@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symquarry.llm.store import written
+from symquarry.llm.store import parts, written
 from symquarry.llm.transducers import INSULT, NEGATED, NEGATION, OTHER, REPORT, REPORTED, TARGET, TARGETED, THREAT, THREATENED, clause_grammar
 
 THREATS = "kill hurt destroy beat stab shoot punish crush töten schlagen vernichten tuer frapper détruire matar golpear destruir"
@@ -44,7 +44,7 @@ def held_out(doc_id: Column) -> Column:
 def _count_words(batches):
     """(word, toxic, clean) document counts of a partition; beginnings end in '*'."""
     toxic, clean = Counter(), Counter()
-    for batch in batches:
+    for batch in parts(batches):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = {w for w in TOKEN.findall((text or "").lower()) if w not in STOPS}
             words |= {w[:n] + "*" for w in words for n in PREFIX_LENGTHS if len(w) > n}
@@ -183,7 +183,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def _measure(grammar: Grammar):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             rows = [grammar.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, id_col: s
 
 def _score(grammar: Grammar):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             scores = [grammar.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -231,7 +231,7 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
 
 def _unflagged(grammar: Grammar, column: int, threshold: float):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             keep = [grammar.score(t) < threshold for t in batch.column(column).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
