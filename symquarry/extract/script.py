@@ -183,13 +183,11 @@ class _Scanner:
                 i = self.annotation(i + 1, end)
             stop = self.declarator_end(i, end)
             if i < end and code[i] == "=" and code[i + 1 : i + 2] != "=" and count:
-                value = code[i + 1 : stop]
-                lead = len(value) - len(value.lstrip())
-                value = value.lstrip()
+                value, written = code[i + 1 : stop].lstrip(), self.raw[i + 1 : stop].lstrip()
                 line_at = m.start() if pos == m.end() else d.start("name")
                 if re.match(rf"(?:async\s+)?(?:function\b|(?:<[^=]*>\s*)?\(|{_ID}\s*=>)", value) and self.is_function(value):
                     self.add(line_at, "func", d["name"], scope)
-                elif m["bind"] == "const" and _LITERAL.match(self.raw[i + 1 + lead : stop] + "\n") and self.is_literal(value):
+                elif m["bind"] == "const" and _LITERAL.match(written + "\n") and self.is_literal(value):
                     self.add(line_at, "const", d["name"], scope)
             if stop < end and code[stop] == ",":
                 pos = stop + 1
@@ -216,6 +214,8 @@ class _Scanner:
     def declarator_end(self, pos: int, end: int) -> int:
         stop = self.skip(pos, end)
         code, i = self.code, pos
+        generic = re.compile(r"=\s*(?:async\s*)?<[^=()]*>(?=\s*\()").match(code, pos, stop) if self.typed else None
+        i = generic.end() if generic else i
         while i < stop:
             if code[i] in "{[(":
                 i = closing(code, i, {"{": "{}", "[": "[]", "(": "()"}[code[i]])
