@@ -62,4 +62,28 @@ QUERIES = {
         op1_mixing, op2_neighbours, op3_toxicity, op4_sharding, op5_simhash, op6_secrets, op7_lines, op8_decontaminate, op9_warc, op10_quality,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BASE32 = f"'{_UPPER}234567'[((('0x' || substr(sha1(payload), (5 * j // 4 + 1)::int, 2))::int >> (3 - 5 * j % 4)::int) & 31) + 1]"
+
+#: DuckDB SQL for the operators that it can express: exact results that need no learned or seeded part.
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontaminate": f"""
+with items as (select item_id::varchar as item, w from (select item_id, {_WORDS} as w from benchmark) where len(w) > 0),
+windows as (select distinct item, least(len(w), 10) as size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as phrase
+  from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items)),
+docs as (select doc_id, {_WORDS} as w from documents),
+spots as (select doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') as phrase
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from docs, (select distinct size from windows))),
+hits as (select doc_id, i, s.size, item from spots s join windows x on x.size = s.size and x.phrase = s.phrase),
+covered as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + size)) as k from hits) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs d left join covered c on c.doc_id = d.doc_id left join found f on f.doc_id = d.doc_id""",
+    "op9_warc": f"""
+with p as (select page_id, coalesce(html, '') as payload from pages),
+d as (select *, min(page_id) over (partition by payload) as first, array_to_string(list_transform(range(32), lambda j: {_BASE32}), '') as digest from p)
+select page_id, strlen(payload)::bigint as payload_bytes, digest as payload_digest,
+  case when first = page_id then 'response' else 'revisit' end as record_type, case when first = page_id then null else first end as refers_to from d""",
+}
