@@ -26,7 +26,8 @@ def markdown(text: str) -> list[Symbol]:
             fence, paragraph = f[1], []
             continue
         if m := _ATX.match(line):
-            if name := (m[2] or "").strip().rstrip("#").strip() if (m[2] or "").strip("# ") else "":
+            name = (m[2] or "").strip()
+            if name.strip("#"):
                 out.append(Symbol(n, "heading", name))
             paragraph = []
         elif paragraph and _SETEXT.match(line):

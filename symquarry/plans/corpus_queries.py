@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symquarry.extract.table import extract_symbols
 from symquarry.functions import names, paths
 from symquarry.operators import diff
 from symquarry.plans import parser, render, search, stats
@@ -399,3 +400,31 @@ def regular_file_mode(spark, sf_dir):
     k = F.col("p_partkey")
     mode = paths.octal(F.element_at(F.array(*map(F.lit, _MODES)), (k % 4 + 1).cast("int")))
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(k, paths.is_regular_file(mode).alias("regular"))
+
+
+# --- extraction ---
+
+
+def _as_markdown(spark, sf_dir):
+    content = F.concat(F.lit("# "), "text").cast("binary")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit("markdown").alias("lang"), content.alias("content"))
+
+
+@_query(r"""select doc_id, 1 as line, 'heading' as kind, name from (select doc_id, trim(regexp_replace(trim(string_split(text, chr(10))[1], ' ' || chr(9)), '[ \t]+#+$', ''), ' ' || chr(9)) as name from documents)
+where not regexp_full_match(name, '#*')""")
+def heading_extract(spark, sf_dir):
+    return extract_symbols(_as_markdown(spark, sf_dir)).where("line = 1").select("doc_id", "line", "kind", "name")
+
+
+@_query()
+def extract_symbols_markdown(spark, sf_dir):
+    return extract_symbols(_as_markdown(spark, sf_dir))
+
+
+@_query()
+def extract_symbols_python(spark, sf_dir):
+    """Each part becomes a small module: a constant, a class and a method."""
+    k = F.col("p_partkey").cast("string")
+    source = F.concat(F.lit("LIMIT_"), k, F.lit(" = 1\nclass Part"), k, F.lit(":\n    def size(self):\n        return "), F.col("p_size").cast("string"), F.lit("\n"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.lit("python").alias("lang"), source.cast("binary").alias("content"))
+    return extract_symbols(parts)
