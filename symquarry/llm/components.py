@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symquarry.llm.store import written
+from symquarry.llm.store import discard, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if (row.n, row.h) == mark or not row.n:
             break
         mark = (row.n, row.h)
-        e = written(_small_star(_large_star(e)), "edges")
+        before, e = e, written(_small_star(_large_star(e)), "edges")
+        discard(before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

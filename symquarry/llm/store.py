@@ -52,7 +52,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: its lineage ends there."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more."""
+    _forget(table.sparkSession, table._written_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
