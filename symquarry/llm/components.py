@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symquarry.llm.store import discard, written
+from symquarry.llm.store import discard, split_join, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """Each node's neighbours beside the least of the node and its neighbours: (u, v, m)."""
+    """Each node's neighbours beside the least of the node and its neighbours: (u, v, m); hubs can be split."""
     least = edges.groupBy("u").agg(F.min("v").alias("least_v"))
-    return edges.join(least, "u").select("u", "v", F.least("u", "least_v").alias("m"))
+    return split_join(edges, least, "u").select("u", "v", F.least("u", "least_v").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round is a pair of aggregations and joins whose result is written to the shared folder,
     so that no plan grows and lost executors cost one round. Hot nodes are aggregated map-side, and
-    the joins are plain shuffled joins that adaptive execution may split. Nulls and self links are
+    adaptive execution may split the joins. Nulls and self links are
     ignored; no edges give no rows.
     """
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))

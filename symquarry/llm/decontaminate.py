@@ -21,6 +21,8 @@ from symquarry.llm.fm_index import FmIndex
 from symquarry.llm.store import parts
 
 WINDOW = 10
+#: Bytes of text that one index covers (a longer document has its own).
+BATCH_BYTES = 16 << 20
 #: Byte table: ASCII outside 0-9 and a-z becomes a space (after lower-casing).
 _SPACED = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 _RESULT = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
@@ -88,7 +90,7 @@ def _found(windows: Windows, texts: pa.Array) -> tuple[list, list, list]:
 
 def _scan(windows: Windows):
     def run(batches):
-        for batch in parts(batches, 4096):
+        for batch in parts(batches, 4096, BATCH_BYTES):
             counts, spans, items = _found(windows, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, _TYPE.field(2).type), pa.array(items, _TYPE.field(3).type)],
@@ -100,7 +102,7 @@ def _scan(windows: Windows):
 
 def _unhit(windows: Windows, column: int):
     def run(batches):
-        for batch in parts(batches, 4096):
+        for batch in parts(batches, 4096, BATCH_BYTES):
             spans = _found(windows, batch.column(column).cast(pa.binary()))[1]
             yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symquarry.llm.store import parts, written
+from symquarry.llm.store import parts, split_join, written
 
 RUN, LONG_WORDS = 3, 20
 _SELECTED = "doc_id long, fp long, before array<long>, after array<long>, before_at array<int>, after_at array<int>, at int, long_line boolean"
@@ -66,7 +66,7 @@ def repeated_lines(docs: DataFrame, *, run: int = RUN, long_words: int = LONG_WO
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     chosen = written(rows.mapInArrow(_select(run, long_words), _SELECTED), "lines-selected")
     again = chosen.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    near = chosen.join(again, "fp")
+    near = split_join(chosen, again, "fp")
     # The windows around a selected line: its place in the window runs over all that its context allows.
     line = F.concat("before", F.array("fp"), "after")
     place = F.concat("before_at", F.array("at"), "after_at")
@@ -83,7 +83,7 @@ def repeated_lines(docs: DataFrame, *, run: int = RUN, long_words: int = LONG_WO
     first = grams.groupBy("gram").agg(
         F.min(F.struct("doc_id", F.element_at("p", 1).alias("start"), F.element_at("p", -1).alias("end"))).alias("f"), F.count("*").alias("n")
     )
-    later = grams.join(first.where("n > 1").select("gram", "f"), "gram").where(
+    later = split_join(grams, first.where("n > 1").select("gram", "f"), "gram").where(
         (F.col("doc_id") > F.col("f.doc_id")) | (F.element_at("p", 1) > F.col("f.end"))
     )
     return later.select("doc_id", F.explode("p").alias("line")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))

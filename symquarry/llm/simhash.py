@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symquarry.llm.components import connected_components
-from symquarry.llm.store import parts, written
+from symquarry.llm.store import parts, split_join, written
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
@@ -112,7 +112,7 @@ def links(fps: DataFrame) -> DataFrame:
     # Spark's size estimates don't know what explode() multiplies: without the hints it would broadcast.
     balls = _half_balls(fps)
     met = balls.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own_max")).where("n > 1 and own_max = 1")
-    flagged = balls.hint("merge").join(met.select("key"), "key").groupBy("fp").agg(
+    flagged = split_join(balls.hint("merge"), met.select("key"), "key").groupBy("fp").agg(
         F.max((F.col("half") == 1).cast("int")).alias("upper"), F.max((F.col("half") == 2).cast("int")).alias("lower")
     )
     near = written(flagged, "simhash-near")
@@ -227,7 +227,7 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = near.join(by_fp.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(by_fp.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst")
     held = nodes.select("rep", "fp", F.explode("segments").alias("segment"))
     star = held.groupBy("segment").agg(F.min(F.struct("rep", "fp")).alias("s"), F.count("*").alias("n")).where("n > 1")
-    shared = held.hint("merge").join(star, "segment").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("s.fp"))) <= COPY_BITS)
+    shared = split_join(held.hint("merge"), star, "segment").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("s.fp"))) <= COPY_BITS)
     pairs = same_fp.union(near.select("a", "b")).union(shared.select(F.col("rep").alias("a"), F.col("s.rep").alias("b")))
     pairs = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "copies-pairs")
     asked = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "copies-asked")

@@ -6,7 +6,11 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -66,8 +70,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def parts(batches, rows: int = 512):
-    """Arrow batches in slices: what Python holds of a batch follows the slice, not Spark's batch size."""
+def split_join(rows: DataFrame, keys: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keys``, an aggregate by the long column ``by``, so that a hot key can be split.
+
+    Adaptive execution splits a skewed side only where both sides come straight from an exchange. An
+    aggregate by the join key has none of its own; joining by the complement of the key gives it one.
+    """
+    flip = F.bitwise_not(F.col(by))
+    return rows.withColumn(by, flip).join(keys.withColumn(by, flip), by, how).withColumn(by, flip)
+
+
+def _text_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    held = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        kind = column.type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+            held += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return held
+
+
+def parts(batches, rows: int = 512, size: int = 8 << 20):
+    """Arrow batches in slices of at most ``rows`` rows and about ``size`` bytes of text.
+
+    What Python holds of a batch follows the slice, not Spark's batch size. A row longer than
+    ``size`` is a slice of its own; no row is cut.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        upto = np.cumsum(_text_bytes(batch))
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            fits = int(np.searchsorted(upto, before + size, side="right"))
+            end = min(max(fits, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symquarry.llm.store import new_path, shuffle_partitions, written
+from symquarry.llm.store import new_path, parts, shuffle_partitions, written
 
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 3000
@@ -89,7 +89,7 @@ def _writer(folder: str):
         name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}.warc.gz"
         at, sink = 0, None
         try:
-            for batch in batches:
+            for batch in parts(batches, 2048):
                 rows = []
                 for page, url, html, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first"))):
                     payload = html or b""
@@ -114,7 +114,7 @@ def _writer(folder: str):
 
 def _same_payload(least_bytes: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 2048):
             rows = [h or b"" for h in batch.column(1).to_pylist()]
             groups = [hashlib.sha1(h).digest() + len(h).to_bytes(8, "big") if len(h) >= least_bytes else None for h in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, pa.binary())], names=["page_id", "same"])

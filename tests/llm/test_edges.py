@@ -1,10 +1,11 @@
 """Nulls in any column, empty and long texts, ties and repeated rows, empty tables, clashing columns."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from symquarry.llm import ann, decontaminate, line_dedup, mixing, quality, secrets, sharding, simhash, toxicity, warc
+from symquarry.llm import ann, decontaminate, line_dedup, mixing, quality, secrets, sharding, simhash, store, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size string, shard int, key string, z double, h string, part int"
 ROWS = [
@@ -119,3 +120,18 @@ def test_pipeline_stages(spark):
         sizes[r.shard] = sizes.get(r.shard, 0) + len((r.text or "").encode()) + 1
     assert sorted(sizes) == list(range(8)) and max(sizes.values()) < 1.2 * sum(sizes.values()) / 8
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
+
+
+def test_slices_hold_bounded_text_and_every_row():
+    texts = ["a" * 10, None, "b" * 500, "", "c" * 30, "d" * 30, "e" * 200]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["id", "text"])
+    cut = list(store.parts(iter([batch, batch.slice(0, 0), batch.slice(4)]), rows=3, size=64))
+    assert [p.column(1).to_pylist() for p in cut] == [texts[:2], texts[2:3], texts[3:6], texts[6:], texts[4:6], texts[6:]]
+    assert [p.num_rows for p in store.parts([batch], rows=3)] == [3, 3, 1]
+
+
+def test_split_join_is_the_plain_join(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([7] * 20 + [1, 2, -5, None])], "k long, i int")
+    keys = rows.groupBy("k").agg(F.min("i").alias("first"))
+    pairs = lambda d: sorted(map(tuple, d.select("k", "i", "first").collect()))
+    assert pairs(store.split_join(rows, keys, "k")) == pairs(rows.join(keys, "k"))
