@@ -18,6 +18,7 @@ ever listing the pairs of a group:
 
 from __future__ import annotations
 
+import math
 from array import array
 from itertools import repeat
 
@@ -156,29 +157,25 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 # --- one document of each group of copies ---
 
-#: Shingles of the similarity, the similarity that makes a copy, segments kept per document.
-COPY_SHINGLE, COPY_SIMILARITY, SEGMENTS = 5, 0.8, 12
+#: Words of a shingle and the similarity that makes a copy.
+COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Full fingerprints of copies differ in no more bits than this (a filter before the exact check).
-COPY_BITS = 20
-_TRAITS = "doc_id long, fp long, words_hash long, segments array<long>"
+COPY_BITS = 24
+_TRAITS = "doc_id long, fp long, words_hash long, n long, keys array<long>"
 
 
-def _segment_hashes(words: list[bytes]) -> list[int]:
-    """Fingerprints of the segments of a document: cut after words that hash to a multiple of 16, 8 to 64 words long.
-
-    Segments depend on the words near them only, so copies share all that no edit touches. The
-    smallest fingerprints are kept: near copies mostly keep the same ones.
-    """
+def _shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """Distinct hashes of the shingles of COPY_SHINGLE words, ascending; fewer words are one shingle."""
     join, digest = b" ".join, xxhash.xxh64_intdigest
-    found, start = set(), 0
-    for i, word in enumerate(words):
-        size = i + 1 - start
-        if size >= 64 or (size >= 8 and digest(word) % 16 == 0):
-            found.add(_signed(digest(join(words[start : i + 1]), SEED)))
-            start = i + 1
-    if not found or len(words) - start >= 8:
-        found.add(_signed(digest(join(words[start:]), SEED)))
-    return sorted(found)[:SEGMENTS]
+    if len(words) < COPY_SHINGLE:
+        return np.array([digest(join(words), SEED)], np.uint64)
+    grams = map(join, zip(*(words[i:] for i in range(COPY_SHINGLE))))
+    return np.unique(np.fromiter(map(digest, grams, repeat(SEED)), np.uint64, len(words) - COPY_SHINGLE + 1))
+
+
+def _prefix(hashes: np.ndarray) -> np.ndarray:
+    """The least hashes of a set, as many as it takes for any two sets of COPY_SIMILARITY to share one."""
+    return hashes[: len(hashes) - math.ceil(COPY_SIMILARITY * len(hashes) - 1e-9) + 1]
 
 
 def _trait_batches(shingle: int):
@@ -187,24 +184,22 @@ def _trait_batches(shingle: int):
     def run(batches):
         for batch in parts(batches):
             fps = next(fingerprint(iter([batch]))).column(1)
-            hashes, segments = [], []
+            hashes, sizes, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 words = (text or b"").lower().split()
                 hashes.append(_signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)))
-                segments.append(_segment_hashes(words))
-            columns = [batch.column(0), fps, pa.array(hashes, pa.int64()), pa.array(segments, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "words_hash", "segments"])
+                shingles = _shingle_hashes(words)
+                sizes.append(len(shingles))
+                keys.append(_prefix(shingles).view(np.int64))
+            columns = [batch.column(0), fps, pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "words_hash", "n", "keys"])
 
     return run
 
 
 def _shingle_sets(batches):
     for batch in parts(batches):
-        sets = []
-        for text in batch.column(1).to_pylist():
-            words = (text or b"").lower().split()
-            grams = [words] if len(words) < COPY_SHINGLE else zip(*(words[i:] for i in range(COPY_SHINGLE)))
-            sets.append([_signed(h) for h in {xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in grams}])
+        sets = [_shingle_hashes((text or b"").lower().split()).view(np.int64) for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
@@ -212,22 +207,25 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, keep_id): classes of documents whose words agree, or whose five-word shingles agree to 0.8 or more.
 
     Candidates are SimHash links of 3 bits or fewer between whole documents and, since edits that keep
-    that similarity can flip more bits, documents that share a segment's fingerprint; each segment gives
-    a star around its smallest document. Every candidate is checked exactly on its shingle sets.
+    that similarity can flip more bits, documents that share one of their least shingle hashes: any two
+    that are so similar do (prefix filter). Each such hash gives a star around its smallest document, so
+    a common passage costs a row per document. Every candidate is checked exactly on its shingle sets.
     keep_id is the smallest doc_id of the class. Rows without a doc_id take no part.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
     traits = written(picked.mapInArrow(_trait_batches(shingle), _TRAITS), "copies-traits")
     # Equal words: one node, its smallest document.
-    nodes = traits.groupBy("words_hash").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "segments"), "doc_id").alias("t"))
-    nodes = written(nodes.select("words_hash", "rep", "t.fp", "t.segments"), "copies-nodes")
+    nodes = traits.groupBy("words_hash").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "n", "keys"), "doc_id").alias("t"))
+    nodes = written(nodes.select("words_hash", "rep", "t.fp", "t.n", "t.keys"), "copies-nodes")
     by_fp = written(nodes.groupBy("fp").agg(F.min("rep").alias("first")), "copies-fps")
     same_fp = nodes.join(by_fp, "fp").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     near = links(by_fp.select("fp"))
     near = near.join(by_fp.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(by_fp.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst")
-    held = nodes.select("rep", "fp", F.explode("segments").alias("segment"))
-    star = held.groupBy("segment").agg(F.min(F.struct("rep", "fp")).alias("s"), F.count("*").alias("n")).where("n > 1")
-    shared = split_join(held.hint("merge"), star, "segment").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("s.fp"))) <= COPY_BITS)
+    held = nodes.select("rep", "fp", "n", F.explode("keys").alias("key"))
+    star = held.groupBy("key").agg(F.min(F.struct("rep", "fp", "n")).alias("s"), F.count("*").alias("many")).where("many > 1").drop("many")
+    alike_in_size = F.least("n", "s.n") >= F.lit(COPY_SIMILARITY - 1e-9) * F.greatest("n", "s.n")
+    alike_in_bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("s.fp"))) <= COPY_BITS
+    shared = split_join(held.hint("merge"), star, "key").where((F.col("rep") != F.col("s.rep")) & alike_in_size & alike_in_bits)
     pairs = same_fp.union(near.select("a", "b")).union(shared.select(F.col("rep").alias("a"), F.col("s.rep").alias("b")))
     pairs = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "copies-pairs")
     asked = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "copies-asked")

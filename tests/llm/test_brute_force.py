@@ -197,9 +197,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-def test_copies(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+def copies_by_all_pairs(sets):
     parent = {i: i for i in sets}
     held = defaultdict(set)
     for i, s in sets.items():
@@ -213,8 +211,25 @@ def test_copies(spark):
     least = {}
     for i in sets:
         least[find(parent, i)] = min(least.get(find(parent, i), i), i)
+    return {i: least[find(parent, i)] for i in sets}
+
+
+def test_copies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r.keep_id for r in simhash.copy_classes(docs).collect()}
-    assert got == {i: least[find(parent, i)] for i in sets}
+    assert got == copies_by_all_pairs({r.doc_id: shingles(r.text) for r in docs.collect()})
+
+
+def test_short_copies_with_edits_at_either_end(spark, docs):
+    texts = []
+    for n, r in enumerate(docs.where("n_chars > 600").orderBy("doc_id").limit(40).collect()):
+        words = r.text.split()[: 8 + n]
+        texts += [words, [*words, "more"], ["more", *words[:-1]], [*words[:-2], "two", "other"], [*words[:4], "inside", *words[4:]]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = {r.doc_id: r.keep_id for r in simhash.copy_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = copies_by_all_pairs({i: shingles(t) for i, t in rows})
+    assert len(set(expected.values())) < 180  # edits that keep the similarity and edits that don't
+    assert got == expected
 
 
 def brute_spans(text):
