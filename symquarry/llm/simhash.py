@@ -221,12 +221,16 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same_fp = nodes.join(by_fp, "fp").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     near = links(by_fp.select("fp"))
     near = near.join(by_fp.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(by_fp.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst")
-    held = nodes.select("rep", "fp", "n", F.explode("keys").alias("key"))
-    star = held.groupBy("key").agg(F.min(F.struct("rep", "fp", "n")).alias("s"), F.count("*").alias("many")).where("many > 1").drop("many")
-    alike_in_size = F.least("n", "s.n") >= F.lit(COPY_SIMILARITY - 1e-9) * F.greatest("n", "s.n")
-    alike_in_bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("s.fp"))) <= COPY_BITS
-    shared = split_join(held.hint("merge"), star, "key").where((F.col("rep") != F.col("s.rep")) & alike_in_size & alike_in_bits)
-    pairs = same_fp.union(near.select("a", "b")).union(shared.select(F.col("rep").alias("a"), F.col("s.rep").alias("b")))
+    # Only ids move with the keys; what the filter needs is joined to the distinct pairs.
+    held = nodes.select("rep", F.explode("keys").alias("key"))
+    star = held.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("last")).where("c < last").drop("last")
+    shared = split_join(held.hint("merge"), star, "key").where("rep <> c").select("rep", "c").distinct()
+    trait = lambda name: nodes.select(F.col("rep").alias(name), F.struct("fp", "n").alias(f"{name}_t"))
+    shared = shared.join(trait("rep"), "rep").join(trait("c"), "c")
+    alike_in_size = F.least("rep_t.n", "c_t.n") >= F.lit(COPY_SIMILARITY - 1e-9) * F.greatest("rep_t.n", "c_t.n")
+    alike_in_bits = F.bit_count(F.col("rep_t.fp").bitwiseXOR(F.col("c_t.fp"))) <= COPY_BITS
+    shared = shared.where(alike_in_size & alike_in_bits)
+    pairs = same_fp.union(near.select("a", "b")).union(shared.select(F.col("rep").alias("a"), F.col("c").alias("b")))
     pairs = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "copies-pairs")
     asked = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "copies-asked")
     sets = picked.select(F.col("doc_id").alias("id"), "text").join(asked, "id").mapInArrow(_shingle_sets, "id long, shingles array<long>")
