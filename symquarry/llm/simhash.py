@@ -25,7 +25,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symquarry.llm.components import connected_components
@@ -159,8 +159,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 #: Words of a shingle and the similarity that makes a copy.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
-#: Full fingerprints of copies differ in no more bits than this (a filter before the exact check).
+#: Pairs that meet at a hub and differ in no more bits are checked first; the others are not dropped, only left for later.
 COPY_BITS = 24
+#: One document in so many is counted to find common shingles, of which at most so many are kept.
+COMMON_ONE_IN, COMMON_KEPT = 16, 250_000
 _TRAITS = "doc_id long, fp long, words_hash long, n long, keys array<long>"
 
 
@@ -173,12 +175,38 @@ def _shingle_hashes(words: list[bytes]) -> np.ndarray:
     return np.unique(np.fromiter(map(digest, grams, repeat(SEED)), np.uint64, len(words) - COPY_SHINGLE + 1))
 
 
-def _prefix(hashes: np.ndarray) -> np.ndarray:
-    """The least hashes of a set, as many as it takes for any two sets of COPY_SIMILARITY to share one."""
-    return hashes[: len(hashes) - math.ceil(COPY_SIMILARITY * len(hashes) - 1e-9) + 1]
+def _prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first hashes of a set, as many as it takes for any two sets of COPY_SIMILARITY to share one.
+
+    The order is one for all sets: by the level of commonness, then by hash. Any such order finds all
+    pairs; with common shingles last, few dissimilar sets meet.
+    """
+    size = len(hashes) - math.ceil(COPY_SIMILARITY * len(hashes) - 1e-9) + 1
+    known, level = common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = hashes[np.argsort(np.where(known[at] == hashes, level[at], 0), kind="stable")]
+    return hashes[:size]
+
+
+def _all_shingles(batches):
+    for batch in parts(batches):
+        sets = [_shingle_hashes((text or b"").lower().split()).view(np.int64) for text in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["key"])
 
 
-def _trait_batches(shingle: int):
+def _common_shingles(picked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, levels) of shingles that several sampled documents hold. They only order the keys."""
+    sample = picked.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_ONE_IN)) == 0).select("text")
+    counts = sample.mapInArrow(_all_shingles, "key long").groupBy("key").count().where("count > 1")
+    rows = counts.orderBy(F.desc("count"), "key").limit(COMMON_KEPT).toArrow()
+    known = rows.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    level = np.log2(rows.column("count").to_numpy().astype(np.float64)).astype(np.uint8)
+    order = np.argsort(known)
+    return known[order], level[order]
+
+
+def _trait_batches(shingle: int, common: tuple[np.ndarray, np.ndarray]):
     fingerprint = _hash_batches(shingle)
 
     def run(batches):
@@ -190,7 +218,7 @@ def _trait_batches(shingle: int):
                 hashes.append(_signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)))
                 shingles = _shingle_hashes(words)
                 sizes.append(len(shingles))
-                keys.append(_prefix(shingles).view(np.int64))
+                keys.append(_prefix(shingles, common).view(np.int64))
             columns = [batch.column(0), fps, pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "words_hash", "n", "keys"])
 
@@ -203,44 +231,110 @@ def _shingle_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
+def _alike(picked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst): the pairs (a, b) whose shingle sets have COPY_SIMILARITY, checked exactly."""
+    asked = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "copies-asked")
+    sets = picked.select(F.col("doc_id").alias("id"), "text").join(asked, "id").mapInArrow(_shingle_sets, "id long, shingles array<long>")
+    sets = written(sets, "copies-shingles")
+    checked = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(
+        sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"
+    )
+    both = F.size(F.array_intersect("x", "y"))
+    alike = both >= F.lit(COPY_SIMILARITY) * (F.size("x") + F.size("y") - both)
+    return written(checked.where(alike).select(F.col("a").alias("src"), F.col("b").alias("dst")), "copies-links")
+
+
+def _alike_in_size(m: str, n: str) -> Column:
+    return F.least(m, n) >= F.lit(COPY_SIMILARITY - 1e-9) * F.greatest(m, n)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _open_members(members: DataFrame, found: DataFrame) -> tuple[DataFrame, int, int]:
+    """(key, rep, n, fp, comp) of keys that documents of several classes share; their rows and pairs across classes."""
+    classes = written(connected_components(found), "copies-classes")
+    labelled = members.join(classes, members.rep == classes.node, "left").select("key", "rep", "n", "fp", F.coalesce("component", "rep").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    still = written(split_join(labelled, mixed.select("key"), "key"), "copies-open")
+    of_key = still.groupBy("key", "comp").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+    row = of_key.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs")).first()
+    return still, int(row.rows or 0), int(row.pairs or 0)
+
+
+def _star(still: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of the members of each key with one of them, drawn by a hash that changes with ``turn``."""
+    hub = still.groupBy("key").agg(F.min_by(F.struct("rep", "n", "fp", "comp"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("c"))
+    rows = split_join(still, hub, "key").where("comp <> c.comp").where(_alike_in_size("n", "c.n"))
+    return _ordered(_near_hub(rows).select(F.col("rep").alias("a"), F.col("c.rep").alias("b")))
+
+
+def _near_hub(rows: DataFrame) -> DataFrame:
+    return rows.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= COPY_BITS)
+
+
+def _across(still: DataFrame) -> DataFrame:
+    """All pairs (a, b) across classes that share as many keys as COPY_SIMILARITY implies.
+
+    Of two such sets x and y at least 0.8 / 1.8 of the sum of their sizes is shared. The shared hashes up to
+    the end of the prefix that ends first are in both prefixes, and beyond it there are at most
+    ceil(0.8 n) - 1 hashes of its set; the rest has to be among the common keys.
+    """
+    groups = still.groupBy("key", "comp").agg(F.collect_list(F.struct("rep", "n")).alias("m"))
+    x, y = groups.select("key", F.col("comp").alias("p"), F.col("m").alias("x")), groups.select("key", F.col("comp").alias("q"), F.col("m").alias("y"))
+    rows = x.hint("merge").join(y, "key").where("p < q")
+    rows = rows.select("y", F.explode("x").alias("x")).select("x", F.explode("y").alias("y")).where(_alike_in_size("x.n", "y.n"))
+    low, high = F.when(F.col("x.rep") > F.col("y.rep"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.rep") > F.col("y.rep"), F.col("y")).otherwise(F.col("x"))
+    counted = rows.select(low.alias("l"), high.alias("h")).groupBy("l.rep", "l.n", "h.rep", "h.n").agg(F.count("*").alias("shared")).toDF("a", "m", "b", "n", "shared")
+    need = F.lit(COPY_SIMILARITY / (1 + COPY_SIMILARITY)) * (F.col("m") + F.col("n"))
+    beyond = F.ceil(F.lit(COPY_SIMILARITY) * F.greatest("m", "n") - 1e-9) - 1
+    return counted.where(F.col("shared") >= need - beyond - 1e-6).select("a", "b")
+
+
 def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, keep_id): classes of documents whose words agree, or whose five-word shingles agree to 0.8 or more.
 
     Candidates are SimHash links of 3 bits or fewer between whole documents and, since edits that keep
-    that similarity can flip more bits, documents that share one of their least shingle hashes: any two
-    that are so similar do (prefix filter). Each such hash gives a star around its smallest document, so
-    a common passage costs a row per document. Every candidate is checked exactly on its shingle sets.
+    that similarity can flip more bits, documents that share one of the first shingle hashes of their
+    sets: any two that are so similar do (prefix filter). Stars come first: each key's documents with
+    one of them, which joins a large group by a row per document, and again around other documents
+    while that pays. Then all pairs that share a key across the classes found so far are compared,
+    unless they share fewer keys than the similarity implies, so no pair is left out; documents that
+    share a key and are not alike cost a row per pair. Every candidate is checked exactly.
     keep_id is the smallest doc_id of the class. Rows without a doc_id take no part.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
-    traits = written(picked.mapInArrow(_trait_batches(shingle), _TRAITS), "copies-traits")
+    traits = written(picked.mapInArrow(_trait_batches(shingle, _common_shingles(picked)), _TRAITS), "copies-traits")
     # Equal words: one node, its smallest document.
-    nodes = traits.groupBy("words_hash").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "n", "keys"), "doc_id").alias("t"))
-    nodes = written(nodes.select("words_hash", "rep", "t.fp", "t.n", "t.keys"), "copies-nodes")
+    nodes = traits.groupBy("words_hash").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "n"), "doc_id").alias("t"))
+    nodes = written(nodes.select("words_hash", "rep", "t.fp", "t.n"), "copies-nodes")
     by_fp = written(nodes.groupBy("fp").agg(F.min("rep").alias("first")), "copies-fps")
     same_fp = nodes.join(by_fp, "fp").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     near = links(by_fp.select("fp"))
     near = near.join(by_fp.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(by_fp.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst")
-    # Only ids move with the keys; what the filter needs is joined to the distinct pairs.
-    held = nodes.select("rep", F.explode("keys").alias("key"))
-    star = held.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("last")).where("c < last").drop("last")
-    shared = split_join(held.hint("merge"), star, "key").where("rep <> c").select("rep", "c").distinct()
-    trait = lambda name: nodes.select(F.col("rep").alias(name), F.struct("fp", "n").alias(f"{name}_t"))
-    shared = shared.join(trait("rep"), "rep").join(trait("c"), "c")
-    alike_in_size = F.least("rep_t.n", "c_t.n") >= F.lit(COPY_SIMILARITY - 1e-9) * F.greatest("rep_t.n", "c_t.n")
-    alike_in_bits = F.bit_count(F.col("rep_t.fp").bitwiseXOR(F.col("c_t.fp"))) <= COPY_BITS
-    shared = shared.where(alike_in_size & alike_in_bits)
-    pairs = same_fp.union(near.select("a", "b")).union(shared.select(F.col("rep").alias("a"), F.col("c").alias("b")))
-    pairs = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "copies-pairs")
-    asked = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "copies-asked")
-    sets = picked.select(F.col("doc_id").alias("id"), "text").join(asked, "id").mapInArrow(_shingle_sets, "id long, shingles array<long>")
-    sets = written(sets, "copies-shingles")
-    checked = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(
-        sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"
-    )
-    both = F.size(F.array_intersect("x", "y"))
-    alike = both >= F.lit(COPY_SIMILARITY) * (F.size("x") + F.size("y") - both)
-    classes = connected_components(checked.where(alike).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    # Only ids move with the keys; sizes and fingerprints are joined to those that several documents share.
+    held = traits.select("doc_id", F.explode("keys").alias("key"))
+    again = held.groupBy("key").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("last")).where("c < last").select("key")
+    again = split_join(held.hint("merge"), again, "key")
+    members = written(again.join(nodes, again.doc_id == nodes.rep).select("key", "rep", "n", "fp"), "copies-members")
+    hub = members.groupBy("key").agg(F.min_by(F.struct("rep", "n", "fp"), "rep").alias("c"))
+    shared = _near_hub(split_join(members, hub, "key").where("rep <> c.rep").where(_alike_in_size("n", "c.n")))
+    pairs = same_fp.union(near.select("a", "b")).union(shared.select(F.col("rep").alias("a"), F.col("c.rep").alias("b")))
+    done = written(_ordered(pairs), "copies-pairs")
+    found = _alike(picked, done)
+    still, rows, left = _open_members(members, found)
+    turn, before = 0, math.inf
+    # Stars only spare pairs inside large groups: they stop where they don't pay, and all pairs left are compared.
+    while left > 8 * rows and left < 0.9 * before:
+        turn, before = turn + 1, left
+        more = written(_star(still, turn).join(done, ["a", "b"], "left_anti"), "copies-pairs")
+        found, done = found.union(_alike(picked, more)), done.union(more)
+        still, rows, left = _open_members(members, found)
+    if left:
+        rest = written(_across(still).join(done, ["a", "b"], "left_anti"), "copies-pairs")
+        found = found.union(_alike(picked, rest))
+    classes = connected_components(found)
     label = nodes.join(classes, nodes.rep == classes.node, "left").select("words_hash", F.coalesce("component", "rep").alias("keep_id"))
     return traits.select("doc_id", "words_hash").join(written(label, "copies-labels"), "words_hash").select("doc_id", "keep_id")
 

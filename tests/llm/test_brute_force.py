@@ -232,6 +232,19 @@ def test_short_copies_with_edits_at_either_end(spark, docs):
     assert got == expected
 
 
+def test_copies_of_which_a_smaller_document_quotes_parts(spark, docs):
+    rows, texts = [], [r.text.split() for r in docs.where("n_chars > 600").orderBy("doc_id").limit(60).collect()]
+    for n in range(20):
+        quoted, other, third = texts[3 * n : 3 * n + 3]
+        edited = [w if i % 60 != 59 else f"new{i}" for i, w in enumerate(quoted)]
+        at = 10 * n
+        rows += [(at, " ".join(other + quoted + third)), (at + 1, " ".join(quoted)), (at + 2, " ".join(edited))]
+        # A chain: the middle one is alike to both ends, which differ.
+        rows += [(at + 3 + i, " ".join([*third[:50], *(f"end{n}x{w}" for w in range(k, k + 12)), *third[50:100]])) for i, k in enumerate((0, 9, 4))]
+    got = {r.doc_id: r.keep_id for r in simhash.copy_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == copies_by_all_pairs({i: shingles(t) for i, t in rows})
+
+
 def brute_spans(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
