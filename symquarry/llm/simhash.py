@@ -159,8 +159,6 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 #: Words of a shingle and the similarity that makes a copy.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
-#: Pairs that meet at a hub and differ in no more bits are checked first; the others are not dropped, only left for later.
-COPY_BITS = 24
 #: One document in so many is counted to find common shingles, of which at most so many are kept.
 COMMON_ONE_IN, COMMON_KEPT = 16, 250_000
 _TRAITS = "doc_id long, fp long, words_hash long, n long, keys array<long>"
@@ -253,9 +251,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _open_members(members: DataFrame, found: DataFrame) -> tuple[DataFrame, int, int]:
-    """(key, rep, n, fp, comp) of keys that documents of several classes share; their rows and pairs across classes."""
+    """(key, rep, n, comp) of keys that documents of several classes share; their rows and pairs across classes."""
     classes = written(connected_components(found), "copies-classes")
-    labelled = members.join(classes, members.rep == classes.node, "left").select("key", "rep", "n", "fp", F.coalesce("component", "rep").alias("comp"))
+    labelled = members.join(classes, members.rep == classes.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     still = written(split_join(labelled, mixed.select("key"), "key"), "copies-open")
     of_key = still.groupBy("key", "comp").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
@@ -263,33 +261,39 @@ def _open_members(members: DataFrame, found: DataFrame) -> tuple[DataFrame, int,
     return still, int(row.rows or 0), int(row.pairs or 0)
 
 
-def _star(still: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of the members of each key with one of them, drawn by a hash that changes with ``turn``."""
-    hub = still.groupBy("key").agg(F.min_by(F.struct("rep", "n", "fp", "comp"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("c"))
-    rows = split_join(still, hub, "key").where("comp <> c.comp").where(_alike_in_size("n", "c.n"))
-    return _ordered(_near_hub(rows).select(F.col("rep").alias("a"), F.col("c.rep").alias("b")))
+def _enough(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (l, h: structs of rep and n), a row per key, that share as many keys as COPY_SIMILARITY implies.
 
+    Of two such sets at least 0.8 / 1.8 of the sum of their sizes is shared. The shared hashes up to
+    the end of the prefix that ends first are in both prefixes, and beyond it there are at most
+    ceil(0.8 n) - 1 hashes of its set; the rest has to be among the common keys.
+    """
+    counted = rows.groupBy("l.rep", "l.n", "h.rep", "h.n").agg(F.count("*").alias("shared")).toDF("a", "m", "b", "n", "shared")
+    need = F.lit(COPY_SIMILARITY / (1 + COPY_SIMILARITY)) * (F.col("m") + F.col("n"))
+    beyond = F.ceil(F.lit(COPY_SIMILARITY) * F.greatest("m", "n") - 1e-9) - 1
+    return counted.where(F.col("shared") >= need - beyond - 1e-6).select("a", "b")
 
-def _near_hub(rows: DataFrame) -> DataFrame:
-    return rows.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= COPY_BITS)
 
+def _met(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """(l, h) of rows with the structs x and y, of which h has the smaller rep."""
+    over = F.col(f"{x}.rep") > F.col(f"{y}.rep")
+    rows = rows.where(_alike_in_size(f"{x}.n", f"{y}.n"))
+    return rows.select(F.when(over, F.col(x)).otherwise(F.col(y)).alias("l"), F.when(over, F.col(y)).otherwise(F.col(x)).alias("h"))
 
-def _across(still: DataFrame) -> DataFrame:
-    """All pairs (a, b) across classes that share as many keys as COPY_SIMILARITY implies.
 
-    Of two such sets x and y at least 0.8 / 1.8 of the sum of their sizes is shared. The shared hashes up to
-    the end of the prefix that ends first are in both prefixes, and beyond it there are at most
-    ceil(0.8 n) - 1 hashes of its set; the rest has to be among the common keys.
-    """
+def _star(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of each key with its hub c; pairs that share too few keys there are left for later."""
+    rows = split_join(rows, hubs, "key").where("rep <> c.rep").select(F.struct("rep", "n").alias("x"), "c")
+    return _enough(_met(rows, "x", "c"))
+
+
+def _across(still: DataFrame) -> DataFrame:
+    """All pairs (a, b) across classes that share enough keys: every key of such a pair is in ``still``."""
     groups = still.groupBy("key", "comp").agg(F.collect_list(F.struct("rep", "n")).alias("m"))
     x, y = groups.select("key", F.col("comp").alias("p"), F.col("m").alias("x")), groups.select("key", F.col("comp").alias("q"), F.col("m").alias("y"))
     rows = x.hint("merge").join(y, "key").where("p < q")
-    rows = rows.select("y", F.explode("x").alias("x")).select("x", F.explode("y").alias("y")).where(_alike_in_size("x.n", "y.n"))
-    low, high = F.when(F.col("x.rep") > F.col("y.rep"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.rep") > F.col("y.rep"), F.col("y")).otherwise(F.col("x"))
-    counted = rows.select(low.alias("l"), high.alias("h")).groupBy("l.rep", "l.n", "h.rep", "h.n").agg(F.count("*").alias("shared")).toDF("a", "m", "b", "n", "shared")
-    need = F.lit(COPY_SIMILARITY / (1 + COPY_SIMILARITY)) * (F.col("m") + F.col("n"))
-    beyond = F.ceil(F.lit(COPY_SIMILARITY) * F.greatest("m", "n") - 1e-9) - 1
-    return counted.where(F.col("shared") >= need - beyond - 1e-6).select("a", "b")
+    rows = rows.select("y", F.explode("x").alias("x")).select("x", F.explode("y").alias("y"))
+    return _enough(_met(rows, "x", "y"))
 
 
 def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -313,14 +317,13 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same_fp = nodes.join(by_fp, "fp").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     near = links(by_fp.select("fp"))
     near = near.join(by_fp.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(by_fp.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst")
-    # Only ids move with the keys; sizes and fingerprints are joined to those that several documents share.
+    # Only ids move with the keys; sizes are joined to those that several documents share.
     held = traits.select("doc_id", F.explode("keys").alias("key"))
     again = held.groupBy("key").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("last")).where("c < last").select("key")
     again = split_join(held.hint("merge"), again, "key")
-    members = written(again.join(nodes, again.doc_id == nodes.rep).select("key", "rep", "n", "fp"), "copies-members")
-    hub = members.groupBy("key").agg(F.min_by(F.struct("rep", "n", "fp"), "rep").alias("c"))
-    shared = _near_hub(split_join(members, hub, "key").where("rep <> c.rep").where(_alike_in_size("n", "c.n")))
-    pairs = same_fp.union(near.select("a", "b")).union(shared.select(F.col("rep").alias("a"), F.col("c.rep").alias("b")))
+    members = written(again.join(nodes, again.doc_id == nodes.rep).select("key", "rep", "n"), "copies-members")
+    star = _star(members, members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c")))
+    pairs = same_fp.union(near.select("a", "b")).union(star)
     done = written(_ordered(pairs), "copies-pairs")
     found = _alike(picked, done)
     still, rows, left = _open_members(members, found)
@@ -328,7 +331,9 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Stars only spare pairs inside large groups: they stop where they don't pay, and all pairs left are compared.
     while left > 8 * rows and left < 0.9 * before:
         turn, before = turn + 1, left
-        more = written(_star(still, turn).join(done, ["a", "b"], "left_anti"), "copies-pairs")
+        # Another hub, drawn by a hash that changes with the turn.
+        hubs = still.groupBy("key").agg(F.min_by(F.struct("rep", "n"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("c"))
+        more = written(_star(still, hubs).join(done, ["a", "b"], "left_anti"), "copies-pairs")
         found, done = found.union(_alike(picked, more)), done.union(more)
         still, rows, left = _open_members(members, found)
     if left:

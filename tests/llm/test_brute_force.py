@@ -245,6 +245,18 @@ def test_copies_of_which_a_smaller_document_quotes_parts(spark, docs):
     assert got == copies_by_all_pairs({i: shingles(t) for i, t in rows})
 
 
+def test_copies_with_a_phrase_that_repeats(spark, docs):
+    rows = []
+    for n, r in enumerate(docs.where("n_chars > 600").orderBy("doc_id").limit(60).collect()):
+        words = r.text.split()[:150]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words + words[-12:] * 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = {r.doc_id: r.fp for r in simhash.fingerprints(df).collect()}
+    assert any(bin((fps[i] ^ fps[i + 1]) & (1 << 64) - 1).count("1") > 24 for i in range(0, 120, 2))
+    got = {r.doc_id: r.keep_id for r in simhash.copy_classes(df).collect()}
+    assert got == copies_by_all_pairs({i: shingles(t) for i, t in rows})
+
+
 def brute_spans(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
