@@ -132,11 +132,13 @@ def write_archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("binary").alias("html"))
     same = written(rows.select("page_id", "html").mapInArrow(_same_payload(least_bytes), "page_id long, same binary"), "warc-digests")
-    # Only ids of later copies go back to the pages; first copies need nothing.
+    # Only ids and digests of later copies go back to the pages; first copies need nothing.
     least = same.where("same is not null and page_id is not null").groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    later = same.join(least.where("n > 1"), "same").where("page_id > first").select("page_id", "first").distinct()
+    later = same.join(least.where("n > 1"), "same").where("page_id > first")
+    later = later.select("page_id", F.substring("same", 1, 20).alias("sha"), "first").distinct()
+    rows = rows.withColumn("sha", F.unhex(F.sha1(F.coalesce("html", F.lit(b"")))))
     folder = new_path(spark, "warc")
-    manifest = rows.join(later, "page_id", "left").select("page_id", "url", "html", "first").mapInArrow(_writer(folder), _MANIFEST)
+    manifest = rows.join(later, ["page_id", "sha"], "left").select("page_id", "url", "html", "first").mapInArrow(_writer(folder), _MANIFEST)
     return folder, written(manifest, "warc-manifest")
 
 

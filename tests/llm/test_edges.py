@@ -135,3 +135,11 @@ def test_split_join_is_the_plain_join(spark):
     keys = rows.groupBy("k").agg(F.min("i").alias("first"))
     pairs = lambda d: sorted(map(tuple, d.select("k", "i", "first").collect()))
     assert pairs(store.split_join(rows, keys, "k")) == pairs(rows.join(keys, "k"))
+
+
+def test_warc_page_ids_that_repeat_with_other_payloads(spark):
+    rows = [(1, "u", "a"), (5, "u", "a"), (5, "u", "b"), (2, "u", "b"), (5, "u", "c"), (6, "u", None), (7, "u", "")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    expected = [(1, "a", None), (2, "b", None), (5, "a", 1), (5, "b", 2), (5, "c", None), (6, "", None), (7, "", 6)]
+    digest = lambda x: warc.payload_digest(x.encode())
+    assert sorted((r.page_id, r.payload_digest, r.refers_to or 0) for r in got) == sorted((i, digest(x), f or 0) for i, x, f in expected)
