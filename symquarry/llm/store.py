@@ -9,10 +9,15 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _OWN: dict[str, str] = {}
+#: Rows of an Arrow batch: texts of some thousand bytes make a few MB.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,14 +75,48 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def split_join(rows: DataFrame, keys: DataFrame, by: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``keys``, an aggregate by the long column ``by``, so that a hot key can be split.
+def split_join(rows: DataFrame, keys: DataFrame, by: str | list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keys``, an aggregate by the columns ``by``, the first a long, so that a hot key can be split.
 
     Adaptive execution splits a skewed side only where both sides come straight from an exchange. An
     aggregate by the join key has none of its own; joining by the complement of the key gives it one.
     """
-    flip = F.bitwise_not(F.col(by))
-    return rows.withColumn(by, flip).join(keys.withColumn(by, flip), by, how).withColumn(by, flip)
+    by = [by] if isinstance(by, str) else by
+    flip = F.bitwise_not(F.col(by[0]))
+    return rows.withColumn(by[0], flip).join(keys.withColumn(by[0], flip), by, how).withColumn(by[0], flip)
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most ARROW_ROWS rows unless the session sets its own number.
+
+    Spark fills a batch before Python sees any of it, so slices alone don't bound what a task holds.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_ARROW, "10000") == "10000":  # Spark's default
+        conf.set(_ARROW, str(ARROW_ROWS))
+    return df
+
+
+def placed(rows: DataFrame, order: list[Column], sums: dict[str, str], label: str) -> DataFrame:
+    """``rows`` in one global order without one task for all: adds, for each new name in ``sums``, the sum of its column before the row.
+
+    Rows are range-partitioned by ``order``; running sums inside a partition and the totals of the
+    partitions before it, one row each, add up. ``order`` should leave no ties but between equal rows.
+    """
+    n = max(1, shuffle_partitions(rows.sparkSession))
+    ranged = written(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), label)
+    totals = ranged.groupBy("__part").agg(*[F.sum(c).alias(f"__{new}") for new, c in sums.items()])
+    run = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__part", *[F.coalesce(F.sum(f"__{new}").over(run), F.lit(0)).alias(f"__{new}") for new in sums])
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(new) for new, c in sums.items()])
+    both = own.join(totals, "__part")
+    return both.select(*rows.columns, *[(F.col(new) + F.col(f"__{new}")).alias(new) for new in sums])
+
+
+def shared_files(folder: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder below the shared one, for executors' own reads and writes."""
+    return pafs.FileSystem.from_uri(folder)
 
 
 def _text_bytes(batch: pa.RecordBatch) -> np.ndarray:
