@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symquarry.llm.components import connected_components
-from symquarry.llm.store import parts, split_join, written
+from symquarry.llm.store import bounded_batches, discard, parts, split_join, written
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ASCII letters are lower-cased and words split at ASCII white space, over the whole text.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    picked = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return picked.mapInArrow(_hash_batches(shingle), "doc_id long, fp long")
 
 
@@ -154,13 +154,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     )
 
 
-
 # --- one document of each group of copies ---
 
 #: Words of a shingle and the similarity that makes a copy.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
+#: The share of two sets' sizes that sets so similar have in common.
+COPY_SHARED = COPY_SIMILARITY / (1 + COPY_SIMILARITY)
 #: One document in so many is counted to find common shingles, of which at most so many are kept.
 COMMON_ONE_IN, COMMON_KEPT = 16, 250_000
+_EPS = 1e-9
 _TRAITS = "doc_id long, fp long, words_hash long, n long, keys array<long>"
 
 
@@ -229,8 +231,28 @@ def _shingle_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
-def _alike(picked: DataFrame, pairs: DataFrame) -> DataFrame:
+def _need(m: Column, n: Column) -> Column:
+    """Shingles that sets of these sizes share at least if they are so similar."""
+    return F.ceil(F.lit(COPY_SHARED) * (m + n) - _EPS)
+
+
+def _enough_keys(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes share as many keys as the similarity implies.
+
+    Shared shingles up to the end of the prefix that ends first are in both prefixes; beyond it there
+    are at most ceil(0.8 n) - 1 of its set.
+    """
+    one = nodes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("keys").alias("keys_b"))
+    two = nodes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("keys").alias("keys_a"))
+    both = pairs.join(one, "b").join(two, "a")
+    shared = F.size(F.array_intersect("keys_a", "keys_b"))
+    beyond = F.ceil(F.lit(COPY_SIMILARITY) * F.greatest("n_a", "n_b") - _EPS) - 1
+    return both.where(shared >= _need(F.col("n_a"), F.col("n_b")) - beyond).select("a", "b")
+
+
+def _alike(picked: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(src, dst): the pairs (a, b) whose shingle sets have COPY_SIMILARITY, checked exactly."""
+    pairs = written(_enough_keys(pairs, nodes), "copies-candidates")
     asked = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "copies-asked")
     sets = picked.select(F.col("doc_id").alias("id"), "text").join(asked, "id").mapInArrow(_shingle_sets, "id long, shingles array<long>")
     sets = written(sets, "copies-shingles")
@@ -238,62 +260,52 @@ def _alike(picked: DataFrame, pairs: DataFrame) -> DataFrame:
         sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"
     )
     both = F.size(F.array_intersect("x", "y"))
-    alike = both >= F.lit(COPY_SIMILARITY) * (F.size("x") + F.size("y") - both)
-    return written(checked.where(alike).select(F.col("a").alias("src"), F.col("b").alias("dst")), "copies-links")
-
-
-def _alike_in_size(m: str, n: str) -> Column:
-    return F.least(m, n) >= F.lit(COPY_SIMILARITY - 1e-9) * F.greatest(m, n)
+    alike = both >= F.lit(COPY_SIMILARITY) * (F.size("x") + F.size("y") - both) - _EPS
+    found = written(checked.where(alike).select(F.col("a").alias("src"), F.col("b").alias("dst")), "copies-links")
+    discard(sets)
+    return found
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _open_members(members: DataFrame, found: DataFrame) -> tuple[DataFrame, int, int]:
-    """(key, rep, n, comp) of keys that documents of several classes share; their rows and pairs across classes."""
-    classes = written(connected_components(found), "copies-classes")
-    labelled = members.join(classes, members.rep == classes.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    still = written(split_join(labelled, mixed.select("key"), "key"), "copies-open")
-    of_key = still.groupBy("key", "comp").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-    row = of_key.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs")).first()
-    return still, int(row.rows or 0), int(row.pairs or 0)
+def _indexed(n: Column) -> Column:
+    """How many first keys the smaller set of a pair needs to show: it shares 0.8 / 0.9 of its size at least."""
+    return n - F.ceil(F.lit(2 * COPY_SHARED) * n - _EPS) + 1
 
 
-def _enough(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (l, h: structs of rep and n), a row per key, that share as many keys as COPY_SIMILARITY implies.
-
-    Of two such sets at least 0.8 / 1.8 of the sum of their sizes is shared. The shared hashes up to
-    the end of the prefix that ends first are in both prefixes, and beyond it there are at most
-    ceil(0.8 n) - 1 hashes of its set; the rest has to be among the common keys.
-    """
-    counted = rows.groupBy("l.rep", "l.n", "h.rep", "h.n").agg(F.count("*").alias("shared")).toDF("a", "m", "b", "n", "shared")
-    need = F.lit(COPY_SIMILARITY / (1 + COPY_SIMILARITY)) * (F.col("m") + F.col("n"))
-    beyond = F.ceil(F.lit(COPY_SIMILARITY) * F.greatest("m", "n") - 1e-9) - 1
-    return counted.where(F.col("shared") >= need - beyond - 1e-6).select("a", "b")
+def _may_be_alike(less: str, more: str) -> Column:
+    """Whether a key at places of two sets (structs of n, rep, pos, the smaller first) may be the first of enough shared ones."""
+    x, y = (lambda c: F.col(f"{less}.{c}")), (lambda c: F.col(f"{more}.{c}"))
+    rest = F.least(x("n") - x("pos"), y("n") - y("pos"))
+    return (x("pos") < _indexed(x("n"))) & (x("n") >= F.lit(COPY_SIMILARITY) * y("n") - _EPS) & (rest >= _need(x("n"), y("n")))
 
 
-def _met(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """(l, h) of rows with the structs x and y, of which h has the smaller rep."""
-    over = F.col(f"{x}.rep") > F.col(f"{y}.rep")
-    rows = rows.where(_alike_in_size(f"{x}.n", f"{y}.n"))
-    return rows.select(F.when(over, F.col(x)).otherwise(F.col(y)).alias("l"), F.when(over, F.col(y)).otherwise(F.col(x)).alias("h"))
+def _star(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of each key with its hub c."""
+    rows = split_join(members, hubs, "key").where("s.rep <> c.rep")
+    rows = rows.select(F.least("s", "c").alias("less"), F.greatest("s", "c").alias("more"))
+    return rows.where(_may_be_alike("less", "more")).select(F.col("less.rep").alias("a"), F.col("more.rep").alias("b"))
 
 
-def _star(rows: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the members of each key with its hub c; pairs that share too few keys there are left for later."""
-    rows = split_join(rows, hubs, "key").where("rep <> c.rep").select(F.struct("rep", "n").alias("x"), "c")
-    return _enough(_met(rows, "x", "c"))
+def _open_members(members: DataFrame, found: DataFrame) -> tuple[DataFrame, int, int]:
+    """(key, s, comp) of keys that documents of several classes share; their rows and pairs across classes."""
+    classes = written(connected_components(found), "copies-classes")
+    labelled = members.join(classes, F.col("s.rep") == classes.node, "left").select("key", "s", F.coalesce("component", "s.rep").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    still = written(split_join(labelled, mixed, "key"), "copies-open")
+    of_key = still.groupBy("key", "comp").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+    row = of_key.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs")).first()
+    return still, int(row.rows or 0), int(row.pairs or 0)
 
 
 def _across(still: DataFrame) -> DataFrame:
-    """All pairs (a, b) across classes that share enough keys: every key of such a pair is in ``still``."""
-    groups = still.groupBy("key", "comp").agg(F.collect_list(F.struct("rep", "n")).alias("m"))
-    x, y = groups.select("key", F.col("comp").alias("p"), F.col("m").alias("x")), groups.select("key", F.col("comp").alias("q"), F.col("m").alias("y"))
-    rows = x.hint("merge").join(y, "key").where("p < q")
-    rows = rows.select("y", F.explode("x").alias("x")).select("x", F.explode("y").alias("y"))
-    return _enough(_met(rows, "x", "y"))
+    """Pairs (a, b) across classes for which a shared key leaves the similarity possible."""
+    x = still.where(F.col("s.pos") < _indexed(F.col("s.n"))).select("key", F.col("s").alias("less"), F.col("comp").alias("p"))
+    y = still.select("key", F.col("s").alias("more"), F.col("comp").alias("q"))
+    rows = x.hint("merge").join(y, "key").where((F.col("p") != F.col("q")) & (F.col("less") < F.col("more")) & _may_be_alike("less", "more"))
+    return rows.select(F.col("less.rep").alias("a"), F.col("more.rep").alias("b"))
 
 
 def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -303,42 +315,39 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that similarity can flip more bits, documents that share one of the first shingle hashes of their
     sets: any two that are so similar do (prefix filter). Stars come first: each key's documents with
     one of them, which joins a large group by a row per document, and again around other documents
-    while that pays. Then all pairs that share a key across the classes found so far are compared,
-    unless they share fewer keys than the similarity implies, so no pair is left out; documents that
-    share a key and are not alike cost a row per pair. Every candidate is checked exactly.
-    keep_id is the smallest doc_id of the class. Rows without a doc_id take no part.
+    while that pays. Then documents of different classes that share a key are compared, unless their
+    sizes or the places of the key in the two sets rule the similarity out, so no link is left out.
+    Every candidate is checked exactly. keep_id is the smallest doc_id of the class. Rows without a
+    doc_id take no part; rows that repeat one with other texts belong to the classes of all of them.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
+    picked = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
     traits = written(picked.mapInArrow(_trait_batches(shingle, _common_shingles(picked)), _TRAITS), "copies-traits")
     # Equal words: one node, its smallest document.
-    nodes = traits.groupBy("words_hash").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "n"), "doc_id").alias("t"))
-    nodes = written(nodes.select("words_hash", "rep", "t.fp", "t.n"), "copies-nodes")
+    nodes = traits.groupBy("words_hash").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "n", "keys"), "doc_id").alias("t"))
+    nodes = written(nodes.select("words_hash", "rep", "t.fp", "t.n", "t.keys"), "copies-nodes")
     by_fp = written(nodes.groupBy("fp").agg(F.min("rep").alias("first")), "copies-fps")
     same_fp = nodes.join(by_fp, "fp").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     near = links(by_fp.select("fp"))
     near = near.join(by_fp.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(by_fp.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst")
-    # Only ids move with the keys; sizes are joined to those that several documents share.
-    held = traits.select("doc_id", F.explode("keys").alias("key"))
-    again = held.groupBy("key").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("last")).where("c < last").select("key")
-    again = split_join(held.hint("merge"), again, "key")
-    members = written(again.join(nodes, again.doc_id == nodes.rep).select("key", "rep", "n"), "copies-members")
-    star = _star(members, members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c")))
-    pairs = same_fp.union(near.select("a", "b")).union(star)
-    done = written(_ordered(pairs), "copies-pairs")
-    found = _alike(picked, done)
+    held = nodes.select("n", "rep", F.posexplode("keys").alias("pos", "key")).select("key", F.struct("n", "rep", "pos").alias("s"))
+    again = held.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    members = written(split_join(held.hint("merge"), again, "key"), "copies-members")
+    star = _star(members, members.groupBy("key").agg(F.min_by("s", "s.rep").alias("c")))
+    done = written(_ordered(same_fp.union(near.select("a", "b")).union(star)), "copies-pairs")
+    found = _alike(picked, nodes, done)
     still, rows, left = _open_members(members, found)
     turn, before = 0, math.inf
-    # Stars only spare pairs inside large groups: they stop where they don't pay, and all pairs left are compared.
+    # Stars only spare pairs inside large groups: they stop where they don't pay, and what is left is compared.
     while left > 8 * rows and left < 0.9 * before:
         turn, before = turn + 1, left
         # Another hub, drawn by a hash that changes with the turn.
-        hubs = still.groupBy("key").agg(F.min_by(F.struct("rep", "n"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("c"))
-        more = written(_star(still, hubs).join(done, ["a", "b"], "left_anti"), "copies-pairs")
-        found, done = found.union(_alike(picked, more)), done.union(more)
+        hubs = still.groupBy("key").agg(F.min_by("s", F.struct(F.xxhash64("s.rep", F.lit(turn)), "s.rep")).alias("c"))
+        more = written(_ordered(_star(still.drop("comp"), hubs)).join(done, ["a", "b"], "left_anti"), "copies-pairs")
+        found, done = found.union(_alike(picked, nodes, more)), done.union(more)
         still, rows, left = _open_members(members, found)
     if left:
-        rest = written(_across(still).join(done, ["a", "b"], "left_anti"), "copies-pairs")
-        found = found.union(_alike(picked, rest))
+        rest = written(_ordered(_across(still)).join(done, ["a", "b"], "left_anti"), "copies-pairs")
+        found = found.union(_alike(picked, nodes, rest))
     classes = connected_components(found)
     label = nodes.join(classes, nodes.rep == classes.node, "left").select("words_hash", F.coalesce("component", "rep").alias("keep_id"))
     return traits.select("doc_id", "words_hash").join(written(label, "copies-labels"), "words_hash").select("doc_id", "keep_id")
