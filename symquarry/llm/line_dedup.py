@@ -1,12 +1,25 @@
-"""Line dedup: winnowed line hashes as fingerprints, joined by position, grown to whole repeated runs.
-
-A run is ``run`` successive non-blank lines, or one line of ``long_words`` words. Of each window of
-``run`` line hashes the least is selected (and every long line), so any shared run shares a selected
-fingerprint. Only selected lines whose hash occurs elsewhere are looked at further: the windows that
-hold them, known from the context each carries, are joined on their whole content. Each window has
-one first occurrence, by (doc_id, line), and all others are compared with that only, so a common
-line costs a row per occurrence and never a pair. Neighbouring matches merge, which extends a match
-both ways to the whole run; lines of later occurrences are deleted.
+"""Line dedup: winnowed line hashes as fingerprints, joined by position, extended to whole repeated runs.
+
+Lines are the units; a line of more than PIECE words is cut into pieces, so that a passage inside a
+long line is found as well. A cut stands before each word whose hash is the least of some PIECE
+successive words of its line: where two lines share a passage, they are cut alike inside it, and no
+piece is longer than PIECE words.
+
+1. Winnowing: a fingerprint is the hash of GRAM successive pieces. Of each WINDOW successive
+   fingerprints of a document the least is selected; selected ones that occur again are matches.
+2. Matches are extended both ways, fingerprint by fingerprint. A match lies no further than
+   WINDOW - 1 pieces from either end of a shared run and from the next match inside it, so that many
+   steps reach the ends of every run. Each step is joined with the first place where its fingerprint
+   occurs, by (doc_id, row, position): a run may go on in another document than where it began. A
+   common passage costs a row per occurrence and never a pair.
+3. Steps at later places mark their pieces; marked pieces in a row are a run, and runs of
+   LEAST_WORDS words are deleted.
+
+Guarantee: of any ASSURED words in a row that two places share, all but up to 2 * PIECE - 1 words at
+either end of the later place go. (The first and last PIECE - 1 words may be cut differently, and
+one piece reaches beyond them; between them are at least ASSURED - 4 * PIECE + 3 words, so GRAM +
+WINDOW - 1 pieces.) Shorter runs, down to LEAST_WORDS, go where the selection meets them; what goes
+always occurs before.
 """
 
 from __future__ import annotations
@@ -17,93 +30,205 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symquarry.llm.store import parts, split_join, written
-
-RUN, LONG_WORDS = 3, 20
-_SELECTED = "doc_id long, fp long, before array<long>, after array<long>, before_at array<int>, after_at array<int>, at int, long_line boolean"
-
-
-def _select(run: int, long_words: int):
-    names = ["doc_id", "fp", "before", "after", "before_at", "after_at", "at", "long_line"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.bool_()]
-
-    def rows_of(doc_id, text):
-        lines, at = [], []
-        for number, line in enumerate((text or b"").split(b"\n")):
-            line = line.strip()
-            if line:
-                lines.append(line)
-                at.append(number)
-        h = np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64).view(np.int64)
-        n = len(h)
-        chosen = set()
-        if n >= run:
-            views = np.lib.stride_tricks.sliding_window_view(h, run)
-            chosen.update((np.arange(n - run + 1) + views.argmin(axis=1)).tolist())
-        long_ = {i for i, x in enumerate(lines) if len(x) >= 2 * long_words - 1 and len(x.split()) >= long_words}
-        h = h.tolist()
-        for i in sorted(chosen | long_):
-            lo, hi = max(0, i - run + 1), i + run
-            yield doc_id, h[i], h[lo:i], h[i + 1 : hi], at[lo:i], at[i + 1 : hi], at[i], i in long_
-
-    def run_batches(batches):
+from symquarry.llm.store import bounded_batches, discard, parts, split_join, written
+
+#: Words of a piece, pieces of a fingerprint, fingerprints of which one is selected, words of a run.
+PIECE, GRAM, WINDOW, LEAST_WORDS = 4, 5, 6, 20
+#: Words of a shared passage that is found for sure.
+ASSURED = PIECE * (GRAM + WINDOW - 2) + 4 * PIECE - 2
+_U = np.uint64
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_UNITS = "doc_id long, row long, pieces array<int>, at array<int>, grams array<long>"
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(32))) * _ODD[3]
+    x = (x ^ (x >> _U(29))) * _ODD[4]
+    return x ^ (x >> _U(32))
+
+
+def _least(values: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
+    """Places that are the last least value of some ``width`` successive places of one group."""
+    if len(values) < width:
+        return np.zeros(0, np.int64)
+    whole = np.flatnonzero(group[: len(group) - width + 1] == group[width - 1 :])
+    if not len(whole):
+        return whole
+    views = np.lib.stride_tricks.sliding_window_view(values, width)[whole]
+    return np.unique(whole + width - 1 - views[:, ::-1].argmin(axis=1))
+
+
+class Cut:
+    """The pieces of some texts (bytes): hashes, the first word of each, and the text each belongs to."""
+
+    def __init__(self, texts: list[bytes | None]):
+        words: list[bytes] = []
+        ends, owner = [], []
+        for number, text in enumerate(texts):
+            for line in (text or b"").split(b"\n"):
+                found = line.split()
+                if found:
+                    words += found
+                    ends.append(len(words))
+                    owner.append(number)
+        self.ends = np.array(ends, np.int64)
+        starts = np.concatenate(([0], self.ends))[: len(ends)].astype(np.int64)
+        line = np.repeat(np.arange(len(ends)), self.ends - starts)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        self.first = np.union1d(starts, _least(hashes, line, PIECE))
+        sizes = np.diff(np.append(self.first, len(words)))
+        within = np.arange(len(words)) - np.repeat(self.first, sizes)
+        self.sizes = sizes
+        if len(words):
+            self.hashes = _mixed(np.add.reduceat(_mixed(hashes) * _ODD[within % PIECE], self.first) + sizes.astype(np.uint64))
+        else:
+            self.hashes = np.zeros(0, np.uint64)
+        self.owner = np.array(owner, np.int64)[line[self.first]] if len(words) else np.zeros(0, np.int64)
+
+    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces at which selected fingerprints begin, their hashes), over all texts."""
+        n = len(self.hashes) - GRAM + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        grams = np.zeros(n, np.uint64)
+        for k in range(GRAM):
+            grams += self.hashes[k : k + n] * _ODD[k]
+        grams = _mixed(grams)
+        inside = np.flatnonzero(self.owner[:n] == self.owner[GRAM - 1 :])
+        owner, grams = self.owner[inside], grams[inside]
+        chosen = _least(grams, owner, WINDOW)
+        # A text with fewer fingerprints than a window has its least one selected.
+        numbers, begin, many = np.unique(owner, return_index=True, return_counts=True)
+        few = [b + m - 1 - int(grams[b : b + m][::-1].argmin()) for b, m in zip(begin[many < WINDOW], many[many < WINDOW])]
+        chosen = np.union1d(chosen, np.array(few, np.int64))
+        return inside[chosen], grams[chosen]
+
+
+def _lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    """A list per text of the values that belong to it; owners ascend."""
+    offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def _units(batches):
+    for batch in parts(batches):
+        cut = Cut(batch.column(2).to_pylist())
+        at, grams = cut.fingerprints()
+        begin = np.searchsorted(cut.owner, np.arange(batch.num_rows))
+        columns = [
+            batch.column(0), batch.column(1),
+            _lists(cut.hashes.astype(np.uint32).view(np.int32), cut.owner, batch.num_rows, pa.int32()),
+            _lists((at - begin[cut.owner[at]]).astype(np.int32), cut.owner[at], batch.num_rows, pa.int32()),
+            _lists(grams.view(np.int64), cut.owner[at], batch.num_rows, pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "pieces", "at", "grams"])
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row, text): row is a hash of the text, which tells texts of one doc_id apart."""
+    text = F.col(text_col).cast("binary")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+
+
+def repeated_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, at): for each text with later occurrences the pieces at which their fingerprints begin.
+
+    row is a hash of the text. Texts are never shuffled here.
+    """
+    units = written(_rows(docs, id_col, text_col).where("doc_id is not null").mapInArrow(_units, _UNITS), "lines-units")
+    again = units.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    selected = units.select("doc_id", "row", F.explode(F.arrays_zip("at", "grams")).alias("s")).select("doc_id", "row", "s.at", F.col("s.grams").alias("gram"))
+    matches = split_join(selected, again, "gram").groupBy("row", "doc_id").agg(F.collect_set("at").alias("at"))
+    # A text's matches meet its pieces in one row; the steps around them come apart again.
+    own = split_join(units.select("row", "doc_id", "pieces"), matches, ["row", "doc_id"])
+    reach = WINDOW - 1
+    steps = F.flatten(F.transform("at", lambda a: F.sequence(F.greatest(a - reach, F.lit(0)), F.least(a + reach, F.size("pieces") - GRAM))))
+    hashed = lambda a: F.struct(a.alias("at"), F.xxhash64(F.slice("pieces", a + 1, F.lit(GRAM))).alias("step"))
+    own = own.select("row", "doc_id", F.explode(F.transform(F.array_distinct(steps), hashed)).alias("s")).select("row", "doc_id", "s.at", "s.step")
+    steps = written(own, "lines-steps")
+    first = steps.groupBy("step").agg(F.min(F.struct("doc_id", "row", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = split_join(steps, first, "step").where(
+        (F.col("row") != F.col("f.row")) | (F.col("doc_id") != F.col("f.doc_id")) | (F.col("at") >= F.col("f.at") + GRAM)
+    )
+    runs = written(later.groupBy("row", "doc_id").agg(F.collect_set("at").alias("at")), "lines-runs")
+    for table in (units, steps):
+        discard(table)
+    return runs
+
+
+def cut_text(text: bytes, at: np.ndarray, least_words: int) -> tuple[list[tuple[int, int]], int, bytes]:
+    """([start, end) ranges of deleted words, lines that went whole, text without them).
+
+    ``at``: pieces where GRAM repeated ones begin. Those that meet are one run; one of fewer than
+    ``least_words`` words stays. A line that goes whole goes with its line break, and white space
+    before a deleted end of a line goes too.
+    """
+    cut = Cut([text])
+    marked = np.zeros(len(cut.first), bool)
+    marked[at[:, None] + np.arange(GRAM)] = True
+    inside = np.concatenate(([False], marked, [False]))
+    flips = np.flatnonzero(inside[1:] != inside[:-1])
+    bounds = np.append(cut.first, cut.sizes.sum())
+    gone = [(int(bounds[a]), int(bounds[b])) for a, b in zip(flips[::2], flips[1::2]) if bounds[b] - bounds[a] >= least_words]
+    if not gone:
+        return [], 0, text
+    out, lines, word, k = [], 0, 0, 0
+    for line in text.split(b"\n"):
+        found = line.split()
+        begin, word = word, word + len(found)
+        while k < len(gone) and gone[k][1] <= begin:
+            k += 1
+        hit, j = [], k
+        while found and j < len(gone) and gone[j][0] < word:
+            hit.append((max(gone[j][0] - begin, 0), min(gone[j][1] - begin, len(found))))
+            j += 1
+        if hit and hit[0] == (0, len(found)):
+            lines += 1
+            continue
+        out.append(_without(line, found, hit) if hit else line)
+    return gone, lines, b"\n".join(out)
+
+
+def _without(line: bytes, words: list[bytes], hit: list[tuple[int, int]]) -> bytes:
+    places, at = [], 0
+    for w in words:
+        at = line.index(w, at)
+        places.append(at)
+        at += len(w)
+    kept, at = [], 0
+    for a, b in hit:
+        kept.append(line[at : places[a]])
+        at = places[b] if b < len(words) else len(line)
+    kept.append(line[at:])
+    joined = b"".join(kept)
+    return joined.rstrip() if hit[-1][1] == len(words) else joined
+
+
+def _delete(least_words: int):
+    def run(batches):
         for batch in parts(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if doc_id is not None:
-                    rows.extend(rows_of(doc_id, text))
-                if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                    rows = []
-            columns = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    return run_batches
-
-
-def repeated_lines(docs: DataFrame, *, run: int = RUN, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, removed): sorted numbers, from 0, of the lines that belong to later repeated runs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    chosen = written(rows.mapInArrow(_select(run, long_words), _SELECTED), "lines-selected")
-    again = chosen.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    near = split_join(chosen, again, "fp")
-    # The windows around a selected line: its place in the window runs over all that its context allows.
-    line = F.concat("before", F.array("fp"), "after")
-    place = F.concat("before_at", F.array("at"), "after_at")
-    near = near.select("doc_id", "fp", "at", "long_line", line.alias("h"), place.alias("p"))
-    starts = F.when(F.size("h") >= run, F.sequence(F.lit(0), F.size("h") - run)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(
-        starts, lambda s: F.struct(F.xxhash64(F.slice("h", s + 1, F.lit(run))).alias("gram"), F.slice("p", s + 1, F.lit(run)).alias("p"))
-    )
-    single = F.when(F.col("long_line"), F.array(F.struct(F.xxhash64(F.lit("line"), "fp").alias("gram"), F.array("at").alias("p")))).otherwise(
-        F.array().cast("array<struct<gram:bigint,p:array<int>>>")
-    )
-    grams = near.select("doc_id", F.explode(F.concat(windows, single)).alias("g")).select("doc_id", "g.gram", "g.p").distinct()
-    grams = written(grams, "lines-windows")
-    first = grams.groupBy("gram").agg(
-        F.min(F.struct("doc_id", F.element_at("p", 1).alias("start"), F.element_at("p", -1).alias("end"))).alias("f"), F.count("*").alias("n")
-    )
-    later = split_join(grams, first.where("n > 1").select("gram", "f"), "gram").where(
-        (F.col("doc_id") > F.col("f.doc_id")) | (F.element_at("p", 1) > F.col("f.end"))
-    )
-    return later.select("doc_id", F.explode("p").alias("line")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+            for doc_id, text, at in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                n_lines = 0 if text is None else text.count(b"\n") + 1
+                gone, whole, left = cut_text(text, np.array(at, np.int64), least_words) if text and at else ([], 0, text)
+                rows.append((doc_id, n_lines, whole, sum(b - a for a, b in gone), ",".join(f"{a}-{b}" for a, b in gone), left))
+            columns = list(zip(*rows)) or [()] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "n_lines", "n_removed", "words_removed", "removed", "text"])
 
+    return run
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed, text) for each row of ``docs``, text without the removed lines.
 
-    Within one document a repeat counts only from beyond its first occurrence. Blank lines belong to
-    no run and stay. Lines compare without white space around them. A null text stays null with 0
-    lines; rows with a null doc_id stay as they are; rows that share a doc_id are one document in
-    the order of occurrences, so equal ones lose the same lines.
+def dedup_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_lines, n_removed, words_removed, removed, text) for each row of ``docs``, text without later repeated runs.
+
+    n_lines: lines of the text; n_removed: those that went whole; removed: the ranges of words that
+    went, ``start-end`` from 0, end exclusive. Words compare as they stand, without the white space
+    between them. Documents go by doc_id, texts of one doc_id by their hash: each is a document of its own, while
+    equal rows lose the same words. Within one text a repeat counts only from beyond the first
+    occurrence. A null text stays null with 0 lines, an empty one has one line; rows with a null doc_id stay as they are.
     """
-    removed = repeated_lines(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(removed, F.col("doc_id") == F.col("__id"), "left")
-    gone = F.coalesce("__gone", F.array().cast("array<int>"))
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
-    return rows.select(
-        "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.size(gone).alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"),
-        F.when(F.size(gone) == 0, F.col("text")).otherwise(kept).alias("text"),
-    )
+    runs = repeated_pieces(docs, id_col=id_col, text_col=text_col)
+    rows = split_join(_rows(docs, id_col, text_col), runs, ["row", "doc_id"], "left").select("doc_id", "text", "at")
+    schema = "doc_id long, n_lines long, n_removed long, words_removed long, removed string, text binary"
+    return rows.mapInArrow(_delete(least_words), schema).withColumn("text", F.col("text").cast("string"))
