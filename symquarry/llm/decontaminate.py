@@ -3,26 +3,35 @@
 Words outside the benchmark's vocabulary can't belong to a window: in the indexed text they are
 separators, and runs of known words shorter than the shortest window are left out. That changes no
 result. Documents stay where they are: there is no shuffle, and a hot passage only lengthens the
-occurrence lists of the batches that hold it. Blocks of benchmark items of bounded size are sent to
-executors; a benchmark beyond one block takes one pass per block.
+occurrence lists of the batches that hold it.
+
+Benchmark items are dealt out into blocks of bounded size in the shared folder. A task reads the
+blocks one after the other for each batch of documents and unites what they hit row by row, so
+neither the driver nor a task holds more than a block, and the number of blocks changes no result.
 """
 
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symquarry.llm.fm_index import FmIndex
-from symquarry.llm.store import parts
+from symquarry.llm.store import bounded_batches, new_path, parts, shared_files
 
 WINDOW = 10
 #: Bytes of text that one index covers (a longer document has its own).
 BATCH_BYTES = 16 << 20
+#: Bytes of benchmark text in a block, which a task holds as words and windows.
+BLOCK_BYTES = 4 << 20
 #: Byte table: ASCII outside 0-9 and a-z becomes a space (after lower-casing).
 _SPACED = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 _RESULT = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
@@ -45,18 +54,23 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        held: dict[tuple[int, ...], set[int]] = {}
-        for number, (_, words) in enumerate(items):
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words)
-            for i in range(max(1, len(ids) - window + 1)):
-                held.setdefault(ids[i : i + window], set()).add(number)
-        self.names = [name for name, _ in items]
-        self.shortest = min(map(len, held), default=1)
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for w in held:
-            by_length.setdefault(len(w), []).append(w)
-        self.phrases = {n: np.array(sorted(ws), np.int64) for n, ws in by_length.items()}
-        self.items = {n: [sorted(held[w]) for w in sorted(ws)] for n, ws in by_length.items()}
+        self.names = sorted({name for name, _ in items})
+        number = {name: i for i, name in enumerate(self.names)}
+        by_length: dict[int, list[np.ndarray]] = {}
+        for name, words in items:
+            ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int32, len(words))
+            n = min(window, len(ids))
+            views = np.lib.stride_tricks.sliding_window_view(ids, n)
+            by_length.setdefault(n, []).append(np.column_stack((views, np.full(len(views), number[name], np.int32))))
+        self.shortest = min(by_length, default=1)
+        self.phrases: dict[int, np.ndarray] = {}
+        #: For each length, where the items of each phrase begin, and the items.
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, stacked in by_length.items():
+            rows = np.unique(np.concatenate(stacked), axis=0)
+            fresh = np.concatenate(([True], (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1)))
+            self.phrases[n] = rows[fresh, :-1].astype(np.int64)
+            self.held[n] = (np.append(np.flatnonzero(fresh), len(rows)), rows[:, -1])
 
 
 def _runs(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,110 +82,133 @@ def _runs(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return start[long_], end[long_]
 
 
-def _found(windows: Windows, texts: pa.Array) -> tuple[list, list, list]:
-    """Word counts, hit spans and items found of a batch of texts (binary)."""
-    find, counts = windows.vocabulary.get, []
-    text, owner, word = array("i", [0]), array("i", [-1]), array("i", [0])
-    for number, doc in enumerate(texts):
-        words = words_of(doc.as_py())
-        counts.append(len(words))
-        ids = np.fromiter(map(find, words, repeat(0)), np.int32, len(words))
-        for s, e in zip(*_runs(ids, windows.shortest)):
-            text.frombytes(ids[s:e].tobytes())
-            text.append(0)
-            owner.extend(repeat(number, int(e - s) + 1))
-            word.extend(range(int(s), int(e) + 1))
-    spans: list[list[dict]] = [[] for _ in counts]
-    items: list[list[str]] = [[] for _ in counts]
-    if len(text) > 1:
-        _matches(windows, *(np.frombuffer(a, np.int32) for a in (text, owner, word)), spans, items)
-    return counts, spans, items
-
-
-def _scan(windows: Windows):
+class _Found:
+    """Hits of a batch of documents: word counts, hit places and items, united over blocks."""
+
+    def __init__(self, texts: pa.Array):
+        self.words = [words_of(doc.as_py()) for doc in texts]
+        self.counts = [len(w) for w in self.words]
+        self.begin = np.concatenate(([0], np.cumsum(self.counts))).astype(np.int64)
+        #: How many hits begin less how many end at each word; a document's last entry is the next one's first.
+        self.edges = np.zeros(int(self.begin[-1]) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in self.counts]
+
+    def search(self, windows: Windows) -> None:
+        """Indexes the runs of known words and adds what the block's windows hit."""
+        find = windows.vocabulary.get
+        text, owner, word = array("i", [0]), array("i", [-1]), array("q", [0])
+        for number, words in enumerate(self.words):
+            ids = np.fromiter(map(find, words, repeat(0)), np.int32, len(words))
+            begin = int(self.begin[number])
+            for s, e in zip(*_runs(ids, windows.shortest)):
+                text.frombytes(ids[s:e].tobytes())
+                text.append(0)
+                owner.extend(repeat(number, int(e - s) + 1))
+                word.extend(range(begin + int(s), begin + int(e) + 1))
+        if len(text) == 1:
+            return
+        symbols, owners, places = np.frombuffer(text, np.int32), np.frombuffer(owner, np.int32), np.frombuffer(word, np.int64)
+        index = FmIndex(symbols, len(windows.vocabulary))
+        for length, phrases in windows.phrases.items():
+            who, at = index.locate(*index.search(phrases))
+            np.add.at(self.edges, places[at], 1)
+            np.add.at(self.edges, places[at] + length, -1)
+            begin, held = windows.held[length]
+            for p in np.unique(owners[at].astype(np.int64) * len(phrases) + who).tolist():
+                number, phrase = divmod(p, len(phrases))
+                self.items[number].update(windows.names[i] for i in held[begin[phrase] : begin[phrase + 1]].tolist())
+
+    def spans(self) -> list[list[dict]]:
+        """Merged [start, end) ranges of hit words of each document."""
+        hit = np.concatenate(([False], np.cumsum(self.edges[:-1]) > 0, [False]))
+        hit_before = hit[1:] != hit[:-1]
+        # A hit never crosses a document's end, but two may meet there.
+        cut = self.begin[1:-1][hit[self.begin[1:-1]] & hit[self.begin[1:-1] + 1]]
+        starts = np.union1d(np.flatnonzero(hit_before & hit[1:]), cut)
+        ends = np.union1d(np.flatnonzero(hit_before & hit[:-1]), cut)
+        out: list[list[dict]] = [[] for _ in self.counts]
+        owners = np.searchsorted(self.begin, starts, side="right") - 1
+        for s, e, number in zip(starts.tolist(), ends.tolist(), owners.tolist()):
+            begin = int(self.begin[number])
+            out[number].append({"start": s - begin, "end": e - begin})
+        return out
+
+
+@lru_cache(maxsize=8)
+def _listed(folder: str) -> list[str]:
+    fs, base = shared_files(folder)
+    return sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.type == pafs.FileType.Directory)
+
+
+def _blocks(folder: str, window: int) -> Iterator[Windows]:
+    """The blocks of a benchmark in turn; a worker keeps the last one it read."""
+    for path in _listed(folder):
+        yield _block(folder, path, window)
+
+
+@lru_cache(maxsize=1)
+def _block(folder: str, path: str, window: int) -> Windows:
+    fs, _ = shared_files(folder)
+    items = []
+    for f in sorted(fs.get_file_info(pafs.FileSelector(path)), key=lambda f: f.path):
+        if f.path.endswith(".parquet"):
+            with fs.open_input_file(f.path) as source:
+                table = pq.read_table(source)
+            items += zip(table.column("item").to_pylist(), map(words_of, table.column("text").to_pylist()))
+    return Windows([(name, words) for name, words in items if words], window)
+
+
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str) -> str:
+    """Writes the items to the shared folder, dealt by hash into blocks of about ``block_bytes`` of text; returns the folder."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("binary").alias("text"))
+    items = items.where("text is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    folder = new_path(benchmark.sparkSession, "benchmark")
+    items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    items.repartition(int(min(blocks, 1000)), "block").write.partitionBy("block").parquet(folder)
+    return folder
+
+
+def _all_found(folder: str, window: int, texts: pa.Array) -> _Found:
+    found = _Found(texts)
+    for block in _blocks(folder, window):
+        found.search(block)
+    return found
+
+
+def _scan(folder: str, window: int):
     def run(batches):
         for batch in parts(batches, 4096, BATCH_BYTES):
-            counts, spans, items = _found(windows, batch.column(1))
+            found = _all_found(folder, window, batch.column(1))
+            items = [sorted(x) for x in found.items]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, _TYPE.field(2).type), pa.array(items, _TYPE.field(3).type)],
+                [batch.column(0), pa.array(found.counts, pa.int64()), pa.array(found.spans(), _TYPE.field(2).type), pa.array(items, _TYPE.field(3).type)],
                 schema=_TYPE,
             )
 
     return run
 
 
-def _unhit(windows: Windows, column: int):
+def _unhit(folder: str, window: int, column: int):
     def run(batches):
         for batch in parts(batches, 4096, BATCH_BYTES):
-            spans = _found(windows, batch.column(column).cast(pa.binary()))[1]
-            yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
+            items = _all_found(folder, window, batch.column(column).cast(pa.binary())).items
+            yield batch.filter(pa.array([not x for x in items], pa.bool_()))
 
     return run
 
 
-def _matches(windows: Windows, text, owner, word, spans, items) -> None:
-    """Adds the merged spans of hit words and the items found to the lists, by document number."""
-    index = FmIndex(text, len(windows.vocabulary))
-    edges = np.zeros(len(text) + 1, np.int64)
-    found: set[tuple[int, int]] = set()
-    for length, phrases in windows.phrases.items():
-        who, at = index.locate(*index.search(phrases))
-        np.add.at(edges, at, 1)
-        np.add.at(edges, at + length, -1)
-        held = windows.items[length]
-        pairs = np.unique(owner[at].astype(np.int64) * len(phrases) + who)
-        found.update((int(p) // len(phrases), i) for p in pairs for i in held[int(p) % len(phrases)])
-    hit = np.concatenate(([False], np.cumsum(edges[:-1]) > 0, [False]))
-    flips = np.flatnonzero(hit[1:] != hit[:-1])
-    for s, e in zip(flips[::2].tolist(), flips[1::2].tolist()):
-        spans[owner[s]].append({"start": int(word[s]), "end": int(word[e - 1]) + 1})
-    for number, item in sorted(found):
-        items[number].append(windows.names[item])
-    for number in {n for n, _ in found}:
-        items[number].sort()
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
-    """Lists of (item id as a string, words) with about ``block_words`` words each."""
-    block, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("binary").alias("t"))
-    for row in rows.toLocalIterator():
-        words = words_of(bytes(row.t) if row.t is not None else None)
-        if words:
-            block.append((row.i, words))
-            size += len(words)
-        if size >= block_words:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, n_words, spans, items) for each row of ``docs``.
 
     spans: merged [start, end) word ranges hit by a window of any item; items: ids of the items
     with a window in the document, sorted as strings. An item shorter than a window is one window,
-    one without words none. Null texts have no words. Repeated items count once by id; repeated
-    documents are each reported (with more than one block, documents are merged by doc_id).
+    one without words none. Null texts have no words. Repeated items count once by id, a null id as
+    an empty one; repeated rows are each reported; an empty benchmark hits nothing.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    passes = [picked.mapInArrow(_scan(Windows(b, window)), _RESULT) for b in _blocks(benchmark, item_col, item_text, block_words)]
-    if not passes:
-        passes = [picked.mapInArrow(_scan(Windows([], window)), _RESULT)]
-    if len(passes) == 1:
-        return passes[0].withColumn("items", F.array_distinct("items"))
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.union(more)
-    words = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))
-    merged = every.withColumn("hit", words).groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    spans = F.transform("hit", lambda w: F.struct(w.alias("start"), (w + 1).alias("end")))
-    return merged.select("doc_id", "n_words", spans.alias("spans"), "items")
+    picked = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return picked.mapInArrow(_scan(benchmark_blocks(benchmark, block_bytes, item_col, item_text), window), _RESULT)
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
@@ -183,9 +220,10 @@ def contamination_digest(found: DataFrame) -> DataFrame:
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_words: int = 1_000_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit word, unchanged and in place; contaminated rows go."""
-    column = docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_col, item_text, block_words):
-        docs = docs.mapInArrow(_unhit(Windows(block, window), column), docs.schema)
-    return docs
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a hit word, unchanged and in place; contaminated rows go.
+
+    Null and empty texts and repeated clean rows stay; an empty table gives an empty one.
+    """
+    folder = benchmark_blocks(benchmark, block_bytes, item_col, item_text)
+    return bounded_batches(docs).mapInArrow(_unhit(folder, window, docs.columns.index(text_col)), docs.schema)
