@@ -1,9 +1,11 @@
 """Mixing sources to target weights: capped water-filling, then seeded whole and fractional repetitions.
 
 All steps are DataFrame operations. Sizes are pre-aggregated per source before any shuffle, so a
-source with a third of all rows costs one row a task. The fractional repetition of a source takes
-its documents in the order of a seeded hash up to a cut; the cut is found by counting words in
-hash buckets, then inside the one bucket that holds it, so that no source is ever sorted whole.
+source with a third of all rows costs one row a task. The fractional repetition of a source goes
+through its documents in the order of a seeded hash and takes each that still fits. That is done in
+rounds: the documents no larger than the gap are taken up to the first that overshoots, which is left
+out, and the next round goes on behind it with the smaller gap. Where a round stops is found by words
+per hash bucket and then inside one bucket, so that no source is ever sorted whole.
 """
 
 from __future__ import annotations
@@ -12,11 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symquarry.llm.store import written
+from symquarry.llm.store import discard, placed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the seeded hash, and of its leading part that numbers the buckets of a source.
-HASH_BITS, BUCKET_BITS = 48, 12
+HASH_BITS, BUCKET_BITS = 48, 16
+#: A source whose taken words miss its target by no more than this share needs no further round.
+CLOSE = 0.001
+_LEAST_ID, _MOST_ID = -(1 << 63), (1 << 63) - 1
+_SEGMENTS = "array<struct<limit:double,from:struct<h:bigint,i:bigint>,upto:struct<h:bigint,i:bigint>>>"
 
 
 def word_count(text: Column) -> Column:
@@ -54,93 +60,81 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
     return sources.withColumn("target", F.least(F.lit(max(level, 0.0)) * F.col("weight"), cap).cast("double"))
 
 
-def _cuts(sized: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(source, cut_hash, cut_id, gap, extras): the last document of each source's fractional repetition.
+def _id_key(doc_id: Column) -> Column:
+    return F.coalesce(doc_id, F.lit(_LEAST_ID))
 
-    ``wanted``: (source, need) words. Documents go by (hash, doc_id); those up to the cut fit into
-    the need and leave the gap, which is below the size of the next one.
-    """
-    on = lambda other: F.col("s.source").eqNullSafe(F.col(f"{other}.source"))
-    shift = HASH_BITS - BUCKET_BITS
-    upper = F.shiftright("h", shift)
-    coarse = sized.withColumn("b1", upper).groupBy("source", "b1").agg(F.sum("size").alias("words"))
-    run = Window.partitionBy("source").orderBy("b1")
-    coarse = coarse.withColumn("before", F.sum("words").over(run) - F.col("words"))
-    first = (
-        coarse.alias("s").join(wanted.alias("w"), on("w"))
-        .where("before < need and need <= before + words")
-        .select("s.source", "b1", (F.col("need") - F.col("before")).alias("need"))
-    )
-    lower = F.shiftright("h", shift - BUCKET_BITS).bitwiseAND((1 << BUCKET_BITS) - 1)
-    inside = (
-        sized.withColumn("b1", upper).alias("s")
-        .join(first.alias("f"), on("f") & (F.col("s.b1") == F.col("f.b1")))
-        .select("s.source", "s.doc_id", "s.h", "s.size", "need", lower.alias("b2"))
-    )
-    inside = written(inside, "mix-inside")
-    fine = inside.groupBy("source", "need", "b2").agg(F.sum("size").alias("words"))
-    run = Window.partitionBy("source").orderBy("b2")
-    fine = fine.withColumn("before", F.sum("words").over(run) - F.col("words"))
-    second = fine.where("before < need and need <= before + words").select(
-        "source", "b2", (F.col("need") - F.col("before")).alias("rest")
-    )
-    last = (
-        inside.alias("s")
-        .join(second.alias("f"), on("f") & (F.col("s.b2") == F.col("f.b2")))
-        .select("s.source", "s.doc_id", "s.h", "s.size", "rest")
-    )
-    run = Window.partitionBy("source").orderBy(F.col("h"), F.col("doc_id").asc_nulls_first())
-    last = last.withColumn("upto", F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    fits = last.where("upto <= rest").groupBy("source").agg(
-        F.max(F.struct("h", _id_key(F.col("doc_id")).alias("i"))).alias("c"), F.max("upto").alias("upto")
-    )
-    edge = second.alias("s").join(
-        inside.groupBy("source", "b2").agg(F.min("h").alias("h0")).alias("i"), on("i") & (F.col("s.b2") == F.col("i.b2"))
-    ).select("s.source", "s.rest", "i.h0")
-    return edge.alias("s").join(fits.alias("f"), on("f"), "left").select(
-        "s.source",
-        F.coalesce("f.c.h", F.col("h0") - 1).alias("cut_hash"),
-        F.coalesce("f.c.i", F.lit((1 << 63) - 1)).alias("cut_id"),
-        (F.col("rest") - F.coalesce("f.upto", F.lit(0))).alias("gap"),
-        F.array().cast("array<struct<h:bigint,i:bigint>>").alias("extras"),
-    )
 
+def _place(h: Column, doc_id: Column) -> Column:
+    return F.struct(h.alias("h"), _id_key(doc_id).alias("i"))
 
-def _id_key(doc_id: Column) -> Column:
-    return F.coalesce(doc_id, F.lit(-(1 << 63)))
 
+def _ends(h: int, i: int) -> Column:
+    return F.struct(F.lit(h).cast("long").alias("h"), F.lit(i).cast("long").alias("i"))
 
-def _fill(sized: DataFrame, cuts: DataFrame, rounds: int) -> DataFrame:
-    """Adds to extras, in each round, the largest later document that fits into the gap a cut leaves.
 
-    Where none fits, the smallest is added if that more than halves the gap. So small sources too
-    come near their targets; a source gains ``rounds`` documents at most.
-    """
-    for _ in range(rounds):
-        rows = sized.where("size > 0").alias("d").join(cuts.where("gap > 0").alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
-        pair = F.struct(F.col("d.h").alias("h"), _id_key(F.col("d.doc_id")).alias("i"))
-        later = (F.col("d.h") > F.col("cut_hash")) | ((F.col("d.h") == F.col("cut_hash")) & (_id_key(F.col("d.doc_id")) > F.col("cut_id")))
-        rows = rows.where(later & ~F.array_contains("extras", pair)).select("d.source", "gap", F.struct("size", pair.alias("p")).alias("x"))
-        found = rows.groupBy("source").agg(
-            F.max(F.when(F.col("x.size") <= F.col("gap"), F.col("x"))).alias("under"),
-            F.min(F.when((F.col("x.size") > F.col("gap")) & (F.col("x.size") < 2 * F.col("gap")), F.col("x"))).alias("over"),
-        )
-        found = found.select("source", F.coalesce("under", "over").alias("x")).where("x is not null")
-        cuts = cuts.alias("c").join(found.alias("f"), F.col("c.source").eqNullSafe(F.col("f.source")), "left").select(
-            "c.source", "cut_hash", "cut_id",
-            (F.col("gap") - F.coalesce("f.x.size", F.lit(0))).alias("gap"),
-            F.when(F.col("f.x").isNull(), F.col("extras")).otherwise(F.array_append("extras", F.col("f.x.p"))).alias("extras"),
-        )
-        cuts = written(cuts, "mix-fill")
-    return cuts
+def _in_segments(segments: Column, size: Column, place: Column) -> Column:
+    """Whether a round took a document: its size fits the round's gap and its place the round's range."""
+    return F.exists(segments, lambda s: (size <= s["limit"]) & (place > s["from"]) & (place <= s["upto"]))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+
+
+def _round(sized: DataFrame, fills: DataFrame) -> DataFrame:
+    """One round for the open rows of ``fills`` (source, target, gap, at, segments, open)."""
+    shift = HASH_BITS - BUCKET_BITS
+    rows = sized.where("size > 0").withColumn("p", _place(F.col("h"), F.col("doc_id"))).alias("s").join(fills.where("open").alias("f"), _same("s", "f"))
+    rows = rows.where("size <= gap and p > at").select("s.source", "s.size", "p", F.shiftright("s.h", shift).alias("b"), "gap")
+    coarse = rows.groupBy("source", "b", "gap").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    coarse = written(coarse, "mix-buckets")
+    # The bucket where the first document overshoots, and what the buckets before it hold.
+    stop = coarse.where("before <= gap and before + words > gap").select("source", "b", (F.col("gap") - F.col("before")).alias("rest"))
+    inside = rows.select("source", "b", "p", "size").alias("s").join(stop.alias("t"), _same("s", "t") & (F.col("s.b") == F.col("t.b")))
+    inside = inside.groupBy("s.source", "s.b", "rest", "p").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("upto", upto)
+    cut = inside.groupBy("source", "b", "rest").agg(
+        F.max(F.when(F.col("upto") <= F.col("rest"), F.col("p"))).alias("last"),
+        F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("held"),
+        F.min(F.when(F.col("upto") > F.col("rest"), F.col("p"))).alias("over"),
+    )
+    all_ = coarse.groupBy("source").agg(F.sum("words").alias("words"))
+    joined = fills.alias("f").join(cut.alias("c"), _same("f", "c"), "left").join(all_.alias("a"), _same("f", "a"), "left")
+    none_inside = F.struct((F.shiftleft("c.b", shift) - 1).alias("h"), F.lit(_MOST_ID).alias("i"))
+    upto = F.when(F.col("c.over").isNull(), _ends((1 << HASH_BITS), _MOST_ID)).otherwise(F.coalesce("c.last", none_inside))
+    segment = F.struct(F.col("gap").alias("limit"), F.col("at").alias("from"), upto.alias("upto"))
+    gap = F.when(F.col("c.over").isNull(), F.col("gap") - F.col("a.words")).otherwise(F.col("rest") - F.coalesce("held", F.lit(0)))
+    moved = F.col("open") & F.col("a.words").isNotNull()
+    return joined.select(
+        "f.source", "target",
+        F.when(moved, gap).otherwise(F.col("gap")).alias("gap"),
+        F.when(moved, F.coalesce("c.over", "at")).otherwise(F.col("at")).alias("at"),
+        F.when(moved, F.concat("segments", F.array(segment))).otherwise(F.col("segments")).cast(_SEGMENTS).alias("segments"),
+        # Whoever found nothing that fits, or took all that fits, is done.
+        (moved & F.col("c.over").isNotNull() & (gap > F.lit(CLOSE) * F.col("target"))).alias("open"),
+    )
+
+
+def _last(sized: DataFrame, fills: DataFrame) -> DataFrame:
+    """Adds one more document where that comes nearer to the target: the smallest left out, if it overshoots by less than the gap."""
+    place = _place(F.col("h"), F.col("doc_id"))
+    rows = sized.where("size > 0").withColumn("p", place).alias("s").join(fills.alias("f"), _same("s", "f"))
+    rows = rows.where(~_in_segments(F.col("segments"), F.col("size"), F.col("p")) & (F.col("size") < 2 * F.col("gap")))
+    rows = rows.groupBy("s.source", "gap", "p").agg(F.sum("size").alias("words")).where("words < 2 * gap")
+    best = rows.groupBy("source").agg(F.min(F.struct("words", "p")).alias("x"))
+    return fills.alias("f").join(best.alias("b"), _same("f", "b"), "left").select("f.source", "segments", F.col("x.p").alias("extra"))
 
 
 def mixing_plan(docs: DataFrame, *, seed: int = 7, max_epochs: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(sized documents, plan per source) of a mix that shares the words of ``docs`` out by weight.
 
     Sources go by code point, null last, and weigh ``weights`` in turn. Sized documents: doc_id,
-    source, size, h. Plan: source, source_size, weight, target, whole, cut_hash, cut_id, extras; a document
-    is taken ``whole`` times, and once more if (h, doc_id) is not beyond the cut or among the extras.
+    source, size, h. Plan: source, source_size, weight, target, whole, segments, extra; a document
+    is taken ``whole`` times, and once more if a round took it (segments) or it is the extra one.
+    So a source misses its target by CLOSE of it at most, or by half of its smallest document that is left out.
     A null text or one of white space only has size 0 and is never taken; documents with one doc_id
     in one source are cut alike; an empty table gives an empty plan.
     """
@@ -148,35 +142,39 @@ def mixing_plan(docs: DataFrame, *, seed: int = 7, max_epochs: float = 3.0, weig
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")
     )
     sized = written(sized.withColumn("h", seeded_hash(F.col("doc_id"), seed)), "mix-sizes")
-    totals = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    # One row a source: the order over all of them is over that aggregate, not over documents.
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    turn = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    plan = water_fill(written(totals.withColumn("weight", turn), "mix-weights"), max_epochs)
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long"))
+    rank = placed(totals, [F.col("source").asc_nulls_last()], {"rank": "one"}, "mix-sources")
+    turn = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    plan = water_fill(written(rank.select("source", "source_size", turn.alias("weight")), "mix-weights"), max_epochs)
     plan = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     plan = plan.withColumn("whole", F.floor("rate").cast("long"))
     plan = written(plan.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
-    cuts = written(_cuts(sized, plan.where("need > 0").select("source", "need")), "mix-first")
-    cuts = _fill(sized, cuts, rounds=3)
-    plan = plan.alias("p").join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select(
-        "p.source", "source_size", "weight", "target", "whole", "cut_hash", "cut_id", "extras"
+    fills = plan.where("need > 0").select(
+        "source", "target", F.col("need").alias("gap"), _ends(-1, _MOST_ID).alias("at"), F.array().cast(_SEGMENTS).alias("segments"), F.lit(True).alias("open")
+    )
+    fills = written(fills, "mix-fill")
+    while not fills.where("open").isEmpty():
+        before, fills = fills, written(_round(sized, fills), "mix-fill")
+        discard(before)
+    last = written(_last(sized, fills), "mix-last")
+    plan = plan.alias("p").join(last.alias("c"), _same("p", "c"), "left").select(
+        "p.source", "source_size", "weight", "target", "whole", F.coalesce("segments", F.array().cast(_SEGMENTS)).alias("segments"), "extra"
     )
     return sized, written(plan, "mix-cuts")
 
 
-def repetitions(h: Column, doc_id: Column, plan: str = "") -> Column:
+def repetitions(size: Column, h: Column, doc_id: Column, plan: str = "") -> Column:
     """How often a document with words is taken, beside its plan's columns (named with the prefix ``plan``)."""
-    cut, i, key = F.col(f"{plan}cut_hash"), F.col(f"{plan}cut_id"), _id_key(doc_id)
-    extra = F.array_contains(F.col(f"{plan}extras"), F.struct(h.alias("h"), key.alias("i")))
-    more = (h < cut) | ((h == cut) & (key <= i)) | extra
-    return F.col(f"{plan}whole") + F.coalesce(more, F.lit(False)).cast("long")
+    place = _place(h, doc_id)
+    more = _in_segments(F.col(f"{plan}segments"), size, place) | F.coalesce(F.col(f"{plan}extra") == place, F.lit(False))
+    return F.col(f"{plan}whole") + more.cast("long")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of ``docs``: see :func:`mixing_plan`."""
     sized, plan = mixing_plan(docs, **options)
-    rows = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    taken = repetitions(F.col("h"), F.col("d.doc_id")) * F.col("d.size")
+    rows = sized.alias("d").join(plan.alias("p"), _same("d", "p"))
+    taken = repetitions(F.col("d.size"), F.col("h"), F.col("d.doc_id")) * F.col("d.size")
     return rows.select("d.doc_id", "d.size", "p.source_size", "p.target", taken.alias("taken"))
 
 
@@ -187,10 +185,10 @@ def mixed_rows(docs: DataFrame, *, seed: int = 7, id_col: str = "doc_id", source
     """
     _, plan = mixing_plan(docs, seed=seed, id_col=id_col, source_col=source_col, **options)
     text = options.get("text_col", "text")
-    plan = plan.select(F.col("source").alias("__mix_source"), F.struct("whole", "cut_hash", "cut_id", "extras").alias("__mix"))
+    plan = plan.select(F.col("source").alias("__mix_source"), F.struct("whole", "segments", "extra").alias("__mix"))
     rows = docs.join(plan, docs[source_col].cast("string").eqNullSafe(plan["__mix_source"]))
     i = docs[id_col].cast("long")
-    times = F.when(docs[text].rlike(WORD), repetitions(seeded_hash(i, seed), i, "__mix.")).otherwise(F.lit(0).cast("long"))
-    rows = rows.withColumn("__mix_n", times.cast("int")).where("__mix_n > 0")
+    rows = rows.withColumn("__mix_size", word_count(docs[text])).where("__mix_size > 0")
+    rows = rows.withColumn("__mix_n", repetitions(F.col("__mix_size"), seeded_hash(i, seed), i, "__mix.").cast("int")).where("__mix_n > 0")
     rows = rows.withColumn("__mix_i", F.explode(F.array_repeat(F.lit(1), F.col("__mix_n"))))
     return rows.select(*[docs[c] for c in docs.columns])
