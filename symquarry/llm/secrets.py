@@ -9,6 +9,7 @@ entropy of their class are secrets unless the allow-list suppresses them.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,12 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 LEAST_VALUE = 6
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Suppressed candidates: UUIDs, runs without a digit (joined words, paths, rules), numbers and dates, documented examples.
-ALLOWED = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[^0-9]+$|^[0-9+/_=-]+$|(?i)example"
+#: Suppressed candidates: UUIDs; words joined by signs or capitals (paths, identifiers); numbers, dates and rules; documented example keys.
+ALLOWED = (
+    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+    r"|^[+/_=-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{3,}|[A-Za-z](?![A-Za-z]))[+/_=-]*)+$"
+    r"|^[0-9+/_=-]+$|(?i:EXAMPLE(?:KEY)?$)"
+)
 HEX_ONLY = r"^[0-9a-fA-F]+$"
 WINDOW = 20
 HEX_CHARS = "0123456789abcdef"
@@ -44,22 +49,50 @@ def _located(text: Column, pattern: str, kind: int, value_group: int = 0) -> Col
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    parts = F.zip_with(
-        F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"))),
-        value,
-        lambda x, v: F.struct(x["m"].alias("m"), x["gap"].alias("gap"), F.length(v).alias("value")),
+
+    def spans(x: Column) -> Column:
+        rows = F.zip_with(
+            F.zip_with(x["found"], x["ends"], lambda m, e: F.struct(m.alias("m"), e.alias("e"))),
+            x["value"],
+            lambda r, v: F.struct((r["e"] - F.length(r["m"])).alias("start"), F.lit(kind).alias("kind"), r["e"].alias("end"), F.when(F.length(v) >= LEAST_VALUE, r["m"]).alias("found")),
+        )
+        return F.filter(rows, lambda r: r["found"].isNotNull()).cast(f"array<{_SPAN}>")
+
+    held = F.struct(found.alias("found"), gaps.alias("gaps"), value.alias("value"))
+    with_ends = lambda x: F.struct(
+        x["found"].alias("found"), x["value"].alias("value"),
+        running_sums(F.zip_with(x["found"], x["gaps"], lambda m, g: (F.length(m) + F.length(g)).cast("long"))).alias("ends"),
     )
+    return F.when(text.rlike(pattern), _let(held, lambda x: _let(with_ends(x), spans))).otherwise(_none())
+
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("found"))
-        kept = F.when(x["value"] >= LEAST_VALUE, F.array_append(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), kept.alias("out"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a lambda's variable is not expanded again inside another lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), _none().alias("out"))
-    spans = F.aggregate(parts, begin, add, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(_none())
+
+def running_sums(values: Column) -> Column:
+    """Sums of an array of longs up to and with each element.
+
+    In blocks of about the square root of the length: sums of blocks, sums before each block, then
+    sums inside a block. So no step rebuilds an array, and the work is the power 1.5 of the length.
+    """
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def blocked(v: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int"), F.lit(1))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int"))
+        return _let(F.struct(v.alias("v"), size.alias("size"), F.transform(numbers, lambda b: total(F.slice(v, b * size + 1, size))).alias("sums")), before)
+
+    def before(x: Column) -> Column:
+        sums = F.transform(x["sums"], lambda _, b: total(F.slice(x["sums"], F.lit(1), b)))
+        return _let(F.struct(x["v"].alias("v"), x["size"].alias("size"), sums.alias("before")), inside)
+
+    def inside(x: Column) -> Column:
+        block = lambda i: F.floor(i / x["size"]).cast("int")
+        return F.transform(x["v"], lambda _, i: F.element_at(x["before"], block(i) + 1) + total(F.slice(x["v"], block(i) * x["size"] + 1, i % x["size"] + 1)))
+
+    return _let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(blocked(v)))
 
 
 def _c_log_c(count: Column) -> Column:
@@ -69,29 +102,30 @@ def _c_log_c(count: Column) -> Column:
 def best_window_bits(found: Column, chars: str) -> Column:
     """The largest Shannon entropy, in bits a character, of any window of WINDOW characters of ``found``.
 
-    The state holds a count per character of the class and the sum of c*log2(c); the entering and
-    the leaving character change one count each. Shorter strings give 0.
+    The state holds a count per character of the class, one letter each in a string, and the sum of
+    c*log2(c). The entering and the leaving character change one count each. Shorter strings give 0.
     """
     codes = F.transform(F.filter(F.split(found, ""), lambda ch: ch != ""), lambda ch: F.position(ch, F.lit(chars)))
     gone = F.concat(F.array_repeat(F.lit(0), WINDOW), F.slice(codes, 1, F.greatest(F.size(codes) - WINDOW, F.lit(0))))
     moves = F.zip_with(codes, gone, lambda i, o: F.struct(i.alias("i"), F.coalesce(o, F.lit(0)).alias("o")))
+    zero = ord("A")
+    count = lambda counts, place: F.ascii(F.substring(counts, place, F.lit(1))) - zero
+    put = lambda counts, place, n: F.overlay(counts, F.char(n + zero), place)
 
     def step(acc: Column, move: Column) -> Column:
-        enters, leaves = move["i"], move["o"]
-        old = F.element_at(acc["counts"], enters)
-        grown = acc["s"] + _c_log_c(old + 1) - _c_log_c(old)
-        last = F.element_at(acc["counts"], F.greatest(leaves, F.lit(1))) + (leaves == enters).cast("int")
-        s = F.when(leaves > 0, grown - _c_log_c(last) + _c_log_c(last - 1)).otherwise(grown)
-        counts = F.transform(
-            acc["counts"], lambda c, k: c + (k + 1 == enters).cast("int") - ((k + 1 == leaves) & (leaves > 0)).cast("int")
-        )
+        grown = F.struct(put(acc["counts"], move["i"], count(acc["counts"], move["i"]) + 1).alias("counts"), count(acc["counts"], move["i"]).alias("old"))
+        return _let(grown, lambda g: left(acc, move["o"], g))
+
+    def left(acc: Column, out: Column, g: Column) -> Column:
+        s = acc["s"] + _c_log_c(g["old"] + 1) - _c_log_c(g["old"])
+        last = F.when(out > 0, count(g["counts"], out)).otherwise(F.lit(1))
+        s = s - _c_log_c(last) + _c_log_c(last - 1)
+        counts = F.when(out > 0, put(g["counts"], out, last - 1)).otherwise(g["counts"])
         n = acc["n"] + 1
         bits = F.when(n >= WINDOW, F.lit(math.log2(WINDOW)) - s / WINDOW).otherwise(F.lit(0.0))
         return F.struct(counts.alias("counts"), s.alias("s"), n.alias("n"), F.greatest(acc["best"], bits).alias("best"))
 
-    begin = F.struct(
-        F.array_repeat(F.lit(0), len(chars)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0.0).alias("best")
-    )
+    begin = F.struct(F.lit("A" * len(chars)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0.0).alias("best"))
     return F.aggregate(moves, begin, step, lambda acc: acc["best"])
 
 
