@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symquarry.llm.store import parts, written
+from symquarry.llm.store import bounded_batches, parts, written
 from symquarry.llm.toxicity import held_out, logistic
 
 FEATURES = 14
@@ -64,13 +64,16 @@ def _measured(coefficients: np.ndarray | None):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Coefficients from about ``sample_rows`` labelled rows at most (a share of ids by hash), none of them held out."""
+    """Coefficients from about ``sample_rows`` labelled rows at most (a share of ids by hash), none of them held out.
+
+    Of rows that repeat an id the one with the greatest text teaches; rows without an id or label teach nothing.
+    """
     known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).where("quality is not null and __id is not null")
     known = known.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("quality").alias("quality"))
     share = int(1_000_000 * min(1.0, sample_rows / max(known.count(), 1)))
     known = known.where(F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(1_000_000)) < share)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(known), "__id")
-    rows = rows.select("quality", "text").mapInArrow(_measured(None), "quality int, x array<double>").collect()
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(known), "__id")
+    rows = rows.groupBy("__id", "quality").agg(F.max("text").alias("text")).select("quality", "text").mapInArrow(_measured(None), "quality int, x array<double>").collect()
     coefficients = np.zeros(FEATURES + 1)
     if rows and 0 < sum(r.quality for r in rows) < len(rows):
         coefficients = logistic(np.array([r.x for r in rows]), np.array([r.quality for r in rows], float))
@@ -96,13 +99,24 @@ def _log_odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, without ``www.``; null where there is none."""
+    host = F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1))
+    return F.when(host != "", host)
+
+
+def path_of(url: Column) -> Column:
+    """The first segment of a URL's path; empty where the path has none, null where there is no host."""
+    return F.when(host_of(url).isNotNull(), F.regexp_extract(url, r"^[^/]*//[^/?#]*/([^/?#]*)", 1))
+
+
 def score(docs: DataFrame, coefficients: np.ndarray, *, site: Column, section: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, evidence, site_posterior, section_posterior, score, keep) for each row of ``docs``.
 
-    Null sites and sections are groups of their own; a null text has the statistics of an empty one.
+    ``site`` and ``section`` are the two levels, :func:`host_of` and :func:`path_of` where rows have URLs. Null sites and sections are groups of their own; a null text has the statistics of an empty one.
     Only ids, group names and evidence are shuffled; groups are aggregated before the shuffle.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), site.cast("string").alias("site"), section.cast("string").alias("section"), F.col(text_col).cast("binary").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), site.cast("string").alias("site"), section.cast("string").alias("section"), F.col(text_col).cast("binary").alias("text"))
     schema = "doc_id long, site string, section string, z double"
     rows = written(rows.mapInArrow(_measured(coefficients), schema), "quality-evidence")
     p = 1 / (1 + F.exp(-F.col("z")))
@@ -116,6 +130,8 @@ def score(docs: DataFrame, coefficients: np.ndarray, *, site: Column, section: C
     both = groups.alias("g").join(sites.alias("s"), same("g", "s", "site")).select("g.*", "site_posterior")
     k2 = _strength(both, "site_posterior")
     both = both.select("site", "section", "site_posterior", ((F.lit(k2) * F.col("site_posterior") + F.col("p")) / (F.lit(k2) + F.col("n"))).alias("section_posterior"))
+    # Written, the join with a hot group's documents is one that adaptive execution can split.
+    both = written(both, "quality-posteriors")
     out = rows.alias("d").join(both.alias("g"), same("d", "g", "site") & same("d", "g", "section"))
     z = F.col("d.z") + _log_odds(F.col("section_posterior")) - F.lit(math.log(min(max(mean, 1e-4), 1 - 1e-4) / (1 - min(max(mean, 1e-4), 1 - 1e-4))))
     out = out.select("d.doc_id", held_out(F.col("d.doc_id")).alias("held_out"), p.alias("evidence"), "site_posterior", "section_posterior", (1 / (1 + F.exp(-z))).alias("score"))
