@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -60,13 +62,49 @@ def test_mix(spark, docs):
         assert r.size == sizes[r.doc_id] and 0 <= r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0)
         by[source[r.doc_id]].append(r)
     for rows in by.values():
-        assert abs(sum(r.taken for r in rows) - rows[0].target) <= max(0.1 * rows[0].target, min(r.size for r in rows))
+        # Of what is left out nothing comes nearer.
+        left = [r.size for r in rows if r.size and r.taken <= r.size * int(r.target / r.source_size)]
+        gap = rows[0].target - sum(r.taken for r in rows)
+        assert abs(gap) <= 0.1 * rows[0].target and all(abs(gap - size) >= abs(gap) for size in left)
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns
     times = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert times == {r.doc_id: r.taken // r.size for r in got if r.taken}
 
 
+def greedy(docs, need):
+    """Words that documents in hash order give if each that still fits is taken; the smallest left out if that is nearer."""
+    gap, left = need, []
+    for _, size in sorted(docs):
+        if 0 < size <= gap and gap > 0:
+            gap -= size
+        elif size:
+            left.append(size)
+    smallest = min(left, default=0)
+    return need - gap + (smallest if gap > 0 and smallest < 2 * gap else 0)
+
+
+def test_very_long_documents_leave_no_gap(spark):
+    rng = random.Random(9)
+    rows = []
+    for source, (small, long_) in enumerate([(300, 40_000), (40, 5_000), (3, 900), (0, 700)]):
+        sizes = [long_] + [rng.randint(1, 60) for _ in range(small)]
+        rows += [(100_000 * source + i, f"s{source}", "w " * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for seed in range(3):
+        sized, _ = mixing.mixing_plan(df, seed=seed)
+        h = {r.doc_id: r.h for r in sized.collect()}
+        by = defaultdict(list)
+        for r in mixing.mix(df, seed=seed).collect():
+            by[r.doc_id // 100_000].append(r)
+        for taken in by.values():
+            target, size = taken[0].target, taken[0].source_size
+            whole = int(target / size)
+            expected = whole * size + greedy([(h[r.doc_id], r.size) for r in taken], target - whole * size)
+            assert abs(sum(r.taken for r in taken) - expected) <= mixing.CLOSE * target + 1
+            assert all(r.taken <= 3 * r.size for r in taken)
+
+
 def test_neighbours(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
@@ -92,10 +130,25 @@ def test_neighbour_ties_and_invalid_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 3), (0, 4), (0, 5), (50, 0), (50, 1), (50, 2), (50, 3), (50, 4)]
+    again = df.union(df.where("vec_id in (1, 50)")).union(spark.createDataFrame([(3, [2.0, 1.1]), (50, [0.0, -1.0])], df.schema))
+    got = ann.search(again, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    # An id is found once; a query id that repeats asks with the least of its vectors.
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 3), (0, 4), (0, 5), (50, 3), (50, 0), (50, 1), (50, 2), (50, 4)]
+    assert [r.rank for r in got] == [1, 2, 3, 4, 5] * 2
     few = ann.search(df.where("vec_id in (1, 50)"), F.col("vec_id") % 50 == 0).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(50, 1, 1)]
 
 
+def test_cells_that_are_not_looked_into_lose_only_far_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    x = np.concatenate([c + 0.05 * rng.normal(size=(25, 16)) for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    best = lambda probes: {(r.query_id, r.rank): r.vec_id for r in ann.search(df, F.col("vec_id") % 50 == 0, probes=probes).collect()}
+    every, few = best(256), best(48)
+    assert len(every) == 100 and sum(few.get(k) == v for k, v in every.items()) >= 90
+
+
 def test_codes_approximate_vectors():
     x = np.random.default_rng(1).normal(size=(600, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -123,7 +176,7 @@ def test_toxicity_on_held_out_rows(spark):
 
 def test_clause_contexts():
     g = toxicity.Grammar({"scum": 4.0, "rott*": 2.0})
-    context = lambda text: [i for i, x in enumerate(g.features(text)[:5]) if x > 0]
+    context = lambda text: [i for i, x in enumerate(g.held(text)) if x > 0]
     assert context("what scum") == [0]
     assert context("you are scum") == [1]
     assert context("he is not scum") == [2]
@@ -134,6 +187,57 @@ def test_clause_contexts():
     assert len(transducers.clause_grammar()) > 100
 
 
+def brute_clauses(text, weights, contexts):
+    """Clause scores by the rules as they are worded: distances counted from each token, clause by clause."""
+    scores = []
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        words, score = re.findall(r"[^\W\d_]+", clause), 0.0
+        cls = ["T" if w in "kill hurt".split() else "P" if w in "you he they".split() else "N" if w == "not" else "S" if w == "said" else "I" if w in weights else "" for w in words]
+        # The last trigger before a token, at most so far away.
+        near = lambda k, c, reach: any(cls[j] == c for j in range(max(0, k - reach), k))
+        for k, w in enumerate(words):
+            if cls[k] == "I":
+                factor = 1.0
+                for hit, weight in zip((near(k, "P", 5), near(k, "N", 3), near(k, "S", 8)), contexts[1:4]):
+                    factor *= weight if hit else 1.0
+                score += weights[w] * factor
+            if cls[k] == "P" and near(k, "T", 4):
+                last = max(j for j in range(k) if cls[j] == "T")
+                if not near(last, "N", 3) and not near(last, "S", 8):
+                    score += contexts[4]
+        scores.append(score)
+    return [s for s in scores if s > 0]
+
+
+def test_clause_scores_and_documents_by_brute_force(spark):
+    rng = random.Random(12)
+    weights, contexts = {"scum": 4.0, "vile": 2.5}, (1.0, 1.7, 0.25, 0.5, 3.0)
+    g = toxicity.Grammar(weights, contexts)
+    g.coefficients = np.array([-3.0, 0.5, 0.2, 0.3, 0.1, 0.4, -0.1])
+    texts = [" ".join(rng.choice("scum vile you he not said kill hurt a b c d . ; !".split()) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", None]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), g).collect()}
+    for i, text in enumerate(texts):
+        scores = brute_clauses(text or "", weights, contexts)
+        assert [sum(s for _, s in clause) for clause in g.matches(text)[2]] == pytest.approx(scores)
+        words = len(re.findall(r"[^\W\d_]+", text or ""))
+        clauses = sum(bool(re.search(r"[^\W\d_]", c)) for c in re.split(r"[.!?;\n]", text or ""))
+        x = [np.log1p(sum(scores)), max(scores, default=0), np.log1p(100 * sum(scores) / words) if words else 0, np.log1p(len(scores)), len(scores) / clauses if clauses else 0, np.log1p(words)]
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(g.coefficients[0] + g.coefficients[1:] @ x))))
+        assert got[i].predicted == int(got[i].score >= 0.3)
+
+
+def test_lexicon_is_what_counts_say(spark):
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice("aa bb cc dd ee".split()) for _ in range(20)) + (" vileness" if i % 10 == 0 and i % 30 else "") + (" rare" if i == 40 else ""), int(i % 10 == 0)) for i in range(600)]
+    got = toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert set(got) == {"vileness"} and got["vileness"] == pytest.approx(np.log(40.5 / 61) - np.log(0.5 / 541))
+    # The tail of the binomial distribution, summed whole.
+    for hits, trials, rate in ((3, 10, 0.2), (40, 500, 0.05), (0, 5, 0.3), (250, 2000, 0.1)):
+        p = Fraction(rate)
+        exact = sum(math.comb(trials, k) * p**k * (1 - p) ** (trials - k) for k in range(hits, trials + 1))
+        assert toxicity.chance(hits, trials, rate) == pytest.approx(float(exact), rel=1e-9)
+
+
 def test_shards(spark, texts):
     rows = registry.op4_sharding(spark, SF).collect()
     bytes_ = defaultdict(int)
@@ -277,6 +381,16 @@ def test_secrets(spark, docs):
         assert set(filter(None, listed.split(","))) <= set(g.spans.split(","))
 
 
+def test_positions_of_many_matches(spark):
+    sums = spark.createDataFrame([([1, 2, 3],), ([],), (list(range(50)),), ([5],)], "v array<long>")
+    for r in sums.select("v", secrets.running_sums(F.col("v")).alias("s")).collect():
+        assert r.s == np.cumsum(r.v).tolist()
+    text = "é token=abcdefgh12 " * 20_000
+    row = secrets.secrets_digest(secrets.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    listed = ",".join(f"assign:{a}:{b}" for a, _, b in brute_spans(text))
+    assert row.n_assign == 20_000 and row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+
+
 def test_window_entropy(spark):
     rng = random.Random(3)
     cases = ["".join(rng.choice(secrets.KEY_CHARS) for _ in range(n)) for n in (5, 19, 20, 21, 60)] + ["ab" * 30, "a" * 40]
@@ -290,38 +404,132 @@ def test_window_entropy(spark):
 
     df = spark.createDataFrame([(s,) for s in cases], "s string").select("s", secrets.best_window_bits(F.col("s"), secrets.KEY_CHARS).alias("bits"))
     assert {r.s: r.bits for r in df.collect()} == pytest.approx({s: brute(s) for s in cases}, abs=1e-9)
-    allowed = ["123e4567-e89b-12d3-a456-426614174000", "some/long/path/without/digits", "k9J2h7G5f4D3s1A0example", "2024-01-01/2024-02-02"]
+    allowed = ["123e4567-e89b-12d3-a456-426614174000", "some/long/path/without/digits", "someLongNameWithoutDigits", "k9J2h7G5f4D3s1A0EXAMPLEKEY", "2024-01-01/2024-02-02"]
     text = " ".join([*allowed, "k9J2h7G5f4D3s1A0qWeRtYuI"])
     row = secrets.secrets_digest(secrets.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
     assert row.spans == f"entropy:{len(text) - 24}:{len(text)}"
-
-
-def brute_lines(rows, run, long_words):
-    first, grams = {}, []
-    for i, text in sorted(rows):
-        lines = [(n, x.strip()) for n, x in enumerate((text or "").split("\n")) if x.strip()]
-        for s in range(len(lines) - run + 1):
-            grams.append((i, tuple(x for _, x in lines[s : s + run]), [n for n, _ in lines[s : s + run]]))
-        grams += [(i, ("long", x), [n]) for n, x in lines if len(x.split()) >= long_words]
-    gone = defaultdict(set)
-    for i, gram, at in grams:
-        f = first.setdefault(gram, (i, at[-1]))
-        if i > f[0] or at[0] > f[1]:
-            gone[i].update(at)
-    return {i: sorted(v) for i, v in gone.items()}
+    found = ["kJhGfDsAqWeRtYuIoPzXcVbN", "example9J2h7G5f4D3s1A0zQwE"]
+    rows = secrets.secrets_digest(secrets.secrets(spark.createDataFrame(list(enumerate(found)), "doc_id long, text string"))).collect()
+    assert [r.spans for r in sorted(rows)] == [f"entropy:0:{len(x)}" for x in found]
+
+
+def brute_pieces(text):
+    """(first word, words) of each piece of a text: cuts before the last least word hash of every four words of a line."""
+    out, base = [], 0
+    for line in (text or "").split("\n"):
+        words = line.encode().split()
+        h = [xxhash.xxh64_intdigest(w) for w in words]
+        cuts = {0} if words else set()
+        for j in range(len(words) - line_dedup.PIECE + 1):
+            window = range(j, j + line_dedup.PIECE)
+            cuts.add(max(k for k in window if h[k] == min(h[i] for i in window)))
+        cuts = [*sorted(cuts), len(words)]
+        out += [(base + a, tuple(words[a:b])) for a, b in zip(cuts, cuts[1:])]
+        base += len(words)
+    return out
+
+
+def brute_lines(rows):
+    """For each (doc_id, row hash) the word ranges that go, from loops over all documents; rows: (doc_id, row, text)."""
+    gram, pieces, matches = line_dedup.GRAM, {}, defaultdict(list)
+    for i, row, text in sorted(rows, key=lambda r: r[:2]):
+        cut = line_dedup.Cut([(text or "").encode()])
+        pieces[i, row] = brute_pieces(text)
+        assert cut.first.tolist() == [f for f, _ in pieces[i, row]]
+        at, grams = cut.fingerprints()
+        n = len(pieces[i, row]) - gram + 1
+        assert all(set(range(k, k + line_dedup.WINDOW)) & set(at.tolist()) for k in range(n - line_dedup.WINDOW + 1)) and (n < 1 or len(at))
+        for a, g in zip(at.tolist(), grams.tolist()):
+            matches[g].append((i, row, a))
+    reach = line_dedup.WINDOW - 1
+    steps, first = defaultdict(set), {}
+    for places in matches.values():
+        if len(places) > 1:
+            for i, row, a in places:
+                steps[i, row] |= set(range(max(0, a - reach), min(a + reach, len(pieces[i, row]) - gram) + 1))
+    words = lambda key, a: tuple(w for _, w in pieces[key][a : a + gram])
+    for key in sorted(steps):
+        for a in sorted(steps[key]):
+            first.setdefault(words(key, a), (key, a))
+    out = {}
+    for key, places in steps.items():
+        gone = set()
+        for a in places:
+            origin, at = first[words(key, a)]
+            if origin != key or a >= at + gram:
+                gone.update(range(a, a + gram))
+        ranges = []
+        for k in sorted(gone):
+            begin, size = pieces[key][k][0], len(pieces[key][k][1])
+            if ranges and ranges[-1][1] == begin:
+                ranges[-1][1] = begin + size
+            else:
+                ranges.append([begin, begin + size])
+        out[key] = [(a, b) for a, b in ranges if b - a >= line_dedup.LEAST_WORDS]
+    return out
+
+
+def with_rows(df):
+    return [(r.doc_id, r.row, r.text) for r in df.select("doc_id", F.xxhash64(F.col("text").cast("binary")).alias("row"), "text").collect()]
 
 
 def test_line_runs(spark, docs):
     rng = random.Random(6)
-    made = [(1000 + i, "\n".join(rng.choice(["a", "b", "c", "", " a ", "w " * 25]) for _ in range(rng.randint(0, 14)))) for i in range(120)]
+    made = [(1000 + i // 2, "\n".join(rng.choice(["a", "b", "c", "", " a b  c d ", "w " * 25, " ".join(f"u{k}" for k in range(i % 9, i % 9 + 30))]) for _ in range(rng.randint(0, 14)))) for i in range(160)]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
-    rows = [(r.doc_id, r.text) for r in df.collect()]
-    got = {r.doc_id: list(r.removed) for r in line_dedup.repeated_lines(df).collect()}
-    assert got == brute_lines(rows, line_dedup.RUN, line_dedup.LONG_WORDS)
-    cleaned = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    rows = with_rows(df)
+    expected = brute_lines(rows)
+    cleaned = defaultdict(list)
+    for r in line_dedup.dedup_lines(df).collect():
+        cleaned[r.doc_id].append(r)
+    assert sum(map(len, cleaned.values())) == len(rows) and sum(bool(v) for v in expected.values()) > 60
+    for i, row, text in rows:
+        gone = expected.get((i, row), [])
+        listed = ",".join(f"{a}-{b}" for a, b in gone)
+        words = (text or "").split()
+        left = [w for k, w in enumerate(words) if not any(a <= k < b for a, b in gone)]
+        mine = [r for r in cleaned[i] if r.removed == listed and (r.text or "").split() == left]
+        assert mine and mine[0].n_lines == text.count("\n") + 1 and mine[0].words_removed == len(words) - len(left)
+        assert gone or mine[0].text == text
+
+
+def test_passages_inside_long_lines_are_found(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    some = lambda n: [word() for _ in range(n)]
+    rows, passages = [], {}
+    for i in range(60):
+        passage = some(line_dedup.ASSURED)
+        breaks = lambda ws: " ".join(w + ("\n" if rng.random() < 0.03 else "") for w in ws)
+        rows.append((2 * i, breaks(some(40)) + " " + " ".join(passage) + " " + breaks(some(60))))
+        rows.append((2 * i + 1, breaks(some(17)) + " " + " ".join(passage) + " " + breaks(some(30))))
+        passages[2 * i + 1] = passage
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, text in rows:
-        lines = text.split("\n")
-        assert cleaned[i].text == "\n".join(x for n, x in enumerate(lines) if n not in set(got.get(i, ()))) and cleaned[i].n_lines == len(lines)
+        if i not in passages:
+            assert got[i].text == text and got[i].removed == ""
+        else:
+            words, kept = text.split(), got[i].text.split()
+            at = next(k for k in range(len(words)) if words[k : k + len(passages[i])] == passages[i])
+            (a, b), = [tuple(map(int, x.split("-"))) for x in got[i].removed.split(",")]
+            assert at <= a < at + 2 * line_dedup.PIECE and at + len(passages[i]) - 2 * line_dedup.PIECE < b <= at + len(passages[i])
+            assert kept == words[:a] + words[b:]
+
+
+def test_texts_that_share_a_doc_id_lose_only_their_own_repeats(spark):
+    same = " ".join(f"same{i}" for i in range(30))
+    only = "\n".join(f"unique{i} of the second text" for i in range(12))
+    rows = [(1, same), (2, f"{same}\nkeep a"), (2, f"{only}\nkeep b"), (2, f"{only}\nkeep b"), (None, same), (3, None), (3, "")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.n_lines) for r in got) == sorted([
+        (1, same, 1), (2, "keep a", 2), (2, f"{only}\nkeep b", 13), (2, f"{only}\nkeep b", 13), (0, same, 1), (3, "", 0), (3, "", 1),
+    ])
+
+
+def test_many_lines_take_linear_time(spark):
+    rows = [(i, "\n".join(f"line {k} some words" for k in range(100_000))) for i in range(2)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[0].n_removed, got[1].n_removed, got[1].text) == (0, 100_000, "")
 
 
 def test_fm_index():
@@ -350,7 +558,7 @@ def test_decontamination(spark, docs, texts):
         for i in range(max(1, len(words) - 9)) if words else ():
             windows[tuple(words[i : i + 10])].add(str(r.item_id))
     got = {r.doc_id: r for r in decontaminate.contamination_digest(decontaminate.contamination(docs, items)).collect()}
-    split = {r.doc_id: r for r in decontaminate.contamination_digest(decontaminate.contamination(docs, items, block_words=300)).collect()}
+    split = {r.doc_id: r for r in decontaminate.contamination_digest(decontaminate.contamination(docs, items, block_bytes=900)).collect()}
     for i, text in texts.items():
         words, hit, found = word.findall(low(text)), set(), set()
         for n in {len(w) for w in windows}:
@@ -360,10 +568,22 @@ def test_decontamination(spark, docs, texts):
                     found |= windows[w]
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         assert tuple(got[i]) == tuple(split[i]) == (i, len(words), len(hit), len(found), digest, bool(hit))
+    assert len(decontaminate._listed(decontaminate.benchmark_blocks(items, 900, "item_id", "text"))) > 5
     kept = decontaminate.clean_documents(docs, items)
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.contaminated}
 
 
+def test_number_of_benchmark_blocks_changes_no_row(spark):
+    a, b = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(11))
+    items = spark.createDataFrame([(1, a), (2, b), (3, "short one"), (1, a)], "item_id long, text string")
+    rows = [(1, f"x {a} {b}"), (1, f"x {a} {b}"), (None, f"{a} y"), (None, "short one short one"), (2, ""), (3, "b0"), (4, None), (5, f"{b}"), (6, f"{a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(map(str, decontaminate.contamination(df, items, block_bytes=n).collect())) for n in (4 << 20, 40, 3)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    spans = {(r.doc_id, r.n_words): [(s.start, s.end) for s in r.spans] for r in decontaminate.contamination(df, items, block_bytes=3).collect()}
+    assert spans[1, 24] == [(1, 24)] and spans[None, 4] == [(0, 4)] and spans[5, 11] == [(0, 11)] and spans[6, 12] == [(0, 12)] and spans[3, 1] == []
+
+
 def test_warc_round_trip(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     more = spark.createDataFrame([(9001, "http://www.A.example/x", "same"), (9000, "https://a.example/x", "same"), (9002, None, None), (9003, "not a url[", ""), (None, "http://b.example", "same")], "page_id long, url string, html string")
@@ -381,11 +601,12 @@ def test_warc_round_trip(spark):
         digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
         assert tuple(g) == (r.page_id, len(raw), digest, "revisit" if later else "response", first[r.html or ""] if later else None)
     folder, manifest = warc.write_archive(pages)
-    directory = sorted(warc.build_index(folder, manifest, block_lines=7).collect(), key=lambda d: (d.first_key, d.file, d.offset))
+    tops = warc.build_index(folder, manifest, block_lines=2)
+    assert sorted(map(str, warc.read_archive(folder, tops, manifest.select("urlkey", "page_id")).collect())) == sorted(map(str, got))
     for r in rows:
-        found = {h["WARC-Record-ID"]: p for h, p in warc.lookup(folder, directory, r.url)}
+        found = {h["WARC-Record-ID"]: p for h, p in warc.lookup(folder, tops, r.url)}
         assert f"<urn:page:{'' if r.page_id is None else r.page_id}>" in found
-    assert len(warc.lookup(folder, directory, "http://a.example/x")) == 2 and warc.lookup(folder, directory, "http://zz.example") == []
+    assert len(warc.lookup(folder, tops, "http://a.example/x")) == 2 and warc.lookup(folder, tops, "http://zz.example") == []
     assert warc.url_key("http://www.Blog.example.com/a?b=1") == "com,example,blog)/a?b=1"
 
 
@@ -397,6 +618,43 @@ def test_quality_on_held_out_rows(spark):
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
 
 
+def brute_strength(groups, mean):
+    """Moments over (n, values, prior mean) of groups: variance inside groups by variance between them."""
+    n, k = sum(len(v) for v in groups.values()), len(groups)
+    if k < 2 or n <= k:
+        return 100.0
+    within = max(sum(((np.array(v) - np.mean(v)) ** 2).sum() for v in groups.values()) / (n - k), 1e-9)
+    between = sum(len(v) * (np.mean(v) - mean[g]) ** 2 for g, v in groups.items())
+    spread = max((between - (k - 1) * within) / (n - sum(len(v) ** 2 for v in groups.values()) / n), 1e-9)
+    return min(max(within / spread, 1.0), 1e6)
+
+
+def test_posteriors_of_hosts_and_paths_by_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    b = np.linspace(-0.6, 0.8, quality.FEATURES + 1)
+    out = quality.score(pages, b, site=quality.host_of(F.col("url")), section=quality.path_of(F.col("url")), id_col="page_id", text_col="html").collect()
+    host = lambda u: re.match(r"[a-z]+://(?:www\.)?([^/?#:]+)", u)[1].lower()
+    place = {r.page_id: (host(r.url), r.url.split("//")[1].partition("/")[2].split("/")[0].split("?")[0].split("#")[0]) for r in pages.collect()}
+    p = {r.page_id: 1 / (1 + np.exp(-np.clip(b[0] + b[1:] @ quality.statistics((r.html or "").encode()), -12, 12))) for r in pages.collect()}
+    mean = np.mean(list(p.values()))
+    sites, sections = defaultdict(list), defaultdict(list)
+    for i, (h, s) in place.items():
+        sites[h].append(p[i])
+        sections[h, s].append(p[i])
+    assert len(sections) > len(sites) > 5
+    k = brute_strength(sites, dict.fromkeys(sites, mean))
+    of_site = {h: (k * mean + sum(v)) / (k + len(v)) for h, v in sites.items()}
+    k = brute_strength(sections, {g: of_site[g[0]] for g in sections})
+    of_section = {g: (k * of_site[g[0]] + sum(v)) / (k + len(v)) for g, v in sections.items()}
+    odds = lambda x: np.log(np.clip(x, 1e-4, 1 - 1e-4) / (1 - np.clip(x, 1e-4, 1 - 1e-4)))
+    for r in out:
+        g = place[r.doc_id]
+        assert (r.evidence, r.site_posterior, r.section_posterior) == pytest.approx((p[r.doc_id], of_site[g[0]], of_section[g]))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(odds(p[r.doc_id]) + odds(of_section[g]) - odds(mean)))), rel=1e-6) or abs(odds(p[r.doc_id])) > 9
+    odd = spark.createDataFrame([("HTTP://user@WWW.Ab.example:80/x/y?z",), ("ftp://h",), ("h/x",), (None,)], "u string")
+    assert [tuple(r) for r in odd.select(quality.host_of(F.col("u")), quality.path_of(F.col("u"))).collect()] == [("ab.example", "x"), ("h", ""), (None, None), (None, None)]
+
+
 def test_sparse_groups_shrink(spark):
     z = [(i, "big", "s", "x" if i % 2 else "! ! !") for i in range(400)] + [(1000, "tiny", "t", "! ! !"), (1001, None, None, None)]
     df = spark.createDataFrame(z, "doc_id long, source string, lang string, text string")

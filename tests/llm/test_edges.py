@@ -49,6 +49,30 @@ NAMES = sorted(operators(None, None))
 PER_ROW = {"mixing", "shard", "with_shard", "simhash", "secrets", "lines", "decontaminate", "toxicity", "quality"}
 
 
+@pytest.fixture(scope="module")
+def odd_pages(spark):
+    """Pages and vectors in one table, with nulls, repeats, a very long page and columns that the operators use themselves."""
+    rows = [
+        (1, "http://a.example/x", "same", [1.0, 0.0]), (1, "http://a.example/x", "same", [1.0, 0.0]), (2, None, None, None), (None, "http://b.example", "same", [0.5, 0.5]),
+        (None, None, None, [1.0, 1.0]), (50, "", "", [0.0, 2.0]), (4, "http://a.example/x", "page " * 200_000, [1.0, 2.0]), (100, "not a url[", "same", [1.0, 2.0]),
+    ]
+    extra = "digest string, first long, same string, sha string, k long, file string, offset long, ids array<long>, vector string, codes string, cell int, block int, score double, rank int"
+    schema = f"page_id long, url string, html string, embedding array<double>, {extra}"
+    return spark.createDataFrame([(*r, "d", 1, "s", "h", 2, "f", 3, [4], "v", "c", 5, 6, 0.5, 7) for r in rows], schema)
+
+
+def test_odd_pages(odd_pages):
+    out = warc.round_trip(odd_pages).collect()
+    sizes = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in out)
+    expected = [("1", 4, "response", None)] * 2 + [("2", 0, "response", None), ("4", 1_000_000, "response", None), ("50", 0, "revisit", 2), ("100", 4, "revisit", 1), ("None", 4, "response", None), ("None", 0, "response", None)]
+    assert sizes == sorted(expected)
+
+
+def test_odd_vectors(odd_pages):
+    out = ann.search(odd_pages.withColumn("vec_id", F.col("page_id")), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in out] == [(50, 1, 4), (50, 2, 100), (50, 3, 1), (100, 1, 4), (100, 2, 50), (100, 3, 1)]
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_odd_rows(odd, labels, benchmark, name):
     out = operators(labels, benchmark)[name](odd)
@@ -65,6 +89,14 @@ def test_empty_tables(empty, labels, benchmark, name):
     assert operators(labels, benchmark)[name](empty).collect() == []
 
 
+def test_many_lines_matches_and_candidates_in_one_text(spark):
+    text = "\n".join(f"token=abcdef{i} AKIA{'A' * 16} {'0123456789abcdef' * 2} kJ{i}hGfDsAqWeRtYu7IoPzXcV one two three four five six" for i in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    row = secrets.secrets_digest(secrets.secrets(df)).first()
+    assert (row.n_assign, row.n_access, row.n_hex) == (20_000, 20_000, 20_000) and row.spans.count("entropy:") == 20_000
+    assert {(r.doc_id, r.n_removed) for r in line_dedup.dedup_lines(df).collect()} == {(1, 0), (2, 20_000)}
+
+
 def test_defined_results(odd, benchmark):
     assert {r.size for r in mixing.mix(odd).where("doc_id in (2, 3, 4)").collect()} == {0}
     kept = [r.doc_id for r in simhash.one_of_each(odd).collect()]
@@ -76,6 +108,10 @@ def test_defined_results(odd, benchmark):
     assert hit[1] and hit[7] and not hit[2] and not hit[3] and not hit[5]
     assert decontaminate.clean_documents(odd, benchmark).count() == 6
     assert decontaminate.clean_documents(odd, benchmark.limit(0)).count() == len(ROWS)
+    lines = {str(r.doc_id): (r.n_lines, r.n_removed, r.words_removed) for r in line_dedup.dedup_lines(odd).collect()}
+    # Of a word that repeats on one line the first pieces stay.
+    assert lines["2"] == (0, 0, 0) and lines["3"] == (1, 0, 0) and lines["1"] == lines["None"] == (1, 0, 0) or lines["None"][1:] == (0, 0)
+    assert 0 < 40000 - lines["5"][2] <= 2 * line_dedup.PIECE * line_dedup.GRAM
     slots = [(r.shard, r.slot) for r in sharding.shard(odd).collect()]
     assert len(set(slots)) == len(ROWS)
 
@@ -86,6 +122,12 @@ def test_a_hot_group_is_cut(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 40
 
 
+def test_copies_at_a_cut_stay_together_where_the_edge_is_near(spark):
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.floor(F.col("id") / 4)).alias("text"))
+    out = sharding.shard(rows).join(rows, "doc_id").groupBy("text").agg(F.count_distinct("shard").alias("n")).where("n > 1")
+    assert out.count() == 0
+
+
 def test_no_vectors_and_no_pages(spark):
     none = spark.createDataFrame([(1, None), (50, [0.0])], "vec_id long, embedding array<float>")
     assert ann.search(none, F.col("vec_id") % 50 == 0).collect() == []
