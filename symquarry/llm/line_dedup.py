@@ -6,45 +6,58 @@ successive words of its line: where two lines share a passage, they are cut alik
 piece is longer than PIECE words.
 
 1. Winnowing: a fingerprint is the hash of GRAM successive pieces. Of each WINDOW successive
-   fingerprints of a document the least is selected; selected ones that occur again are matches.
-2. Matches are extended both ways, fingerprint by fingerprint. A match lies no further than
-   WINDOW - 1 pieces from either end of a shared run and from the next match inside it, so that many
-   steps reach the ends of every run. Each step is joined with the first place where its fingerprint
-   occurs, by (doc_id, row, position): a run may go on in another document than where it began. A
-   common passage costs a row per occurrence and never a pair.
-3. Steps at later places mark their pieces; marked pieces in a row are a run, and runs of
-   LEAST_WORDS words are deleted.
-
-Guarantee: of any ASSURED words in a row that two places share, all but up to 2 * PIECE - 1 words at
-either end of the later place go. (The first and last PIECE - 1 words may be cut differently, and
-one piece reaches beyond them; between them are at least ASSURED - 4 * PIECE + 3 words, so GRAM +
-WINDOW - 1 pieces.) Shorter runs, down to LEAST_WORDS, go where the selection meets them; what goes
-always occurs before.
+   fingerprints of a document the least is selected.
+2. Selected fingerprints that occur again are joined with their first occurrence by (doc_id, row,
+   position); a common passage costs a row per occurrence and never a pair. Later ones mark their
+   pieces. As WINDOW is below GRAM, those selected inside a shared run leave no gap between them.
+3. Matches that go on along the same first document are one chain. Both ends of a chain are extended
+   piece by piece while that document agrees; a run ends within WINDOW - 1 pieces of its last match.
+4. Marked pieces in a row are a run; runs of LEAST_WORDS words are deleted.
+
+Guarantee: of any ASSURED words in a row that two places share at least one fingerprint is selected in
+both, and the later place loses all but the ends: up to 2 * PIECE - 1 words that may be cut
+differently, and, only where the fingerprint next to the end first occurred in another document that
+doesn't go on alike, up to WINDOW - 1 pieces more. (The first and last PIECE - 1 words may be cut
+differently, and one piece reaches beyond them; between them are at least ASSURED - 4 * PIECE + 3
+words, so GRAM + WINDOW - 1 pieces.) Shorter runs, down to LEAST_WORDS, go where the selection meets
+them; what goes always occurs before.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symquarry.llm.store import bounded_batches, discard, parts, split_join, written
 
 #: Words of a piece, pieces of a fingerprint, fingerprints of which one is selected, words of a run.
-PIECE, GRAM, WINDOW, LEAST_WORDS = 4, 5, 6, 20
+PIECE, GRAM, WINDOW, LEAST_WORDS = 4, 6, 5, 20
 #: Words of a shared passage that is found for sure.
 ASSURED = PIECE * (GRAM + WINDOW - 2) + 4 * PIECE - 2
+#: Texts are told apart by so many buckets of their hash when those that lose words are sought out: what is broadcast has a row a bucket at most.
+BUCKETS = 1 << 20
 _U = np.uint64
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _UNITS = "doc_id long, row long, pieces array<int>, at array<int>, grams array<long>"
+_RUNS = "row long, doc_id long, starts array<int>, ends array<int>"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _ODD[3]
-    x = (x ^ (x >> _U(29))) * _ODD[4]
-    return x ^ (x >> _U(32))
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _odd(n: int, seed: int) -> np.ndarray:
+    """n odd numbers that look random."""
+    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed)) | _U(1)
+
+
+_BYTES, _PLACES = _odd(256, 1), _odd(max(PIECE, GRAM), 2)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _least(values: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
@@ -59,31 +72,41 @@ def _least(values: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
 
 
 class Cut:
-    """The pieces of some texts (bytes): hashes, the first word of each, and the text each belongs to."""
-
-    def __init__(self, texts: list[bytes | None]):
-        words: list[bytes] = []
-        ends, owner = [], []
-        for number, text in enumerate(texts):
-            for line in (text or b"").split(b"\n"):
-                found = line.split()
-                if found:
-                    words += found
-                    ends.append(len(words))
-                    owner.append(number)
-        self.ends = np.array(ends, np.int64)
-        starts = np.concatenate(([0], self.ends))[: len(ends)].astype(np.int64)
-        line = np.repeat(np.arange(len(ends)), self.ends - starts)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        self.first = np.union1d(starts, _least(hashes, line, PIECE))
-        sizes = np.diff(np.append(self.first, len(words)))
-        within = np.arange(len(words)) - np.repeat(self.first, sizes)
-        self.sizes = sizes
-        if len(words):
-            self.hashes = _mixed(np.add.reduceat(_mixed(hashes) * _ODD[within % PIECE], self.first) + sizes.astype(np.uint64))
-        else:
-            self.hashes = np.zeros(0, np.uint64)
-        self.owner = np.array(owner, np.int64)[line[self.first]] if len(words) else np.zeros(0, np.int64)
+    """The words and pieces of some texts (binary): hashes, where each begins, and the text each belongs to.
+
+    All texts are cut at once, on their bytes; words are what stands between ASCII white space.
+    """
+
+    def __init__(self, texts: pa.Array | list):
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()), b"")
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        held = texts.buffers()[2]
+        data = np.frombuffer(held, np.uint8)[bounds[0] : bounds[-1]] if held is not None and len(texts) else np.zeros(0, np.uint8)
+        bounds = bounds - bounds[0]
+        letter = ~_SPACE[data]
+        fresh = np.ones(len(data) + 1, bool)
+        fresh[1:-1] = ~letter[:-1]
+        fresh[bounds] = True  # whatever begins or ends a text
+        start = np.flatnonzero(letter & fresh[:-1])
+        after = np.append(~letter, True)[1:] | fresh[1:] & np.isin(np.arange(1, len(data) + 1), bounds)
+        sizes = np.flatnonzero(letter & after) + 1 - start
+        self.words = len(start)
+        text_of_word = np.searchsorted(bounds, start, side="right") - 1
+        line = np.cumsum(data == 10)[start] + text_of_word
+        begin = np.cumsum(sizes) - sizes
+        within = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
+        spread = _odd(int(sizes.max(initial=0)), 3)
+        hashes = _mixed(np.add.reduceat(_BYTES[data[letter]] * spread[within], begin) + sizes.astype(np.uint64)) if self.words else np.zeros(0, np.uint64)
+        new_line = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))[: self.words])
+        self.first = np.union1d(new_line, _least(hashes, line, PIECE))
+        self.sizes = np.diff(np.append(self.first, self.words))
+        within = np.arange(self.words) - np.repeat(self.first, self.sizes)
+        summed = np.add.reduceat(hashes * _PLACES[within], self.first) if self.words else hashes
+        self.hashes = _mixed(summed + self.sizes.astype(np.uint64))
+        self.owner = text_of_word[self.first]
+        #: Where the pieces and words of each text begin.
+        self.text_at = np.searchsorted(self.owner, np.arange(len(texts) + 1))
+        self.words_at = np.searchsorted(text_of_word, np.arange(len(texts) + 1))
 
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
         """(pieces at which selected fingerprints begin, their hashes), over all texts."""
@@ -92,34 +115,31 @@ class Cut:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         grams = np.zeros(n, np.uint64)
         for k in range(GRAM):
-            grams += self.hashes[k : k + n] * _ODD[k]
+            grams += self.hashes[k : k + n] * _PLACES[k]
         grams = _mixed(grams)
         inside = np.flatnonzero(self.owner[:n] == self.owner[GRAM - 1 :])
         owner, grams = self.owner[inside], grams[inside]
         chosen = _least(grams, owner, WINDOW)
         # A text with fewer fingerprints than a window has its least one selected.
-        numbers, begin, many = np.unique(owner, return_index=True, return_counts=True)
+        _, begin, many = np.unique(owner, return_index=True, return_counts=True)
         few = [b + m - 1 - int(grams[b : b + m][::-1].argmin()) for b, m in zip(begin[many < WINDOW], many[many < WINDOW])]
         chosen = np.union1d(chosen, np.array(few, np.int64))
         return inside[chosen], grams[chosen]
 
 
-def _lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
-    """A list per text of the values that belong to it; owners ascend."""
-    offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
 def _units(batches):
     for batch in parts(batches):
-        cut = Cut(batch.column(2).to_pylist())
+        cut = Cut(batch.column(2))
         at, grams = cut.fingerprints()
-        begin = np.searchsorted(cut.owner, np.arange(batch.num_rows))
+        owner = cut.owner[at]
+        selected = np.searchsorted(owner, np.arange(batch.num_rows + 1))
         columns = [
-            batch.column(0), batch.column(1),
-            _lists(cut.hashes.astype(np.uint32).view(np.int32), cut.owner, batch.num_rows, pa.int32()),
-            _lists((at - begin[cut.owner[at]]).astype(np.int32), cut.owner[at], batch.num_rows, pa.int32()),
-            _lists(grams.view(np.int64), cut.owner[at], batch.num_rows, pa.int64()),
+            batch.column(0), batch.column(1), _lists(cut.hashes.astype(np.uint32).view(np.int32), cut.text_at, pa.int32()),
+            _lists((at - cut.text_at[owner]).astype(np.int32), selected, pa.int32()), _lists(grams.view(np.int64), selected, pa.int64()),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "pieces", "at", "grams"])
 
@@ -130,48 +150,94 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
-def repeated_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, at): for each text with later occurrences the pieces at which their fingerprints begin.
+def _chains(batches):
+    """Of each text's later matches the stretches they mark, and the chains' ends to be extended."""
+    for batch in batches:
+        offsets = batch.column(2).offsets.to_numpy()
+        flat = batch.column(2).flatten()
+        at, f_doc, f_row, f_at = (flat.field(k).to_numpy() for k in range(4))
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        order = np.lexsort((at, owner))
+        at, f_doc, f_row, f_at, owner = (x[order] for x in (at, f_doc, f_row, f_at, owner))
+        goes_on = (owner[1:] == owner[:-1]) & (f_doc[1:] == f_doc[:-1]) & (f_row[1:] == f_row[:-1]) & (at[1:] - at[:-1] == f_at[1:] - f_at[:-1]) & (at[1:] - at[:-1] <= GRAM)
+        head, tail = np.concatenate(([True], ~goes_on)), np.concatenate((~goes_on, [True]))
+        begin, end = np.flatnonzero(head[: len(at)]), np.flatnonzero(tail[: len(at)])
+        upto = np.searchsorted(owner[begin], np.arange(batch.num_rows + 1))
+        place = lambda x, kind: _lists(x, upto, kind)
+        columns = [
+            batch.column(0), batch.column(1), place(at[begin], pa.int32()), place(at[end] + GRAM, pa.int32()), place(f_doc[begin], pa.int64()), place(f_row[begin], pa.int64()),
+            place(f_at[begin], pa.int32()), place(f_at[end] + GRAM, pa.int32()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "starts", "ends", "f_doc", "f_row", "f_starts", "f_ends"])
+
+
+def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, runs): for each text with later matches its chains, each with the first document's pieces around it.
 
-    row is a hash of the text. Texts are never shuffled here.
+    runs: structs of start and end (pieces of the text that are marked) and before and after (hashes
+    of up to WINDOW - 1 pieces there, outward). row is a hash of the text. Texts are never shuffled here.
     """
     units = written(_rows(docs, id_col, text_col).where("doc_id is not null").mapInArrow(_units, _UNITS), "lines-units")
-    again = units.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     selected = units.select("doc_id", "row", F.explode(F.arrays_zip("at", "grams")).alias("s")).select("doc_id", "row", "s.at", F.col("s.grams").alias("gram"))
-    matches = split_join(selected, again, "gram").groupBy("row", "doc_id").agg(F.collect_set("at").alias("at"))
-    # A text's matches meet its pieces in one row; the steps around them come apart again.
-    own = split_join(units.select("row", "doc_id", "pieces"), matches, ["row", "doc_id"])
-    reach = WINDOW - 1
-    steps = F.flatten(F.transform("at", lambda a: F.sequence(F.greatest(a - reach, F.lit(0)), F.least(a + reach, F.size("pieces") - GRAM))))
-    hashed = lambda a: F.struct(a.alias("at"), F.xxhash64(F.slice("pieces", a + 1, F.lit(GRAM))).alias("step"))
-    own = own.select("row", "doc_id", F.explode(F.transform(F.array_distinct(steps), hashed)).alias("s")).select("row", "doc_id", "s.at", "s.step")
-    steps = written(own, "lines-steps")
-    first = steps.groupBy("step").agg(F.min(F.struct("doc_id", "row", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = split_join(steps, first, "step").where(
+    first = selected.groupBy("gram").agg(F.min(F.struct("doc_id", "row", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = split_join(selected, first, "gram").where(
         (F.col("row") != F.col("f.row")) | (F.col("doc_id") != F.col("f.doc_id")) | (F.col("at") >= F.col("f.at") + GRAM)
     )
-    runs = written(later.groupBy("row", "doc_id").agg(F.collect_set("at").alias("at")), "lines-runs")
-    for table in (units, steps):
+    match = F.struct("at", F.col("f.doc_id").alias("f_doc"), F.col("f.row").alias("f_row"), F.col("f.at").alias("f_at"))
+    texts = later.select("row", "doc_id", match.alias("m")).groupBy("row", "doc_id").agg(F.collect_set("m").alias("m"))
+    chains = written(texts.mapInArrow(_chains, f"{_RUNS}, f_doc array<long>, f_row array<long>, f_starts array<int>, f_ends array<int>"), "lines-chains")
+    each = F.explode(F.arrays_zip("starts", "ends", "f_doc", "f_row", "f_starts", "f_ends"))
+    chain = chains.select("row", "doc_id", each.alias("c")).select("row", "doc_id", "c.*")
+    # The pieces around a chain in its first document: a row a document meets its own pieces.
+    asked = chain.groupBy("f_row", "f_doc").agg(F.collect_set(F.struct("f_starts", "f_ends")).alias("asked"))
+    reach = WINDOW - 1
+    low = lambda c: F.greatest(c["f_starts"] - reach, F.lit(0))
+    around = lambda c: F.struct(
+        c["f_starts"].alias("f_starts"), c["f_ends"].alias("f_ends"),
+        F.reverse(F.slice("pieces", low(c) + 1, c["f_starts"] - low(c))).alias("before"), F.slice("pieces", c["f_ends"] + 1, F.lit(reach)).alias("after"),
+    )
+    pieces = units.select(F.col("row").alias("f_row"), F.col("doc_id").alias("f_doc"), "pieces")
+    own = split_join(pieces, asked, ["f_row", "f_doc"]).select("f_row", "f_doc", F.explode(F.transform("asked", around)).alias("c"))
+    around_chain = own.select("f_row", "f_doc", "c.*").distinct()
+    both = split_join(chain, around_chain, ["f_row", "f_doc", "f_starts", "f_ends"])
+    run = F.struct(F.col("starts").alias("start"), F.col("ends").alias("end"), "before", "after")
+    runs = written(both.groupBy("row", "doc_id").agg(F.collect_set(run).alias("runs")), "lines-runs")
+    for table in (units, chains):
         discard(table)
     return runs
 
 
-def cut_text(text: bytes, at: np.ndarray, least_words: int) -> tuple[list[tuple[int, int]], int, bytes]:
-    """([start, end) ranges of deleted words, lines that went whole, text without them).
-
-    ``at``: pieces where GRAM repeated ones begin. Those that meet are one run; one of fewer than
-    ``least_words`` words stays. A line that goes whole goes with its line break, and white space
-    before a deleted end of a line goes too.
-    """
-    cut = Cut([text])
-    marked = np.zeros(len(cut.first), bool)
-    marked[at[:, None] + np.arange(GRAM)] = True
+def marked_pieces(hashes: np.ndarray, runs: list[dict]) -> np.ndarray:
+    """Which pieces of a text are repeated: those of the runs, extended while the pieces around agree."""
+    marked = np.zeros(len(hashes), bool)
+    short = hashes.astype(np.uint32).view(np.int32).tolist()
+    for r in runs:
+        a, b = r["start"], r["end"]
+        for x in r["before"]:
+            if a == 0 or short[a - 1] != x:
+                break
+            a -= 1
+        for x in r["after"]:
+            if b == len(short) or short[b] != x:
+                break
+            b += 1
+        marked[a:b] = True
+    return marked
+
+
+def word_ranges(marked: np.ndarray, sizes: np.ndarray, least_words: int) -> list[tuple[int, int]]:
+    """[start, end) ranges of words that marked pieces in a row make, those of at least ``least_words`` words."""
     inside = np.concatenate(([False], marked, [False]))
     flips = np.flatnonzero(inside[1:] != inside[:-1])
-    bounds = np.append(cut.first, cut.sizes.sum())
-    gone = [(int(bounds[a]), int(bounds[b])) for a, b in zip(flips[::2], flips[1::2]) if bounds[b] - bounds[a] >= least_words]
-    if not gone:
-        return [], 0, text
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    return [(int(bounds[a]), int(bounds[b])) for a, b in zip(flips[::2], flips[1::2]) if bounds[b] - bounds[a] >= least_words]
+
+
+def without_words(text: bytes, gone: list[tuple[int, int]]) -> tuple[int, bytes]:
+    """(lines that went whole, text without the ranges of words).
+
+    A line that goes whole goes with its line break, and white space before a deleted end of a line goes too.
+    """
     out, lines, word, k = [], 0, 0, 0
     for line in text.split(b"\n"):
         found = line.split()
@@ -186,7 +252,7 @@ def cut_text(text: bytes, at: np.ndarray, least_words: int) -> tuple[list[tuple[
             lines += 1
             continue
         out.append(_without(line, found, hit) if hit else line)
-    return gone, lines, b"\n".join(out)
+    return lines, b"\n".join(out)
 
 
 def _without(line: bytes, words: list[bytes], hit: list[tuple[int, int]]) -> bytes:
@@ -207,10 +273,17 @@ def _without(line: bytes, words: list[bytes], hit: list[tuple[int, int]]) -> byt
 def _delete(least_words: int):
     def run(batches):
         for batch in parts(batches):
+            texts, runs = batch.column(1), batch.column(2).to_pylist()
+            cut = Cut(texts)
             rows = []
-            for doc_id, text, at in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts.to_pylist())):
+                gone, whole, left = [], 0, text
+                if runs[k]:
+                    mine = slice(cut.text_at[k], cut.text_at[k + 1])
+                    gone = word_ranges(marked_pieces(cut.hashes[mine], runs[k]), cut.sizes[mine], least_words)
+                if gone:
+                    whole, left = without_words(text, gone)
                 n_lines = 0 if text is None else text.count(b"\n") + 1
-                gone, whole, left = cut_text(text, np.array(at, np.int64), least_words) if text and at else ([], 0, text)
                 rows.append((doc_id, n_lines, whole, sum(b - a for a, b in gone), ",".join(f"{a}-{b}" for a, b in gone), left))
             columns = list(zip(*rows)) or [()] * 6
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -227,8 +300,19 @@ def dedup_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: str
     between them. Documents go by doc_id, texts of one doc_id by their hash: each is a document of its own, while
     equal rows lose the same words. Within one text a repeat counts only from beyond the first
     occurrence. A null text stays null with 0 lines, an empty one has one line; rows with a null doc_id stay as they are.
+
+    Only texts in a bucket of hashes with one that loses words are shuffled; the others stay in place.
     """
-    runs = repeated_pieces(docs, id_col=id_col, text_col=text_col)
-    rows = split_join(_rows(docs, id_col, text_col), runs, ["row", "doc_id"], "left").select("doc_id", "text", "at")
+    runs = repeated_runs(docs, id_col=id_col, text_col=text_col)
+    bucket = F.pmod(F.xxhash64("doc_id", "row"), F.lit(BUCKETS)).alias("bucket")
+    hit = F.broadcast(runs.select(bucket).distinct())
+    rows = _rows(docs, id_col, text_col).select("*", bucket)
+    sought = split_join(rows.join(hit, "bucket", "left_semi"), runs, ["row", "doc_id"], "left").select("doc_id", "text", "runs")
     schema = "doc_id long, n_lines long, n_removed long, words_removed long, removed string, text binary"
-    return rows.mapInArrow(_delete(least_words), schema).withColumn("text", F.col("text").cast("string"))
+    cleaned = sought.mapInArrow(_delete(least_words), schema).withColumn("text", F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    zero = F.lit(0).cast("long")
+    lines = F.when(text.isNull(), zero).otherwise(F.regexp_count(text, F.lit("\n")).cast("long") + 1)
+    return cleaned.union(
+        rows.join(hit, "bucket", "left_anti").select("doc_id", lines.alias("n_lines"), zero.alias("n_removed"), zero.alias("words_removed"), F.lit("").alias("removed"), text.alias("text"))
+    )

@@ -10,6 +10,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -413,12 +414,24 @@ def test_window_entropy(spark):
     assert [r.spans for r in sorted(rows)] == [f"entropy:0:{len(x)}" for x in found]
 
 
+def scrambled(x):
+    """The finaliser of splitmix64."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+    return x ^ (x >> 31)
+
+
+def word_hash(word):
+    odd = lambda k, seed: scrambled((k * 0x9E3779B97F4A7C15 + seed) % 2**64) | 1
+    return scrambled((sum(odd(c + 1, 1) * odd(i + 1, 3) for i, c in enumerate(word)) + len(word)) % 2**64)
+
+
 def brute_pieces(text):
     """(first word, words) of each piece of a text: cuts before the last least word hash of every four words of a line."""
     out, base = [], 0
     for line in (text or "").split("\n"):
         words = line.encode().split()
-        h = [xxhash.xxh64_intdigest(w) for w in words]
+        h = list(map(word_hash, words))
         cuts = {0} if words else set()
         for j in range(len(words) - line_dedup.PIECE + 1):
             window = range(j, j + line_dedup.PIECE)
@@ -429,38 +442,57 @@ def brute_pieces(text):
     return out
 
 
+def test_texts_are_cut_alike_alone_and_together():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "bb", "c\u00e9", " ", "  ", "\n", "\t", "\n\n", "d e f g h"]) for _ in range(rng.randint(0, 60))) for _ in range(120)] + ["", None, "x" * 9000, "\n", "end"]
+    cut = line_dedup.Cut([None if t is None else t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        mine = slice(cut.text_at[k], cut.text_at[k + 1])
+        assert list(zip((cut.first[mine] - cut.words_at[k]).tolist(), cut.sizes[mine].tolist())) == [(f, len(ws)) for f, ws in brute_pieces(t)]
+        alone = line_dedup.Cut([(t or "").encode()])
+        assert alone.hashes.tolist() == cut.hashes[mine].tolist() and cut.sizes[mine].max(initial=0) <= line_dedup.PIECE
+    together = pa.array([t.encode() for t in texts if t is not None], pa.binary())
+    assert line_dedup.Cut(together.slice(3, 40)).hashes.tolist() == cut.hashes[cut.text_at[3] : cut.text_at[43]].tolist()
+
+
 def brute_lines(rows):
     """For each (doc_id, row hash) the word ranges that go, from loops over all documents; rows: (doc_id, row, text)."""
-    gram, pieces, matches = line_dedup.GRAM, {}, defaultdict(list)
+    gram, pieces, places = line_dedup.GRAM, {}, {}
+    first, chosen = {}, {}
     for i, row, text in sorted(rows, key=lambda r: r[:2]):
         cut = line_dedup.Cut([(text or "").encode()])
         pieces[i, row] = brute_pieces(text)
-        assert cut.first.tolist() == [f for f, _ in pieces[i, row]]
-        at, grams = cut.fingerprints()
+        at, grams = (x.tolist() for x in cut.fingerprints())
         n = len(pieces[i, row]) - gram + 1
-        assert all(set(range(k, k + line_dedup.WINDOW)) & set(at.tolist()) for k in range(n - line_dedup.WINDOW + 1)) and (n < 1 or len(at))
-        for a, g in zip(at.tolist(), grams.tolist()):
-            matches[g].append((i, row, a))
-    reach = line_dedup.WINDOW - 1
-    steps, first = defaultdict(set), {}
-    for places in matches.values():
-        if len(places) > 1:
-            for i, row, a in places:
-                steps[i, row] |= set(range(max(0, a - reach), min(a + reach, len(pieces[i, row]) - gram) + 1))
-    words = lambda key, a: tuple(w for _, w in pieces[key][a : a + gram])
-    for key in sorted(steps):
-        for a in sorted(steps[key]):
-            first.setdefault(words(key, a), (key, a))
+        assert all(set(range(k, k + line_dedup.WINDOW)) & set(at) for k in range(n - line_dedup.WINDOW + 1)) and (n < 1 or at)
+        chosen[i, row] = at
+        for a, g in zip(at, grams):
+            first.setdefault(tuple(w for _, w in pieces[i, row][a : a + gram]), ((i, row), a))
     out = {}
-    for key, places in steps.items():
+    for key, at in chosen.items():
+        mine, matches = pieces[key], []
+        for a in sorted(at):
+            origin, f = first[tuple(w for _, w in mine[a : a + gram])]
+            if origin != key or a >= f + gram:
+                matches.append((a, origin, f))
         gone = set()
-        for a in places:
-            origin, at = first[words(key, a)]
-            if origin != key or a >= at + gram:
-                gone.update(range(a, a + gram))
+        for k, (a, origin, f) in enumerate(matches):
+            gone.update(range(a, a + gram))
+            theirs = pieces[origin]
+            linked = lambda x, y: x[1] == y[1] and y[0] - x[0] == y[2] - x[2] and y[0] - x[0] <= gram
+            if k == 0 or not linked(matches[k - 1], matches[k]):
+                d = 1
+                while d < line_dedup.WINDOW and a >= d and f >= d and mine[a - d][1] == theirs[f - d][1]:
+                    gone.add(a - d)
+                    d += 1
+            if k == len(matches) - 1 or not linked(matches[k], matches[k + 1]):
+                d = gram
+                while d < gram + line_dedup.WINDOW - 1 and a + d < len(mine) and f + d < len(theirs) and mine[a + d][1] == theirs[f + d][1]:
+                    gone.add(a + d)
+                    d += 1
         ranges = []
         for k in sorted(gone):
-            begin, size = pieces[key][k][0], len(pieces[key][k][1])
+            begin, size = mine[k][0], len(mine[k][1])
             if ranges and ranges[-1][1] == begin:
                 ranges[-1][1] = begin + size
             else:
