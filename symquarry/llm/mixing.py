@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 from symquarry.llm.store import discard, placed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bits of the seeded hash, and of its leading part that numbers the buckets of a source.
-HASH_BITS, BUCKET_BITS = 48, 16
+#: Bits of the seeded hash, of its leading part that numbers the buckets of a source, and of the part that numbers buckets inside one.
+HASH_BITS, BUCKET_BITS, INNER_BITS = 48, 10, 12
 #: A source whose taken words miss its target by no more than this share needs no further round.
 CLOSE = 0.001
 _LEAST_ID, _MOST_ID = -(1 << 63), (1 << 63) - 1
@@ -74,36 +74,52 @@ def _ends(h: int, i: int) -> Column:
 
 def _in_segments(segments: Column, size: Column, place: Column) -> Column:
     """Whether a round took a document: its size fits the round's gap and its place the round's range."""
-    return F.exists(segments, lambda s: (size <= s["limit"]) & (place > s["from"]) & (place <= s["upto"]))
+    return F.exists(segments, lambda s: (place > s["from"]) & (place <= s["upto"]) & (size <= s["limit"]))
 
 
 def _same(a: str, b: str) -> Column:
     return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
 
+def _overshot(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """(words per bucket, bucket where the first document overshoots) of rows (source, b, size, gap).
+
+    The second has source, b and rest, which is the gap that the buckets before it leave.
+    """
+    words = written(rows.groupBy("source", "b", "gap").agg(F.sum("size").alias("words")), label)
+    before = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    run = words.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    stop = run.where("before <= gap and before + words > gap").select("source", "b", (F.col("gap") - F.col("before")).alias("rest"))
+    return words, stop
+
+
+def _inside(rows: DataFrame, stop: DataFrame) -> DataFrame:
+    """The rows of the buckets of ``stop``, whose gap is the rest there."""
+    on = _same("s", "t") & (F.col("s.b") == F.col("t.b"))
+    return rows.alias("s").join(stop.alias("t"), on).select("s.source", "s.size", "p", F.col("rest").alias("gap"))
+
+
 def _round(sized: DataFrame, fills: DataFrame) -> DataFrame:
     """One round for the open rows of ``fills`` (source, target, gap, at, segments, open)."""
-    shift = HASH_BITS - BUCKET_BITS
+    outer, inner = HASH_BITS - BUCKET_BITS, HASH_BITS - BUCKET_BITS - INNER_BITS
     rows = sized.where("size > 0").withColumn("p", _place(F.col("h"), F.col("doc_id"))).alias("s").join(fills.where("open").alias("f"), _same("s", "f"))
-    rows = rows.where("size <= gap and p > at").select("s.source", "s.size", "p", F.shiftright("s.h", shift).alias("b"), "gap")
-    coarse = rows.groupBy("source", "b", "gap").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    coarse = written(coarse, "mix-buckets")
-    # The bucket where the first document overshoots, and what the buckets before it hold.
-    stop = coarse.where("before <= gap and before + words > gap").select("source", "b", (F.col("gap") - F.col("before")).alias("rest"))
-    inside = rows.select("source", "b", "p", "size").alias("s").join(stop.alias("t"), _same("s", "t") & (F.col("s.b") == F.col("t.b")))
-    inside = inside.groupBy("s.source", "s.b", "rest", "p").agg(F.sum("size").alias("words"))
+    rows = rows.where("size <= gap and p > at").select("s.source", "s.size", "p", F.shiftright("s.h", outer).alias("b"), "gap")
+    words, stop = _overshot(rows, "mix-buckets")
+    rows = _inside(rows, stop).withColumn("b", F.shiftright("p.h", inner))
+    rows = written(rows, "mix-inside")
+    _, stop = _overshot(rows, "mix-inner")
+    inside = _inside(rows, stop.select("source", "b", "rest")).groupBy("source", "gap", "p").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("upto", upto)
-    cut = inside.groupBy("source", "b", "rest").agg(
-        F.max(F.when(F.col("upto") <= F.col("rest"), F.col("p"))).alias("last"),
-        F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("held"),
-        F.min(F.when(F.col("upto") > F.col("rest"), F.col("p"))).alias("over"),
+    fits = F.col("upto") <= F.col("gap")
+    cut = inside.groupBy("source", F.col("gap").alias("rest")).agg(
+        F.max(F.when(fits, F.col("p"))).alias("last"), F.max(F.when(fits, F.col("upto"))).alias("held"),
+        F.min(F.when(~fits, F.col("p"))).alias("over"), F.min("p.h").alias("h"),
     )
-    all_ = coarse.groupBy("source").agg(F.sum("words").alias("words"))
+    all_ = words.groupBy("source").agg(F.sum("words").alias("words"))
     joined = fills.alias("f").join(cut.alias("c"), _same("f", "c"), "left").join(all_.alias("a"), _same("f", "a"), "left")
-    none_inside = F.struct((F.shiftleft("c.b", shift) - 1).alias("h"), F.lit(_MOST_ID).alias("i"))
+    # Where nothing of the bucket fits, the last one taken lies before it.
+    none_inside = F.struct((F.shiftleft(F.shiftright("c.h", inner), inner) - 1).alias("h"), F.lit(_MOST_ID).alias("i"))
     upto = F.when(F.col("c.over").isNull(), _ends((1 << HASH_BITS), _MOST_ID)).otherwise(F.coalesce("c.last", none_inside))
     segment = F.struct(F.col("gap").alias("limit"), F.col("at").alias("from"), upto.alias("upto"))
     gap = F.when(F.col("c.over").isNull(), F.col("gap") - F.col("a.words")).otherwise(F.col("rest") - F.coalesce("held", F.lit(0)))
@@ -188,7 +204,8 @@ def mixed_rows(docs: DataFrame, *, seed: int = 7, id_col: str = "doc_id", source
     plan = plan.select(F.col("source").alias("__mix_source"), F.struct("whole", "segments", "extra").alias("__mix"))
     rows = docs.join(plan, docs[source_col].cast("string").eqNullSafe(plan["__mix_source"]))
     i = docs[id_col].cast("long")
-    rows = rows.withColumn("__mix_size", word_count(docs[text])).where("__mix_size > 0")
-    rows = rows.withColumn("__mix_n", repetitions(F.col("__mix_size"), seeded_hash(i, seed), i, "__mix.").cast("int")).where("__mix_n > 0")
+    # Words are counted only for documents in the range of a round.
+    times = repetitions(word_count(docs[text]), seeded_hash(i, seed), i, "__mix.")
+    rows = rows.withColumn("__mix_n", F.when(docs[text].rlike(WORD), times).otherwise(F.lit(0).cast("long")).cast("int")).where("__mix_n > 0")
     rows = rows.withColumn("__mix_i", F.explode(F.array_repeat(F.lit(1), F.col("__mix_n"))))
     return rows.select(*[docs[c] for c in docs.columns])
