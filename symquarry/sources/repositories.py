@@ -137,7 +137,7 @@ def _contents(max_size: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                data = []
+                data, first = [], []
                 for root, path, size in zip(*(part.column(c).to_pylist() for c in ("root", "path", "size"))):
                     content = None
                     if size <= max_size:
@@ -149,7 +149,9 @@ def _contents(max_size: int):
                         if content is not None and b"\0" in content[:4096]:
                             content = None
                     data.append(content)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*part.schema.names, "content"])
+                    # Only a script's first line is needed, whatever its encoding and length.
+                    first.append(content.split(b"\n", 1)[0].decode("utf-8", "replace") if content is not None and content.startswith(b"#!") else None)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary()), pa.array(first, pa.string())], names=[*part.schema.names, "content", "first_line"])
 
     return run
 
@@ -157,8 +159,7 @@ def _contents(max_size: int):
 def with_contents(files: DataFrame, max_size: int) -> DataFrame:
     """Adds content (null where too large, unreadable or binary) and lang, by name or else by the first line."""
     spread = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
-    schema = files.select("*", F.lit(None).cast("binary").alias("content")).schema
+    schema = files.select("*", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("first_line")).schema
     rows = files.repartition(spread, "root", "path").mapInArrow(_contents(max_size), schema)
-    first_line = F.substring_index(F.decode(F.substring("content", 1, 256), "UTF-8"), "\n", 1)
-    scripts = F.when(~path_functions.basename(F.col("path")).contains("."), path_functions.shebang_language(first_line))
-    return rows.withColumn("lang", F.coalesce(path_functions.detect_language(F.col("path")), scripts))
+    scripts = F.when(~path_functions.basename(F.col("path")).contains("."), path_functions.shebang_language(F.col("first_line")))
+    return rows.withColumn("lang", F.coalesce(path_functions.detect_language(F.col("path")), scripts)).drop("first_line")
