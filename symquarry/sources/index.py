@@ -1,19 +1,17 @@
-"""The stored index: versioned snapshots of Parquet tables, refreshed incrementally.
+"""The stored index: Parquet tables by version and repository, refreshed incrementally.
 
-A refresh writes a new snapshot directory and then renames a pointer file, so readers keep what
-they opened and a crash leaves the previous snapshot in place. Files and symbols are partitioned by
-repository; only files that changed are read and parsed.
+Files and symbols lie in ``<table>/version=V/repo_id=R``. The table of repositories says which version
+of each counts, and a commit file, the last by number, says which table of repositories counts. A
+refresh reads and parses changed files only, and writes only repositories of which a file changed,
+under a new version; nothing counts before its commit, so readers keep what they opened and a crash
+leaves the previous state in place.
 """
 
 from __future__ import annotations
 
-import fcntl
 import json
-import os
-import shutil
 import time
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,125 +23,179 @@ from symquarry.schema import FILES, REPOS, SCHEMA_VERSION, SYMBOLS
 from symquarry.sources import repositories
 from symquarry.sources.config import Config
 from symquarry.sources.corpus import file_rows, with_norms
+from symquarry.sources.storage import Folder
 
-TABLES = {"repos": REPOS, "files": FILES, "symbols": SYMBOLS}
+TABLES = {"files": FILES, "symbols": SYMBOLS}
+#: Commits that readers may still hold.
+KEPT_COMMITS = 2
 
 
-@contextmanager
-def lock(directory: str):
+def lock(spark: SparkSession, directory: str):
     """Yields whether this process is the only refresher; never waits."""
-    os.makedirs(directory, exist_ok=True)
-    with open(os.path.join(directory, "refresh.lock"), "w") as f:
-        try:
-            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-        except OSError:
-            yield False
-            return
-        yield True
-
-
-def _pointer(directory: str) -> str | None:
-    try:
-        with open(os.path.join(directory, "current.json"), encoding="utf-8") as f:
-            meta = json.load(f)
-    except (OSError, ValueError):
-        return None
-    # Another version of the data is never migrated: the index is a cache and is built anew.
-    return os.path.join(directory, meta["snapshot"]) if meta.get("schema_version") == SCHEMA_VERSION else None
+    return Folder(spark, directory).lock("refresh.lock")
+
+
+def _commits(folder: Folder) -> list[dict]:
+    """Commits of this version of the data, oldest first. Others are never migrated: the index is a cache and is built anew."""
+    names = [n for n in folder.names() if n.startswith("commit-") and n.endswith(".json")]
+    found = [json.loads(folder.read(n)) | {"name": n} for n in names]
+    return [c for c in found if c.get("schema_version") == SCHEMA_VERSION]
+
+
+def _stored(spark: SparkSession, folder: Folder, commit: dict | None) -> DataFrame:
+    """Repositories of a commit, with the version of each; none without a commit."""
+    schema = f"{REPOS}, version string"
+    return spark.read.schema(schema).parquet(f"{folder.path}/{commit['repos']}") if commit else spark.createDataFrame([], schema)
+
+
+def _table(spark: SparkSession, folder: Folder, table: str, stored: DataFrame) -> DataFrame:
+    versions = sorted(r.version for r in stored.select("version").distinct().collect())
+    paths = [f"{folder.path}/{table}/version={v}" for v in versions if folder.exists(f"{table}/version={v}")]
+    schema = TABLES[table]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, version string").option("basePath", f"{folder.path}/{table}").parquet(*paths)
+    if len(versions) > 1:
+        rows = rows.join(stored.select(F.col("id").alias("repo_id"), "version"), ["repo_id", "version"], "left_semi")
+    else:
+        rows = rows.join(stored.select(F.col("id").alias("repo_id")), "repo_id", "left_semi")
+    return rows.select(*_names(schema))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def read_index(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """The tables repos, files and symbols of the current snapshot; empty ones if there is none."""
-    snapshot = _pointer(directory)
-    if snapshot is None:
-        return {t: spark.createDataFrame([], schema) for t, schema in TABLES.items()}
-    return {t: spark.read.schema(schema).parquet(os.path.join(snapshot, t)) for t, schema in TABLES.items()}
+    """The tables repos, files and symbols as of the last commit; empty ones if there is none."""
+    folder = Folder(spark, directory)
+    stored = _stored(spark, folder, next(reversed(_commits(folder)), None))
+    return {"repos": stored.drop("version")} | {t: _table(spark, folder, t, stored) for t in TABLES}
 
 
-def refresh(spark: SparkSession, directory: str, config: Config, full: bool = False) -> dict[str, int] | None:
+def refresh(spark: SparkSession, directory: str, config: Config, full: bool = False, roots: list[str] | None = None) -> dict[str, int] | None:
     """Brings the index up to date; returns counters, or None if another process refreshes.
 
     Repositories whose commit is the same and that were and are clean are skipped unless ``full``.
-    A repository whose files can't be listed keeps what is stored, and its state stays dirty.
+    A repository whose files can't be listed keeps what is stored, and its state stays dirty. With
+    ``roots`` only those repositories are looked at; the others stay as they are stored.
     """
-    with lock(directory) as alone:
+    with lock(spark, directory) as alone:
         if not alone:
             return None
-        return _refresh(spark, directory, config, full)
-
-
-def _refresh(spark: SparkSession, directory: str, config: Config, full: bool) -> dict[str, int]:
-    old = read_index(spark, directory)
-    found = repositories.discovered(spark, config.index.paths, config.index.nested)
-    states = repositories.git_states(found).cache()
-    stored = old["repos"]
-    pruned = diff.vanished_repos(stored, states)
-    scan = diff.repos_to_scan(states, stored, full).cache()
+        return _refresh(spark, Folder(spark, directory), config, full, roots)
+
+
+def summary(counters: dict[str, int]) -> str:
+    """One line about a refresh."""
+    return "{repos} repos ({skipped} skipped, {pruned} pruned, {failed} failed), {indexed} files indexed, {removed} removed, {symbols} symbols".format(**counters)
+
+
+def _refresh(spark: SparkSession, folder: Folder, config: Config, full: bool, roots: list[str] | None) -> dict[str, int]:
+    commits = _commits(folder)
+    stored = _stored(spark, folder, commits[-1] if commits else None).cache()
+    found = repositories.discover(config.index.paths, config.index.nested)
+    here = {root for _, root in found}
+    if roots is not None:
+        wanted = set(roots)
+        found = [(name, root) for name, root in found if root in wanted]
+        apart = stored.where(~F.col("root").isin(sorted(wanted)))
+    else:
+        apart = stored.limit(0)
+    states = repositories.git_states(spark.createDataFrame(found, "name string, root string")).cache()
+    looked_at = stored.join(apart.select("id"), "id", "left_anti")
+    pruned = sum(r.root not in here for r in looked_at.select("root").collect())
+    scan = diff.repos_to_scan(states, stored.drop("version"), full).cache()
     listed = repositories.tracked_files(scan, config.index.ignored if config.index.ignores else None).cache()
     failed = listed.where("path is null").select("root", F.lit(True).alias("failed")).distinct()
     repo_id = F.xxhash64("root")
     current = listed.where("path is not null").select(repo_id.alias("repo_id"), "root", "path", "mtime_ns", "size")
     scanned = scan.join(failed, "root", "left_anti").select(repo_id.alias("repo_id"))
-    known = old["files"].join(scanned, "repo_id", "left_semi")
-    changed = diff.changed_files(current, known, full).select(*current.columns)
-    gone = diff.removed_files(known, current)
-
-    parsed = repositories.with_contents(changed, config.index.max_file_size)
-    file_id = F.xxhash64("repo_id", "path")
-    keys = [file_id.alias("id"), "repo_id", "path", normalize(F.col("path")).alias("path_norm"), "mtime_ns", "size", "lang"]
-    snapshot = os.path.join(directory, f"snapshot-{uuid.uuid4().hex[:12]}")
-    work = os.path.join(snapshot, "work")
-    # One reading of the changed files feeds both tables.
-    parsed.select(*keys, "content").write.parquet(work)
-    fresh = spark.read.parquet(work)
-    rows = extract_symbols(fresh.select("id", "repo_id", "path", "path_norm", "lang", "content"), resolve_yaml=config.index.resolve_yaml)
-    code = with_norms(rows).withColumn("file_id", F.col("id"))
-    code = code.withColumn("id", F.xxhash64("file_id", "line", "kind", "name", "scope", "ordinal"))
-    columns = [c.split()[0] for c in SYMBOLS.split(", ")]
-    symbols = file_rows(fresh).select(*columns).unionByName(code.select(*columns))
-    stale = fresh.select("id").union(gone.select(F.col("id")))
-    live = states.select(repo_id.alias("repo_id"))
-
-    def kept(table: DataFrame, key: str) -> DataFrame:
-        return table.join(stale.select(F.col("id").alias(key)), key, "left_anti").join(live, "repo_id", "left_semi").select(*table.columns)
-
+    counters = {"repos": states.count() + apart.count(), "pruned": pruned, "failed": failed.count(), "indexed": 0, "removed": 0, "symbols": 0}
+    n_scanned = scan.count()
+    counters["skipped"] = states.count() - n_scanned
+    version = uuid.uuid4().hex[:12]
+    changed: set[int] = set()
+    if n_scanned:
+        files = _table(spark, folder, "files", stored)
+        known = files.join(scanned, "repo_id", "left_semi").cache()
+        fresh = diff.changed_files(current, known, full).select(*current.columns)
+        gone = diff.removed_files(known, current).select("id", "repo_id").cache()
+        work = f"work-{version}"
+        counters |= _write_changed(spark, folder, config, files, stored, fresh, gone, version, work)
+        touched = spark.read.parquet(f"{folder.path}/{work}").select("repo_id").union(gone.select("repo_id")).distinct()
+        changed = {r.repo_id for r in touched.collect()}  # one number a repository
+        folder.delete(work)
+        known.unpersist()
+        gone.unpersist()
     now = int(time.time())
-    before = stored.select("root", F.col("name").alias("old_name"), F.col("head").alias("old_head"), F.col("dirty").alias("old_dirty"), "indexed_at")
+    before = stored.select("root", F.col("name").alias("old_name"), F.col("head").alias("old_head"), "indexed_at", F.col("version").alias("old_version"))
     repos = states.join(scan.select("root", F.lit(True).alias("scanned")), "root", "left").join(failed, "root", "left").join(before, "root", "left")
     repos = repos.select(
         repo_id.alias("id"), "name", "root", F.when(F.col("failed"), F.col("old_head")).otherwise(F.col("head")).alias("head"),
         (F.col("dirty") | F.coalesce("failed", F.lit(False))).alias("dirty"),
         F.when(F.col("scanned"), F.lit(now)).otherwise(F.col("indexed_at")).cast("long").alias("indexed_at"),
-    )
-    names = [c.split()[0] for c in FILES.split(", ")]
-    _write(kept(old["files"], "id").unionByName(fresh.select(*names)), f"{snapshot}/files")
-    _write(kept(old["symbols"], "file_id").unionByName(symbols), f"{snapshot}/symbols")
-    counters = {
-        "repos": states.count(), "skipped": states.count() - scan.count(), "pruned": pruned.count(), "failed": failed.count(),
-        "indexed": fresh.count(), "removed": gone.count(), "symbols": code.count(),
-    }
-    # The state of repositories comes last: until the pointer moves nothing of this run counts.
-    repos.coalesce(1).write.parquet(f"{snapshot}/repos")
-    shutil.rmtree(work)
-    previous = _pointer(directory)
-    temporary = os.path.join(directory, f"current.{uuid.uuid4().hex}.json")
-    with open(temporary, "w", encoding="utf-8") as f:
-        json.dump({"schema_version": SCHEMA_VERSION, "snapshot": os.path.basename(snapshot)}, f)
-    os.replace(temporary, os.path.join(directory, "current.json"))
-    _forget_older(directory, {snapshot, previous})
-    for df in (states, scan, listed):
+        F.when(repo_id.isin(sorted(changed)) | F.col("old_version").isNull(), F.lit(version)).otherwise(F.col("old_version")).alias("version"),
+    ).unionByName(apart)
+    # The state of repositories comes last: until the commit nothing of this run counts.
+    repos.coalesce(1).write.parquet(f"{folder.path}/repos-{version}")
+    number = int(commits[-1]["name"][7:-5]) + 1 if commits else 1
+    folder.write_new(f"commit-{number:010d}.json", json.dumps({"schema_version": SCHEMA_VERSION, "repos": f"repos-{version}"}))
+    _forget_older(spark, folder)
+    for df in (stored, states, scan, listed):
         df.unpersist()
     return counters
 
 
+def _write_changed(spark, folder: Folder, config: Config, files: DataFrame, stored: DataFrame, fresh: DataFrame, gone: DataFrame, version: str, work: str) -> dict[str, int]:
+    """Parses changed files and writes the repositories that they or removed files belong to."""
+    parsed = repositories.with_contents(fresh, config.index.max_file_size)
+    keys = [F.xxhash64("repo_id", "path").alias("id"), "repo_id", "path", normalize(F.col("path")).alias("path_norm"), "mtime_ns", "size", "lang"]
+    # One reading of the changed files feeds both tables.
+    parsed.select(*keys, "content").write.parquet(f"{folder.path}/{work}")
+    new = spark.read.parquet(f"{folder.path}/{work}")
+    counts = {"indexed": new.count(), "removed": gone.count(), "symbols": 0}
+    if not counts["indexed"] and not counts["removed"]:
+        return counts
+    rows = extract_symbols(new.select("id", "repo_id", "path", "path_norm", "lang", "content"), resolve_yaml=config.index.resolve_yaml)
+    code = with_norms(rows).withColumn("file_id", F.col("id"))
+    code = code.withColumn("id", F.xxhash64("file_id", "line", "kind", "name", "scope", "ordinal"))
+    symbols = file_rows(new).select(*_names(SYMBOLS)).unionByName(code.select(*_names(SYMBOLS)))
+    stale = new.select("id").union(gone.select("id"))
+    touched = new.select("repo_id").union(gone.select("repo_id")).distinct()
+
+    def kept(table: DataFrame, key: str) -> DataFrame:
+        return table.join(touched, "repo_id", "left_semi").join(stale.select(F.col("id").alias(key)), key, "left_anti").select(*table.columns)
+
+    _write(kept(files, "id").unionByName(new.select(*_names(FILES))), f"{folder.path}/files/version={version}")
+    _write(kept(_table(spark, folder, "symbols", stored), "file_id").unionByName(symbols), f"{folder.path}/symbols/version={version}")
+    written = spark.read.parquet(f"{folder.path}/symbols/version={version}")
+    counts["symbols"] = written.where("kind <> 'file'").join(new.select(F.col("id").alias("file_id")), "file_id", "left_semi").count()
+    return counts
+
+
 def _write(df: DataFrame, path: str) -> None:
     """By repository, and inside by the name that is searched, for row-group statistics; hot repositories split by AQE."""
     order = "qual_norm" if "qual_norm" in df.columns else "path"
     df.hint("rebalance", "repo_id").sortWithinPartitions("repo_id", order).write.partitionBy("repo_id").parquet(path)
 
 
-def _forget_older(directory: str, keep: set[str | None]) -> None:
-    """Snapshots before the previous one: readers may still hold that."""
-    for entry in os.scandir(directory):
-        if entry.name.startswith("snapshot-") and entry.path not in keep:
-            shutil.rmtree(entry.path, ignore_errors=True)
+def _forget_older(spark: SparkSession, folder: Folder) -> None:
+    """Deletes commits before the last ones, and versions of repositories that none of those names."""
+    commits = _commits(folder)
+    live: dict[str, set[int]] = {}
+    for commit in commits[-KEPT_COMMITS:]:
+        for r in _stored(spark, folder, commit).select("version", "id").collect():  # one row a repository
+            live.setdefault(r.version, set()).add(r.id)
+    for commit in commits[:-KEPT_COMMITS]:
+        folder.delete(commit["name"])
+        folder.delete(commit["repos"])
+    for table in TABLES:
+        for name in folder.names(table):
+            version = name.partition("=")[2]
+            if version not in live:
+                folder.delete(f"{table}/{name}")
+                continue
+            for part in folder.names(f"{table}/{name}"):
+                if part.startswith("repo_id=") and int(part[8:]) not in live[version]:
+                    folder.delete(f"{table}/{name}/{part}")

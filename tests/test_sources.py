@@ -60,7 +60,7 @@ def test_refresh_cycle(spark, tmp_path):
     os.rename(two / ".git", two / "was")
     assert index.refresh(spark, store, c)["pruned"] == 1
     assert index.read_index(spark, store)["repos"].count() == 1
-    with index.lock(store) as alone:
+    with index.lock(spark, store) as alone:
         assert alone and index.refresh(spark, store, c) is None
 
 
@@ -68,10 +68,54 @@ def test_streamed_refresh(spark, tmp_path):
     repository(tmp_path / "src/one", {"a.md": b"# Top\n"})
     c = config.parse(f'[index]\npaths=["{tmp_path}/src"]\n')
     (tmp_path / "notices").mkdir()
-    (tmp_path / "notices/1.json").write_text('{"root": "/x", "at": "2024-01-01T00:00:00Z"}\n')
+    repository(tmp_path / "src/two", {"b.md": b"# Other\n"})
+    (tmp_path / "notices/1.json").write_text('{"root": "%s/src/one", "at": "2024-01-01T00:00:00Z"}\n' % tmp_path)
     query = streaming.refresh_on_change(spark, str(tmp_path / "notices"), str(tmp_path / "index"), c, str(tmp_path / "check"))
     query.awaitTermination(120)
-    assert index.read_index(spark, str(tmp_path / "index"))["symbols"].where("kind = 'heading'").count() == 1
+    # Only the repository that the notice names was looked at; one without a root stands for all.
+    headings = lambda: sorted(r.name for r in index.read_index(spark, str(tmp_path / "index"))["symbols"].where("kind = 'heading'").collect())
+    assert headings() == ["Top"]
+    (tmp_path / "notices/2.json").write_text('{"at": "2024-01-01T00:00:01Z"}\n')
+    streaming.refresh_on_change(spark, str(tmp_path / "notices"), str(tmp_path / "index"), c, str(tmp_path / "check")).awaitTermination(120)
+    assert headings() == ["Other", "Top"]
+
+
+def test_any_file_survives_a_refresh(spark, tmp_path):
+    files = {
+        "LICENSE": "x" .encode() * 255 + "é and more\n".encode(), "AUTHORS": "José\n".encode("latin-1"), "run": b"#!/usr/bin/env bash\nstart() { :; }\n",
+        "odd": b"#!/bin/sh \xff\xfe\ngo() { :; }\n", "long": b"#!" + b"a" * 300_000, "empty": b"", "bad.py": b"def f(:\n\xff", "deep.yml": b"[" * 5000, "bom.yml": b"\xef\xbb\xbf'q\\t': 1\n",
+    }
+    repository(tmp_path / "src/one", files)
+    c = config.parse(f'[index]\npaths=["{tmp_path}/src"]\n')
+    counters = index.refresh(spark, str(tmp_path / "index"), c)
+    assert (counters["indexed"], counters["failed"]) == (len(files), 0)
+    symbols = index.read_index(spark, str(tmp_path / "index"))["symbols"]
+    assert {r.name for r in symbols.where("kind = 'file'").collect()} == set(files)
+    assert {(r.kind, r.name) for r in symbols.where("kind in ('func', 'key')").collect()} == {("func", "start"), ("func", "go"), ("func", "f"), ("key", "q\\t")}
+    assert "9 files indexed" in index.summary(counters)
+
+
+def test_only_changed_repositories_are_written(spark, tmp_path):
+    for name in ("one", "two"):
+        repository(tmp_path / "src" / name, {"a.md": f"# {name}\n".encode(), "b.md": b"# same\n"})
+    c, store = config.parse(f'[index]\npaths=["{tmp_path}/src"]\n'), tmp_path / "index"
+    index.refresh(spark, str(store), c)
+    parts = lambda: {(p.parent.parent.name, p.parent.name) for p in store.glob("symbols/version=*/repo_id=*/*.parquet")}
+    first = parts()
+    assert len(first) == 2
+    index.refresh(spark, str(store), c)
+    assert parts() == first
+    (tmp_path / "src/one/a.md").write_bytes(b"# changed\n")
+    index.refresh(spark, str(store), c)
+    assert len(parts() - first) == 1
+    names = lambda: sorted(r.name for r in index.read_index(spark, str(store))["symbols"].where("kind = 'heading'").collect())
+    assert names() == ["changed", "same", "same", "two"]
+    # What no kept commit names is deleted.
+    for text in (b"# again\n", b"# more\n", b"# last\n"):
+        (tmp_path / "src/one/a.md").write_bytes(text)
+        index.refresh(spark, str(store), c)
+    assert len(parts()) == 3 and len(list(store.glob("commit-*.json"))) == 2 and len(list(store.glob("repos-*"))) == 2
+    assert names() == ["last", "same", "same", "two"]
 
 
 def test_config(tmp_path):
