@@ -20,18 +20,22 @@ def tsv(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.concat_ws("\t", *map(_text, columns)).alias("line_text"))
 
 
+def best_last(rows: DataFrame, limit: int) -> list[str]:
+    """The ``limit`` best of ranked rows as TSV lines for a terminal, the best at the end; few rows, on the driver."""
+    return [r.line_text for r in tsv(rows.limit(limit)).collect()][::-1]
+
+
 def pick_feed(rows: DataFrame, words: list[Word] | None = None, sgr: str = "") -> DataFrame:
     """Repository, path and line, then ``repo@kind``, the scoped name and the place, joined by tabs.
 
     With words and an SGR sequence, what they match is painted: names by name words, paths and file
-    rows by all. Painting needs spans, so only then rows go through Arrow.
+    rows by all.
     """
     name, place = F.concat_ws("::", "scope", "name"), F.col("path")
     if words and sgr.strip():
         every, named = [w.norm for w in words], [w.norm for w in words if not w.path_only]
-        painted = lambda ws: F.pandas_udf(lambda s: s.map(lambda x: paint_matches(x, ws, sgr)), "string")
-        name = F.when(F.col("kind") == "file", painted(every)(name)).otherwise(painted(named)(name))
-        place = painted(every)(F.col("path"))
+        name = F.when(F.col("kind") == "file", paint_matches(name, every, sgr)).otherwise(paint_matches(name, named, sgr))
+        place = paint_matches(F.col("path"), every, sgr)
     place = F.when(F.col("kind") == "file", "").otherwise(F.concat(place, F.when(F.col("line").isNull(), "").otherwise(F.concat(F.lit(":"), F.col("line").cast("string")))))
     fields = (_text("repo"), _text("path"), _text("line"), F.concat("repo", F.lit("@"), "kind"), name, place)
     return rows.select("id", F.concat_ws("\t", *fields).alias("feed"))

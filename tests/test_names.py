@@ -1,8 +1,6 @@
 import random
 
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from symquarry.functions import names
@@ -52,23 +50,60 @@ def test_filter_overlaps_but_specificity_does_not(spark):
     assert row.f and not row.s
 
 
-def test_spans_and_painting():
-    assert [s[1:] for s in names.token_spans("FooBar")] == [(0, 3), (3, 6)]
-    assert [s[1:] for s in names.token_spans("lib/user.rb")] == [(0, 3), (4, 8), (9, 11)]
-    assert names.match_spans("UserPolicies", ["policy"]) == [(4, 12)]
-    assert names.match_spans("lib/user.rb", ["lib_user"]) == [(0, 8)]
-    assert names.match_spans("superuser", ["user"]) == []
-    assert names.match_spans("日本Word", ["日"]) == [(0, 6)]
-    assert names.paint_matches("UserPolicies", ["policy"], "31") == "User\x1b[31mPolicies\x1b[0m"
-    assert names.paint_matches("x", [], "31") == names.paint_matches("x", ["x"], " ") == "x"
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def test_spans_and_painting(spark):
+    spans = lambda raw: [tuple(s)[1:] for s in one(spark, names.token_spans(F.lit(raw)))]
+    found = lambda raw, words: [tuple(s) for s in one(spark, names.match_spans(F.lit(raw), words))]
+    painted = lambda raw, words, sgr: one(spark, names.paint_matches(F.lit(raw), words, sgr))
+    assert spans("FooBar") == [(0, 3), (3, 6)]
+    assert spans("lib/user.rb") == [(0, 3), (4, 8), (9, 11)]
+    assert found("UserPolicies", ["policy"]) == [(4, 12)]
+    assert found("lib/user.rb", ["lib_user"]) == [(0, 8)]
+    assert found("lib/user.rb", ["lib", "rb"]) == [(0, 3), (9, 11)]
+    assert found("superuser", ["user"]) == [] and found("", ["user"]) == [] and found("user", []) == []
+    # Bytes, not characters.
+    assert found("日本Word", ["日"]) == [(0, 10)] and found("é/User", ["user"]) == [(3, 7)]
+    assert found("a_b_a_b_c", ["a_b_c"]) == [(4, 9)] and found("a_a_a", ["a_a"]) == [(0, 5)]
+    assert painted("é/UserPolicies x", ["policy"], "31") == "é/User\x1b[31mPolicies\x1b[0m x"
+    assert painted("x", [], "31") == painted("x", ["x"], " ") == "x"
+    assert one(spark, names.match_spans(F.lit(None).cast("string"), ["x"])) is None
     assert names.paint_line("a\x1b[0mb", "7") == "\x1b[7ma\x1b[0m\x1b[7mb\x1b[0m"
 
 
-@given(st.text(alphabet="abAB1_-/é ", max_size=20))
-def test_spans_rebuild_the_normal_form(raw):
-    spans = names.token_spans(raw)
-    assert "_".join(t for t, _, _ in spans) == names.normalize_text(raw)
-    assert all(a < b for _, a, b in spans) and all(x[2] <= y[1] for x, y in zip(spans, spans[1:]))
+def test_spans_rebuild_the_normal_form(spark):
+    rng = random.Random(7)
+    raws = sorted({"".join(rng.choice("abAB1_-/é s") for _ in range(rng.randint(0, 16))) for _ in range(400)})
+    rows = spark.createDataFrame([(r,) for r in raws], "raw string").select("raw", names.token_spans(F.col("raw")).alias("t"), names.normalize(F.col("raw")).alias("n")).collect()
+    for r in rows:
+        assert "_".join(t.token for t in r.t) == r.n
+        assert all(t.start < t.end for t in r.t) and all(x.end <= y.start for x, y in zip(r.t, r.t[1:]))
+        assert all(names.normalize_text(r.raw.encode()[t.start : t.end].decode()) == t.token for t in r.t)
+
+
+def test_spans_cover_what_words_touch(spark):
+    """Against marks made by looking for each word in the joined tokens, character by character."""
+    rng = random.Random(11)
+    raws = sorted({"_".join(rng.choice(["a", "ab", "abc", "b", "ba"]) for _ in range(rng.randint(1, 6))) for _ in range(200)})
+    words = ["a", "ab", "a_b", "ab_a", "b_a_a"]
+    rows = spark.createDataFrame([(r,) for r in raws], "raw string").select("raw", names.match_spans(F.col("raw"), words).alias("s")).collect()
+    for r in rows:
+        touched = set()
+        for w in words:
+            for at in range(len(r.raw)):
+                if r.raw.startswith(w, at) and (at == 0 or r.raw[at - 1] == "_"):
+                    touched.update(range(at, at + len(w)))
+        expected, at, last = [], 0, False
+        for token in r.raw.split("_"):
+            hit = any(i in touched for i in range(at, at + len(token)))
+            if hit and last:
+                expected[-1] = (expected[-1][0], at + len(token))
+            elif hit:
+                expected.append((at, at + len(token)))
+            last, at = hit, at + len(token) + 1
+        assert [tuple(s) for s in r.s] == expected
 
 
 @pytest.mark.parametrize("kind,rank", [("class", 0), ("file", 2), ("image", 12), ("other", 99)])
