@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ EXTRACTORS = {
     "markdown": simple.markdown, "dockerfile": simple.dockerfile, "javascript": script.javascript, "typescript": script.typescript, "tsx": script.typescript,
     "python": python.python,
 }
+#: Bytes of contents that Python holds at once; a larger file is a slice of its own.
+SLICE_BYTES = 8 << 20
 _STRUCT = pa.list_(pa.struct([("line", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("scope", pa.string())]))
 
 
@@ -27,6 +31,18 @@ def extract(lang: str | None, content: bytes, resolve_yaml: bool = True) -> list
     return EXTRACTORS[lang](text) if lang in EXTRACTORS else []
 
 
+def slices(batches, column: int):
+    """Arrow batches in slices of about SLICE_BYTES bytes of one binary column."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+            end = min(max(end, at + 1), batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def extract_symbols(files: DataFrame, *, lang_col: str = "lang", content_col: str = "content", resolve_yaml: bool = True) -> DataFrame:
     """Every symbol of every file: the columns of ``files`` but the content, then ordinal, line, kind, name and scope.
 
@@ -38,7 +54,7 @@ def extract_symbols(files: DataFrame, *, lang_col: str = "lang", content_col: st
     schema = inputs.select(*kept, F.lit(None).cast("array<struct<line:int,kind:string,name:string,scope:string>>").alias("__symbols")).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, content):
             found = []
             for language, data in zip(batch.column(lang).to_pylist(), batch.column(content).to_pylist()):
                 try:

@@ -1,129 +1,136 @@
-"""YAML mapping keys by dotted path, with aliases and merge keys resolved, from parser events."""
+"""YAML mapping keys by dotted path, with aliases and merge keys resolved, from parser events.
+
+A document's events become a tree once. Listing then goes through a work list of (value, path,
+anchors being expanded): a mapping there gives its entries, which are its own keys and, behind them,
+the keys that its merges add. Nothing recurses, so nesting is limited by memory only.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
 import yaml
 
 from symquarry.extract.base import Symbol
 
 MAX_DEPTH = 10
+MERGE = "<<"
+
+
+@dataclass
+class _Value:
+    """A scalar, alias ("*"), sequence ("[") or mapping ("{", keys and values in turn)."""
 
+    form: str
+    line: int
+    name: str = ""
+    parts: list[_Value] = field(default_factory=list)
 
-class _Node:
-    __slots__ = ("kind", "anchor", "line", "text", "items")
+    def entries(self) -> list[tuple[str, int, _Value]]:
+        """(name, line, value) of a mapping's keys as they stand."""
+        return [(k.key_name(), k.line, v) for k, v in zip(self.parts[::2], self.parts[1::2])]
 
-    def __init__(self, kind: str, anchor: str | None, line: int, text: str = ""):
-        self.kind, self.anchor, self.line, self.text, self.items = kind, anchor, line, text, []
+    def key_name(self) -> str:
+        return f"*{self.name}" if self.form == "*" else self.name
 
+    def below(self) -> Iterator[_Value]:
+        """This value and all inside it, in the order of the text; aliases stay as they are."""
+        todo = [self]
+        while todo:
+            value = todo.pop()
+            yield value
+            todo += reversed(value.parts)
 
-def _documents(text: str):
-    """Node trees of the documents, in order; a parse error ends the stream after what was read."""
+
+def _scalar_name(e: yaml.ScalarEvent, text: str) -> str:
+    """A scalar as it is written: without its quotes, escapes kept."""
+    if e.style in ("'", '"'):
+        raw = text[e.start_mark.index : e.end_mark.index]
+        first, last = raw.find(e.style), raw.rfind(e.style)
+        if 0 <= first < last:
+            return raw[first + 1 : last]
+    return e.value
+
+
+def _trees(text: str) -> Iterator[tuple[_Value, dict[str, _Value]]]:
+    """(root, anchors) of each document; the first of equal anchors counts; an error ends the stream after what was read."""
     loader = getattr(yaml, "CLoader", yaml.Loader)(text)
-    open_: list[_Node] = []
+    nested: list[_Value] = []
+    root, anchors = None, {}
     try:
         while loader.check_event():
             e = loader.get_event()
-            line = e.start_mark.line + 1
-            node = None
-            if isinstance(e, yaml.ScalarEvent):
-                node = _Node("scalar", e.anchor, line, e.value)
-            elif isinstance(e, yaml.AliasEvent):
-                node = _Node("alias", None, line, e.anchor)
-            elif isinstance(e, (yaml.MappingStartEvent, yaml.SequenceStartEvent)):
-                node = _Node("map" if isinstance(e, yaml.MappingStartEvent) else "seq", e.anchor, line)
-                if open_:
-                    open_[-1].items.append(node)
-                open_.append(node)
-                continue
+            if isinstance(e, yaml.DocumentStartEvent):
+                root, anchors = None, {}
+            elif isinstance(e, yaml.DocumentEndEvent):
+                if root:
+                    yield root, anchors
+                root = None
             elif isinstance(e, (yaml.MappingEndEvent, yaml.SequenceEndEvent)):
-                node = open_.pop()
-                if not open_:
-                    yield node
-                continue
-            if node is not None:
-                if open_:
-                    open_[-1].items.append(node)
+                nested.pop()
+            elif isinstance(e, yaml.NodeEvent):
+                line = e.start_mark.line + 1
+                if isinstance(e, yaml.AliasEvent):
+                    value = _Value("*", line, e.anchor)
+                elif isinstance(e, yaml.ScalarEvent):
+                    value = _Value("", line, _scalar_name(e, text))
+                else:
+                    value = _Value("{" if isinstance(e, yaml.MappingStartEvent) else "[", line)
+                if e.anchor and value.form != "*":
+                    anchors.setdefault(e.anchor, value)
+                if nested:
+                    nested[-1].parts.append(value)
                 else:
-                    yield node
+                    root = value
+                if value.form in ("{", "["):
+                    nested.append(value)
     except yaml.YAMLError:
-        if open_:
-            yield open_[0]
+        if root:
+            yield root, anchors
     finally:
         loader.dispose()
 
 
-def _pairs(node: _Node):
-    return list(zip(node.items[::2], node.items[1::2]))
-
-
-def _key(node: _Node) -> str:
-    if node.kind == "scalar":
-        return node.text
-    return f"*{node.text}" if node.kind == "alias" else ""
-
-
-class _Document:
-    def __init__(self, root: _Node, resolve: bool):
-        self.out: list[Symbol] = []
-        self.anchors: dict[str, _Node] = {}
-        self.expanding: list[str] = []
-        if resolve:
-            self.collect(root)
-        self.walk(root, [])
-
-    def collect(self, node: _Node) -> None:
-        """The first of equal anchors in the document counts."""
-        if node.anchor:
-            self.anchors.setdefault(node.anchor, node)
-        for item in node.items:
-            self.collect(item)
-
-    def walk(self, node: _Node, path: list[str]) -> None:
-        if node.kind == "map":
-            own = {_key(k) for k, _ in _pairs(node)} - {"<<"}
-            self.mapping(node, path, own, own_first=True)
-        elif node.kind == "seq":
-            for item in node.items:
-                self.walk(item, path)
-        elif node.kind == "alias":
-            self.expand(node.text, lambda target: self.walk(target, path))
-
-    def expand(self, name: str, use) -> None:
-        if name in self.anchors and name not in self.expanding:
-            self.expanding.append(name)
-            use(self.anchors[name])
-            self.expanding.pop()
-
-    def mapping(self, node: _Node, path: list[str], seen: set[str], own_first: bool) -> None:
-        """Own keys, then merge sources; of merged keys the first to come stays."""
-        for key, value in _pairs(node):
-            name = _key(key)
-            if name == "<<" or (not own_first and name in seen):
-                continue
-            seen.add(name)
-            self.record(key, name, value, path)
-        for key, value in _pairs(node):
-            if _key(key) == "<<":
-                for alias in self.aliases(value):
-                    self.expand(alias, lambda t: (m := self.first_map(t)) and self.mapping(m, path, seen, own_first=False))
-
-    def aliases(self, node: _Node) -> list[str]:
-        if node.kind == "alias":
-            return [node.text]
-        return [a for item in node.items for a in self.aliases(item)]
-
-    def first_map(self, node: _Node) -> _Node | None:
-        if node.kind == "map":
-            return node
-        return next((m for item in node.items if (m := self.first_map(item))), None)
-
-    def record(self, key: _Node, name: str, value: _Node, path: list[str]) -> None:
-        if len(path) >= MAX_DEPTH:
-            return
-        here = [*path, name]
-        self.out.append(Symbol(key.line, "key", ".".join(here)))
-        self.walk(value, here)
+def _merged(mapping: _Value, anchors: dict[str, _Value], inside: frozenset[str]) -> Iterator[tuple[str, int, _Value, frozenset[str]]]:
+    """A mapping's own keys, then those its merges add; of keys that merges add the first stays.
+
+    Any alias inside a merge's value is a source, whose own merges come right behind its keys.
+    ``inside``: anchors being expanded, which are no sources again.
+    """
+    sources = lambda m, seen: [(v.name, seen) for name, _, value in m.entries() if name == MERGE for v in value.below() if v.form == "*"]
+    known = {name for name, _, _ in mapping.entries()}
+    yield from ((*entry, inside) for entry in mapping.entries() if entry[0] != MERGE)
+    todo = sources(mapping, inside)[::-1]
+    while todo:
+        name, seen = todo.pop()
+        found = None if name in seen or name not in anchors else next((v for v in anchors[name].below() if v.form == "{"), None)
+        if found is None:
+            continue
+        seen = seen | {name}
+        for entry in found.entries():
+            if entry[0] != MERGE and entry[0] not in known:
+                known.add(entry[0])
+                yield (*entry, seen)
+        todo += sources(found, seen)[::-1]
+
+
+def _keys(root: _Value, anchors: dict[str, _Value]) -> Iterator[Symbol]:
+    todo: list[tuple[int | None, _Value, tuple[str, ...], frozenset[str]]] = [(None, root, (), frozenset())]
+    while todo:
+        line, value, path, inside = todo.pop()
+        if line is not None:
+            yield Symbol(line, "key", ".".join(path))
+        if value.form == "{":
+            entries = list(_merged(value, anchors, inside)) if len(path) < MAX_DEPTH else []
+            todo += [(at, v, (*path, name), seen) for name, at, v, seen in reversed(entries)]
+        elif value.form == "[":
+            todo += [(None, v, path, inside) for v in reversed(value.parts)]
+        elif value.form == "*" and value.name in anchors and value.name not in inside:
+            todo.append((None, anchors[value.name], path, inside | {value.name}))
 
 
 def yaml_keys(text: str, resolve: bool = True) -> list[Symbol]:
-    return [s for root in _documents(text) for s in _Document(root, resolve).out]
+    """Every mapping key; without ``resolve`` aliases and merges add nothing."""
+    text = text.removeprefix("\ufeff")
+    return [s for root, anchors in _trees(text) for s in _keys(root, anchors if resolve else {})]
