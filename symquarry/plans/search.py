@@ -52,18 +52,18 @@ def matches(symbols: DataFrame, repos: DataFrame, query: ParsedQuery) -> DataFra
 
 
 def drop_echoes(rows: DataFrame) -> DataFrame:
-    """Without file rows whose (repository name, path) has a specific row; an anti join on the specific rows only."""
+    """Without file rows whose (repository name, path) has a specific row; by a window over each file's hits, so the symbols are read once."""
+    seen = F.max(F.col("specific").cast("int")).over(Window.partitionBy("repo", "path"))
+    return rows.withColumn("covered", seen).where("not (kind = 'file' and covered = 1)").drop("covered")
+
+
+def drop_echoes_anti(rows: DataFrame) -> DataFrame:
+    """The same by an anti join on the specific rows only: for rows that are written or cheap to compute twice."""
     covered = rows.where("specific").select(F.col("repo").alias("c_repo"), F.col("path").alias("c_path")).distinct()
     same = (rows["repo"] == F.col("c_repo")) & (rows["path"] == F.col("c_path")) & (rows["kind"] == "file")
     return rows.join(covered, same, "left_anti")
 
 
-def drop_echoes_window(rows: DataFrame) -> DataFrame:
-    """The same by a window over each file's rows: one pass, one shuffle."""
-    seen = F.max(F.col("specific").cast("int")).over(Window.partitionBy("repo", "path"))
-    return rows.withColumn("covered", seen).where("not (kind = 'file' and covered = 1)").drop("covered")
-
-
 def ranking() -> list[Column]:
     """Best first; ties beyond the line go by id."""
     return [

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symquarry.plans.parser import QueryError
+from symquarry.plans.parser import QueryError, resolve_repos
 
 
 def stats_global(repos: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -36,6 +36,30 @@ def head_text(repos: DataFrame) -> DataFrame:
     return repos.select("id", "name", "root", text.alias("head_text"))
 
 
+def detail(repos: DataFrame, files: DataFrame, symbols: DataFrame, repo_ids: list[int]) -> DataFrame:
+    """(id, name, block): the detail block of each of some repositories, by name."""
+    chosen = F.col("id").isin(repo_ids)
+    per = stats_global(repos.where(chosen), files.where(F.col("repo_id").isin(repo_ids)), symbols.where(F.col("repo_id").isin(repo_ids)))
+    kinds = symbols.where(F.col("repo_id").isin(repo_ids)).groupBy("repo_id", "kind").agg(F.count("*").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "kind")))
+    line = lambda k: F.concat(F.lit("  "), k["kind"], F.lit(": "), (-k["less"]).cast("string"), F.lit("\n"))
+    kinds = kinds.groupBy("repo_id").agg(F.array_join(F.transform(ordered, line), "").alias("kinds"))
+    rows = per.join(head_text(repos).select(F.col("id").alias("h_id"), "head_text"), F.col("id") == F.col("h_id")).join(kinds, F.col("id") == F.col("repo_id"), "left")
+    fields = (("Repo name: ", "name"), ("Repo path: ", "root"), ("Head commit: ", "head_text"), ("Files: ", "files"), ("Symbols: ", "symbols"))
+    block = F.concat(*[F.concat(F.lit(title), F.col(c).cast("string"), F.lit("\n")) for title, c in fields], F.lit("Symbol kinds:\n"), F.coalesce("kinds", F.lit("")))
+    return rows.select("id", "name", block.alias("block")).orderBy("name", "id")
+
+
+def stats(repos: DataFrame, files: DataFrame, symbols: DataFrame, repo: str | None = None, *, list_files: bool = False, kinds: list[str] | None = None, abbreviations: dict[str, str] | None = None) -> DataFrame:
+    """What the command shows: all repositories; the detail blocks of those that a name stands for; or their files, which a kind implies."""
+    if repo is None:
+        return stats_global(repos, files, symbols)
+    _, ids = resolve_repos(repos, repo, abbreviations)
+    if list_files or kinds:
+        return file_listing(repos, symbols, ids, kinds)
+    return detail(repos, files, symbols, ids)
+
+
 def file_listing(repos: DataFrame, symbols: DataFrame, repo_ids: list[int], kinds: list[str] | None = None) -> DataFrame:
     """Symbols of some repositories by file; ``header`` marks the first row of each file of a repository.
 

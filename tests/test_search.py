@@ -49,7 +49,7 @@ def test_filters_and_sigils(tables):
 def test_echo_drop_forms_agree(tables):
     symbols, repos, _ = tables
     rows = search.matches(symbols, repos, parser.parse(repos, "policy"))
-    assert sorted(ids(search.drop_echoes(rows))) == sorted(ids(search.drop_echoes_window(rows)))
+    assert sorted(ids(search.drop_echoes(rows))) == sorted(ids(search.drop_echoes_anti(rows)))
     rows = search.matches(symbols, repos, parser.parse(repos, "policy badge"))
     assert 1 not in ids(search.drop_echoes(rows)) and 11 in ids(search.drop_echoes(rows))
 
