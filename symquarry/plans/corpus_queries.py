@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from symquarry.extract.table import extract_symbols
 from symquarry.functions import names, paths
 from symquarry.operators import diff
 from symquarry.plans import parser, render, search, stats
+from symquarry.plans.sample_sources import SAMPLES
 from symquarry.schema import KIND_RANKING
 from symquarry.sources import corpus
 
@@ -104,6 +106,12 @@ def _search(spark: SparkSession, sf_dir: str, text: str, limit: int | None = Non
     return search.search(corpus.symbols(spark, sf_dir), corpus.repos(spark, sf_dir), text, limit)
 
 
+def _with_place(rows: DataFrame) -> DataFrame:
+    """Adds the place of each row in the order that an operator returns; for results of few rows."""
+    at = F.row_number().over(Window.orderBy("__at")).cast("long")
+    return rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("place", at).drop("__at")
+
+
 # --- functions ---
 
 
@@ -178,6 +186,17 @@ def search_path_only(spark, sf_dir):
     return _search(spark, sf_dir, "fr/ring")
 
 
+@_query(_with(f"select {_SHOWN}, row_number() over (order by whole desc, repo, path, line nulls first, id) as place from hits", *_matches_sql([("src1_en_gear", True)])))
+def search_plain_order(spark, sf_dir):
+    """Without a name word the order is by repository, path and line."""
+    return _with_place(_search(spark, sf_dir, "src1/en/gear").select("id", *search.COLUMNS))
+
+
+@_query(_with(f"select {_SHOWN}, specific, whole, tier, kind_rank, qual_length, row_number() over (order by {_ORDER}) as place from kept", *_matches_sql([("promo", False), ("anvil", False)])))
+def search_ranked_order(spark, sf_dir):
+    return _with_place(_search(spark, sf_dir, "promo anvil"))
+
+
 @_query(_with(f"select {_SHOWN}, specific, whole, tier, kind_rank, qual_length, row_number() over (order by {_ORDER}) as rank from kept order by {_ORDER} limit 20", *_matches_sql([("anvil", False)])))
 def search_limit_topk(spark, sf_dir):
     symbols, repos = corpus.symbols(spark, sf_dir), corpus.repos(spark, sf_dir)
@@ -185,26 +204,40 @@ def search_limit_topk(spark, sf_dir):
     return search.with_rank(rows, 20).withColumn("rank", F.col("rank").cast("long"))
 
 
-@_query(_with(f"select {_SHOWN} from hits", *_matches_sql([], "repo_id = 3")))
+@_query(_with(f"select {_SHOWN} from hits", *_matches_sql([])))
 def search_everything(spark, sf_dir):
+    """Every symbol of every repository."""
+    return _search(spark, sf_dir, "").select("id", *search.COLUMNS)
+
+
+@_query(_with(f"select {_SHOWN} from hits", *_matches_sql([], "r.name = 'NATION_3'")))
+def search_one_repo(spark, sf_dir):
+    """An exact name: not the repositories that only begin so."""
     return _search(spark, sf_dir, "NATION_3:").select("id", *search.COLUMNS)
 
 
+@_query(_with(f"select {_SHOWN} from hits", *_matches_sql([("ring", False)], "r.name = 'NATION_1'")))
+def search_abbreviation(spark, sf_dir):
+    symbols, repos = corpus.symbols(spark, sf_dir), corpus.repos(spark, sf_dir)
+    parsed = parser.parse(repos, "one: ring", {"one": "NATION_1"})
+    return search.matches(symbols, repos, parsed).select("id", *search.COLUMNS)
+
+
 @_query(_with("select id, repo, path, kind from kept", *_matches_sql([("gizmo", False)])))
 def file_echo_drop_anti(spark, sf_dir):
     symbols, repos = corpus.symbols(spark, sf_dir), corpus.repos(spark, sf_dir)
-    return search.drop_echoes(search.matches(symbols, repos, parser.parse(repos, "gizmo"))).select("id", "repo", "path", "kind")
+    return search.drop_echoes_anti(search.matches(symbols, repos, parser.parse(repos, "gizmo"))).select("id", "repo", "path", "kind")
 
 
 @_query(ORACLE_SQL["file_echo_drop_anti"])
 def file_echo_drop_window(spark, sf_dir):
     symbols, repos = corpus.symbols(spark, sf_dir), corpus.repos(spark, sf_dir)
-    return search.drop_echoes_window(search.matches(symbols, repos, parser.parse(repos, "gizmo"))).select("id", "repo", "path", "kind")
+    return search.drop_echoes(search.matches(symbols, repos, parser.parse(repos, "gizmo"))).select("id", "repo", "path", "kind")
 
 
-@_query(_with("select s.id, r.name as repo, path, line, kind, scope, s.name, name_norm, qual_norm from symbols s join repos r on r.id = s.repo_id where kind = 'file' and path = 'README.md'"))
+@_query(_with("select s.id, r.name as repo, path, line, kind, scope, s.name, name_norm, qual_norm, row_number() over (order by r.name) as place from symbols s join repos r on r.id = s.repo_id where kind = 'file' and path = 'README.md'"))
 def landing_view(spark, sf_dir):
-    return search.candidates(corpus.symbols(spark, sf_dir), corpus.repos(spark, sf_dir), "")
+    return _with_place(search.candidates(corpus.symbols(spark, sf_dir), corpus.repos(spark, sf_dir), ""))
 
 
 # --- sinks ---
@@ -215,6 +248,13 @@ def tsv_contract(spark, sf_dir):
     return render.tsv(_search(spark, sf_dir, "plate"))
 
 
+@_query(_with(rf"""select concat_ws(chr(9), repo, path, coalesce(line::varchar, ''), kind, coalesce(scope, ''), name, name_norm, qual_norm) as line_text, n - place + 1 as place
+  from (select *, row_number() over (order by {_ORDER}) as place, least(count(*) over (), 12) as n from kept) where place <= 12""", *_matches_sql([("plate", False)])))
+def tsv_best_last(spark, sf_dir):
+    lines = render.best_last(_search(spark, sf_dir, "plate"), 12)
+    return spark.createDataFrame([(t, i) for i, t in enumerate(lines, 1)], "line_text string, place long")
+
+
 @_query(_with(r"""select id, concat_ws(chr(9), repo, path, coalesce(line::varchar, ''), repo || '@' || kind, concat_ws('::', scope, name),
   case when kind = 'file' then '' else path || coalesce(':' || line, '') end) as feed from kept""", *_matches_sql([("plate", False)])))
 def pick_feed(spark, sf_dir):
@@ -231,14 +271,45 @@ def preview_lines(spark, sf_dir):
     return render.preview(spark.read.parquet(f"{sf_dir}/documents.parquet"), line=2, sgr="7")
 
 
-@_query()
+def _spans_sql(column: str, words: list[str]) -> str:
+    """Byte spans of the tokens that words touch, as a list of structs: marks by prefixes of what the tokens join to from each on."""
+    cut = column
+    for pattern in (r"([\p{Ll}])([\p{Lu}])", r"([\p{Lu}])([\p{Lu}][\p{Ll}])", r"(\p{L})([0-9])", r"([0-9])(\p{L})"):
+        cut = rf"regexp_replace({cut}, '{pattern}', '\1' || chr(1) || '\2', 'g')"
+    cut = rf"regexp_replace({cut}, '([_\-./: \t])', chr(1) || '\1' || chr(1), 'g')"
+    pieces = f"list_filter(string_split({cut}, chr(1)), lambda p: p <> '')"
+    placed = f"list_transform(range(1, len(p) + 1), lambda i: {{'t': p[i], 'e': list_sum(list_transform(p[1:i], lambda q: strlen(q)))::int}})"
+    tokens = rf"list_transform(list_filter({placed}, lambda x: not regexp_full_match(x.t, '[_\-./: \t]')), lambda x: {{'n': {_norm('x.t')}, 's': x.e - strlen(x.t)::int, 'e': x.e}})"
+    hits = " or ".join(
+        f"len(list_filter(range(greatest(i - {w.count('_')}, 1), i + 1), lambda k: starts_with(array_to_string(list_transform(t[k:], lambda y: y.n), '_'), '{w}'))) > 0" for w in words
+    )
+    marked = f"list_transform(range(1, len(t) + 1), lambda i: {hits})"
+    starts = "list_transform(list_filter(range(1, len(t) + 1), lambda i: m[i] and not coalesce(m[i - 1], false)), lambda i: t[i].s)"
+    ends = "list_transform(list_filter(range(1, len(t) + 1), lambda i: m[i] and not coalesce(m[i + 1], false)), lambda i: t[i].e)"
+    return f"""(select list_transform(range(1, len(a) + 1), lambda i: {{'start': a[i], 'end': b[i]}}) from
+  (select {starts} as a, {ends} as b from (select t, {marked} as m from (select {tokens} as t from (select {pieces} as p)))))"""
+
+
+_LISTED = "array_to_string(list_transform(spans, lambda s: s.start || '-' || s.end), ',')"
+
+
+@_query(_with(f"select id, path, {_LISTED} as spans from (select id, path, {_spans_sql('path', ['widget', 'ring', 'fr_widget_guide'])} as spans from files)"))
 def match_spans(spark, sf_dir):
-    span = "array<struct<start:int,end:int>>"
-    spans = F.udf(lambda s: [(a, b) for a, b in names.match_spans(s, ["widget", "ring"])], span, useArrow=True)
-    return corpus.files(spark, sf_dir).select("id", "path", spans("path").alias("spans"))
+    spans = names.match_spans(F.col("path"), ["widget", "ring", "fr_widget_guide"])
+    listed = F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return corpus.files(spark, sf_dir).select("id", "path", listed.alias("spans"))
+
+
+def _painted_sql(column: str, word: str) -> str:
+    """Painted text; the names here are ASCII, so that bytes are characters."""
+    spans = _spans_sql(column, [word])
+    piece = "case when i = 1 then raw[1:spans[1].start] else raw[spans[i - 1].end + 1:spans[i].start] end || chr(27) || '[31m' || raw[spans[i].start + 1:spans[i].end] || chr(27) || '[0m'"
+    rest = "raw[coalesce(spans[len(spans)].end, 0) + 1:]"
+    return f"(select array_to_string(list_transform(range(1, len(spans) + 1), lambda i: {piece}), '') || {rest} from (select {column} as raw, {spans} as spans))"
 
 
-@_query()
+@_query(_with(rf"""select id, concat_ws(chr(9), repo, path, coalesce(line::varchar, ''), repo || '@' || kind, {_painted_sql("concat_ws('::', scope, name)", 'widget')},
+  case when kind = 'file' then '' else {_painted_sql('path', 'widget')} || coalesce(':' || line, '') end) as feed from kept""", *_matches_sql([("widget", False)])))
 def paint_matches(spark, sf_dir):
     return render.pick_feed(_search(spark, sf_dir, "widget"), [parser.Word("widget", False)], "31")
 
@@ -252,9 +323,9 @@ def _per_repo(spark, sf_dir):
     return stats.stats_global(corpus.repos(spark, sf_dir), corpus.files(spark, sf_dir), corpus.symbols(spark, sf_dir))
 
 
-@_query(_with("select * from per", _GLOBAL))
+@_query(_with("select *, row_number() over (order by name) as place from per", _GLOBAL))
 def stats_global(spark, sf_dir):
-    return _per_repo(spark, sf_dir)
+    return _with_place(_per_repo(spark, sf_dir))
 
 
 @_query(_with("select count(*) as repos, sum(files)::bigint as files, sum(symbols)::bigint as symbols from per", _GLOBAL))
@@ -267,17 +338,66 @@ def stats_widths(spark, sf_dir):
     return stats.column_widths(_per_repo(spark, sf_dir))
 
 
-@_query(_with("select kind, count(*) as n from symbols where repo_id = 4 group by kind"))
+@_query(_with("select kind, count(*) as n, row_number() over (order by count(*) desc, kind) as place from symbols where repo_id = 4 group by kind"))
 def stats_kind_breakdown(spark, sf_dir):
-    return stats.kind_breakdown(corpus.symbols(spark, sf_dir), 4)
+    return _with_place(stats.kind_breakdown(corpus.symbols(spark, sf_dir), 4))
 
 
-@_query(_with("""select s.id, repo_id, r.name as repo, path, line, kind, s.name, row_number() over (partition by repo_id, path order by line nulls first, s.id) = 1 as header
+@_query(_with("""select s.id, repo_id, r.name as repo, path, line, kind, s.name, row_number() over (partition by repo_id, path order by line nulls first, s.id) = 1 as header,
+  row_number() over (order by r.name, path, line nulls first, s.id) as place
   from symbols s join repos r on r.id = s.repo_id where repo_id in (2, 12) and kind in ('class', 'method')"""))
 def stats_file_listing(spark, sf_dir):
-    return stats.file_listing(corpus.repos(spark, sf_dir), corpus.symbols(spark, sf_dir), [2, 12], ["class", "method"])
+    return _with_place(stats.file_listing(corpus.repos(spark, sf_dir), corpus.symbols(spark, sf_dir), [2, 12], ["class", "method"]))
+
+
+_TABLES = ("repos", "files", "symbols")
+
+
+def _stats(spark, sf_dir, *args, **options) -> DataFrame:
+    return stats.stats(*(getattr(corpus, t)(spark, sf_dir) for t in _TABLES), *args, **options)
+
+
+@_query(_with("""select id, name, 'Repo name: ' || name || chr(10) || 'Repo path: ' || root || chr(10) || 'Head commit: ' || case when head is null then 'none' when dirty then head || ' (dirty)' else head end
+  || chr(10) || 'Files: ' || files || chr(10) || 'Symbols: ' || symbols || chr(10) || 'Symbol kinds:' || chr(10) || coalesce(listed, '') as block
+from per left join (select repo_id, string_agg('  ' || kind || ': ' || n || chr(10), '' order by n desc, kind) as listed from (select repo_id, kind, count(*) as n from symbols group by all) group by repo_id) on repo_id = id
+where starts_with(lower(name), 'nation_2')""", _GLOBAL))
+def stats_detail(spark, sf_dir):
+    """The detail blocks of the repositories that a name's beginning stands for; NATION_2 in another case isn't the exact name."""
+    return _stats(spark, sf_dir, "Nation_2")
+
+
+@_query(_with("""select s.id, repo_id, r.name as repo, path, line, kind, s.name, row_number() over (partition by repo_id, path order by line nulls first, s.id) = 1 as header
+  from symbols s join repos r on r.id = s.repo_id where r.name = 'NATION_7'"""))
+def stats_files_of_repo(spark, sf_dir):
+    return _stats(spark, sf_dir, "NATION_7", list_files=True)
+
+
+def _error(spark, use) -> DataFrame:
+    try:
+        use()
+        message = ""
+    except parser.QueryError as e:
+        message = str(e)
+    return spark.createDataFrame([(message,)], "message string")
 
 
+@_query(_with("select 'no symbols of kind ''cla'' (kinds: ' || string_agg(distinct kind, ', ' order by kind) || ')' as message from symbols where repo_id = 7"))
+def stats_kind_error(spark, sf_dir):
+    """Kinds of a listing are literal; one that no symbol has is an error with the kinds there are."""
+    return _error(spark, lambda: _stats(spark, sf_dir, "NATION_7", kinds=["cla"]))
+
+
+@_query(_with("select 'unknown repository ''nowhere'' (known: ' || string_agg(distinct name, ', ' order by name) || ')' as message from repos"))
+def unknown_repo_error(spark, sf_dir):
+    return _error(spark, lambda: _search(spark, sf_dir, "nowhere: x"))
+
+
+@_query("""select q, message from (values ('@x y', 'unknown kind ''@x'' (kinds: class, module, method, smethod, const, func, target, key, heading, image, arg, env, file)'),
+  ('@m y', 'ambiguous kind ''@m'' (matches: module, method)'), ('@c', 'ambiguous kind ''@c'' (matches: class, const)'), ('@MeTh', '')) as t(q, message)""")
+def kind_errors(spark, sf_dir):
+    rows = [(q, _error(spark, lambda q=q: parser.parse(corpus.repos(spark, sf_dir), q)).first().message) for q in ("@x y", "@m y", "@c", "@MeTh")]
+    return spark.createDataFrame(rows, "q string, message string")
+
 @_query(_with("select id, name, root, case when head is null then 'none' when dirty then head || ' (dirty)' else head end as head_text from repos"))
 def stats_detail_head(spark, sf_dir):
     return stats.head_text(corpus.repos(spark, sf_dir))
@@ -346,31 +466,32 @@ def rename_repos(spark, sf_dir):
 
 # --- paths ---
 
-_EXT = ["rb", "Makefile", "Dockerfile.dev", "x.RB", "tsx", "pyi", "tar.gz", "Gemfile", "mk", "h", "yaml", "markdown", "cjs", "none", "erl", "rs"]
+_EXT = [
+    "rb", "Makefile", "Dockerfile.dev", "x.RB", "tsx", "pyi", "tar.gz", "Gemfile", "mk", "h", "yaml", "markdown", "cjs", "none", "erl", "rs",
+    "rake", "gemspec", "sh", "bash", "hrl", "c", "yml", "md", "dockerfile", "js", "jsx", "mjs", "ts", "mts", "cts", "py",
+]
 
 
 def _names_of_parts(spark, sf_dir):
     k = F.col("p_partkey")
-    ending = F.element_at(F.array(*map(F.lit, _EXT)), (k % 16 + 1).cast("int"))
-    name = F.when(k % 16 < 10, F.concat(F.lit("src/"), F.when((k % 16).isin(1, 2, 7), ending).otherwise(F.concat(F.lit("a."), ending)))).otherwise(F.concat(F.lit("a b."), ending))
+    ending = F.element_at(F.array(*map(F.lit, _EXT)), (k % 32 + 1).cast("int"))
+    name = F.when(k % 32 < 20, F.concat(F.lit("src/"), F.when((k % 32).isin(1, 2, 7), ending).otherwise(F.concat(F.lit("a."), ending)))).otherwise(F.concat(F.lit("a b."), ending))
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(k, name.alias("path"))
 
 
-_NAMES_SQL = f"""named as (select p_partkey, case when p_partkey % 16 < 10 then 'src/' || case when p_partkey % 16 in (1, 2, 7) then e else 'a.' || e end else 'a b.' || e end as path
-  from (select p_partkey, ({_list(_EXT)})[p_partkey % 16 + 1] as e from part))"""
+_NAMES_SQL = f"""named as (select p_partkey, case when p_partkey % 32 < 20 then 'src/' || case when p_partkey % 32 in (1, 2, 7) then e else 'a.' || e end else 'a b.' || e end as path
+  from (select p_partkey, ({_list(_EXT)})[p_partkey % 32 + 1] as e from part))"""
 
 
-def _lang_sql() -> str:
-    cases = []
-    for lang, listed in paths.BASENAMES.items():
-        cases.append(f"when base in ({_list(listed)[1:-1]}) then '{lang}'")
-    cases.append("when starts_with(base, 'Dockerfile.') then 'dockerfile'")
-    for lang, listed in paths.EXTENSIONS.items():
-        cases.append(f"when contains(base, '.') and string_split(base, '.')[-1] in ({_list(listed)[1:-1]}) then '{lang}'")
-    return "case " + " ".join(cases) + " end"
+_LANG_SQL = """case when base in ('Makefile', 'GNUmakefile', 'makefile') then 'make' when base in ('Rakefile', 'Gemfile', 'config.ru') then 'ruby'
+  when base = 'Dockerfile' or starts_with(base, 'Dockerfile.') then 'dockerfile' when not contains(base, '.') then null
+  else case string_split(base, '.')[-1] when 'rb' then 'ruby' when 'rake' then 'ruby' when 'gemspec' then 'ruby' when 'sh' then 'bash' when 'bash' then 'bash' when 'rs' then 'rust'
+  when 'erl' then 'erlang' when 'hrl' then 'erlang' when 'c' then 'c' when 'h' then 'c' when 'mk' then 'make' when 'yml' then 'yaml' when 'yaml' then 'yaml'
+  when 'md' then 'markdown' when 'markdown' then 'markdown' when 'dockerfile' then 'dockerfile' when 'js' then 'javascript' when 'jsx' then 'javascript' when 'mjs' then 'javascript'
+  when 'cjs' then 'javascript' when 'ts' then 'typescript' when 'mts' then 'typescript' when 'cts' then 'typescript' when 'tsx' then 'tsx' when 'py' then 'python' when 'pyi' then 'python' end end"""
 
 
-@_query(f"with {_NAMES_SQL} select p_partkey, path, {_lang_sql()} as lang from (select *, string_split(path, '/')[-1] as base from named)")
+@_query(f"with {_NAMES_SQL} select p_partkey, path, {_LANG_SQL} as lang from (select *, string_split(path, '/')[-1] as base from named)")
 def lang_detect(spark, sf_dir):
     return _names_of_parts(spark, sf_dir).select("p_partkey", "path", paths.detect_language(F.col("path")).alias("lang"))
 
@@ -405,26 +526,35 @@ def regular_file_mode(spark, sf_dir):
 # --- extraction ---
 
 
-def _as_markdown(spark, sf_dir):
-    content = F.concat(F.lit("# "), "text").cast("binary")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit("markdown").alias("lang"), content.alias("content"))
-
-
-@_query(r"""select doc_id, 1 as line, 'heading' as kind, name from (select doc_id, trim(regexp_replace(trim(string_split(text, chr(10))[1], ' ' || chr(9)), '[ \t]+#+$', ''), ' ' || chr(9)) as name from documents)
+@_query(r"""select doc_id, line, 'heading' as kind, name from
+  (select doc_id, i as line, trim(regexp_replace(trim(lines[i], ' ' || chr(9) || chr(13)), '(^|[ \t]+)#+$', ''), ' ' || chr(9)) as name
+   from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from (select doc_id, string_split(text, chr(10)) as lines from documents)))
 where not regexp_full_match(name, '#*')""")
 def heading_extract(spark, sf_dir):
-    return extract_symbols(_as_markdown(spark, sf_dir)).where("line = 1").select("doc_id", "line", "kind", "name")
+    """Every line of every document as a heading of its own."""
+    content = F.concat(F.lit("## "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n## "))).cast("binary")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit("markdown").alias("lang"), content.alias("content"))
+    return extract_symbols(rows).select("doc_id", "line", "kind", F.trim(F.col("name"), F.lit(" \t")).alias("name"))
+
+
+def _quoted(text: str | None) -> str:
+    return "null" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+def _extraction(lang: str):
+    source, rows = SAMPLES[lang]
+    values = ", ".join(f"({i}, {line}, '{kind}', {_quoted(name)}, {_quoted(scope)})" for i, (line, kind, name, scope) in enumerate(rows))
+    number = lambda c: f"replace({c}, '{{k}}', p_partkey::varchar)"
+    sql = f"select p_partkey, '{lang}' as lang, ordinal, line, kind, {number('name')} as name, {number('scope')} as scope from part, (values {values}) as t(ordinal, line, kind, name, scope)"
 
+    def query(spark, sf_dir):
+        content = F.replace(F.lit(source), F.lit("{k}"), F.col("p_partkey").cast("string")).cast("binary")
+        files = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.lit(lang).alias("lang"), content.alias("content"))
+        return extract_symbols(files).select("p_partkey", "lang", "ordinal", "line", "kind", "name", "scope")
 
-@_query()
-def extract_symbols_markdown(spark, sf_dir):
-    return extract_symbols(_as_markdown(spark, sf_dir))
+    query.__name__ = f"extract_symbols_{lang}"
+    return _query(sql)(query)
 
 
-@_query()
-def extract_symbols_python(spark, sf_dir):
-    """Each part becomes a small module: a constant, a class and a method."""
-    k = F.col("p_partkey").cast("string")
-    source = F.concat(F.lit("LIMIT_"), k, F.lit(" = 1\nclass Part"), k, F.lit(":\n    def size(self):\n        return "), F.col("p_size").cast("string"), F.lit("\n"))
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.lit("python").alias("lang"), source.cast("binary").alias("content"))
-    return extract_symbols(parts)
+for _lang in SAMPLES:
+    _extraction(_lang)
