@@ -34,14 +34,17 @@ from pyspark.sql import functions as F
 from symquarry.llm.store import bounded_batches, discard, parts, split_join, written
 
 #: Words of a piece, pieces of a fingerprint, fingerprints of which one is selected, words of a run.
-PIECE, GRAM, WINDOW, LEAST_WORDS = 4, 6, 5, 20
+PIECE, GRAM, WINDOW, LEAST_WORDS = 4, 5, 6, 20
 #: Words of a shared passage that is found for sure.
 ASSURED = PIECE * (GRAM + WINDOW - 2) + 4 * PIECE - 2
 #: Texts are told apart by so many buckets of their hash when those that lose words are sought out: what is broadcast has a row a bucket at most.
 BUCKETS = 1 << 20
 _U = np.uint64
 _UNITS = "doc_id long, row long, pieces array<int>, at array<int>, grams array<long>"
-_RUNS = "row long, doc_id long, starts array<int>, ends array<int>"
+_CHAIN = "start int, end int, f_doc long, f_row long, f_start int, f_end int"
+_LISTS = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in _CHAIN.split(", "))
+_BEFORE, _AFTER = ([f"{side}{k}" for k in range(1, WINDOW)] for side in "ba")
+_AROUND = f"row long, doc_id long, {_CHAIN}, first_word int, last_word int, " + ", ".join(f"{c} int" for c in (*_BEFORE, *_AFTER))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,14 +64,14 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _least(values: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
-    """Places that are the last least value of some ``width`` successive places of one group."""
-    if len(values) < width:
-        return np.zeros(0, np.int64)
-    whole = np.flatnonzero(group[: len(group) - width + 1] == group[width - 1 :])
-    if not len(whole):
-        return whole
-    views = np.lib.stride_tricks.sliding_window_view(values, width)[whole]
-    return np.unique(whole + width - 1 - views[:, ::-1].argmin(axis=1))
+    """Marks the last least value of each ``width`` successive places of one group."""
+    marked = np.zeros(len(values), bool)
+    if len(values) >= width:
+        whole = np.flatnonzero(group[: len(group) - width + 1] == group[width - 1 :])
+        if len(whole):
+            views = np.lib.stride_tricks.sliding_window_view(values[::-1], width)[len(values) - width - whole]
+            marked[whole + width - 1 - views.argmin(axis=1)] = True
+    return marked
 
 
 class Cut:
@@ -88,7 +91,9 @@ class Cut:
         fresh[1:-1] = ~letter[:-1]
         fresh[bounds] = True  # whatever begins or ends a text
         start = np.flatnonzero(letter & fresh[:-1])
-        after = np.append(~letter, True)[1:] | fresh[1:] & np.isin(np.arange(1, len(data) + 1), bounds)
+        ends = np.zeros(len(data) + 1, bool)
+        ends[bounds] = True
+        after = np.append(~letter, True)[1:] | ends[1:]
         sizes = np.flatnonzero(letter & after) + 1 - start
         self.words = len(start)
         text_of_word = np.searchsorted(bounds, start, side="right") - 1
@@ -97,8 +102,7 @@ class Cut:
         within = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
         spread = _odd(int(sizes.max(initial=0)), 3)
         hashes = _mixed(np.add.reduceat(_BYTES[data[letter]] * spread[within], begin) + sizes.astype(np.uint64)) if self.words else np.zeros(0, np.uint64)
-        new_line = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))[: self.words])
-        self.first = np.union1d(new_line, _least(hashes, line, PIECE))
+        self.first = np.flatnonzero(_least(hashes, line, PIECE) | np.concatenate(([True], line[1:] != line[:-1]))[: self.words])
         self.sizes = np.diff(np.append(self.first, self.words))
         within = np.arange(self.words) - np.repeat(self.first, self.sizes)
         summed = np.add.reduceat(hashes * _PLACES[within], self.first) if self.words else hashes
@@ -121,11 +125,16 @@ class Cut:
         owner, grams = self.owner[inside], grams[inside]
         chosen = _least(grams, owner, WINDOW)
         # A text with fewer fingerprints than a window has its least one selected.
-        _, begin, many = np.unique(owner, return_index=True, return_counts=True)
-        few = [b + m - 1 - int(grams[b : b + m][::-1].argmin()) for b, m in zip(begin[many < WINDOW], many[many < WINDOW])]
-        chosen = np.union1d(chosen, np.array(few, np.int64))
+        begin = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))[: len(owner)])
+        for b, m in zip(begin.tolist(), np.diff(np.append(begin, len(owner))).tolist()):
+            if m < WINDOW:
+                chosen[b + m - 1 - int(grams[b : b + m][::-1].argmin())] = True
         return inside[chosen], grams[chosen]
 
+    def short_hashes(self) -> np.ndarray:
+        """30 bits of each piece's hash above its number of words less one."""
+        return ((self.hashes & _U(0xFFFFFFFC)) | (self.sizes - 1).astype(np.uint64)).astype(np.uint32).view(np.int32)
+
 
 def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
@@ -138,7 +147,7 @@ def _units(batches):
         owner = cut.owner[at]
         selected = np.searchsorted(owner, np.arange(batch.num_rows + 1))
         columns = [
-            batch.column(0), batch.column(1), _lists(cut.hashes.astype(np.uint32).view(np.int32), cut.text_at, pa.int32()),
+            batch.column(0), batch.column(1), _lists(cut.short_hashes(), cut.text_at, pa.int32()),
             _lists((at - cut.text_at[owner]).astype(np.int32), selected, pa.int32()), _lists(grams.view(np.int64), selected, pa.int64()),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "pieces", "at", "grams"])
@@ -151,7 +160,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _chains(batches):
-    """Of each text's later matches the stretches they mark, and the chains' ends to be extended."""
+    """Of each text's later matches the chains."""
     for batch in batches:
         offsets = batch.column(2).offsets.to_numpy()
         flat = batch.column(2).flatten()
@@ -159,23 +168,75 @@ def _chains(batches):
         owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
         order = np.lexsort((at, owner))
         at, f_doc, f_row, f_at, owner = (x[order] for x in (at, f_doc, f_row, f_at, owner))
-        goes_on = (owner[1:] == owner[:-1]) & (f_doc[1:] == f_doc[:-1]) & (f_row[1:] == f_row[:-1]) & (at[1:] - at[:-1] == f_at[1:] - f_at[:-1]) & (at[1:] - at[:-1] <= GRAM)
-        head, tail = np.concatenate(([True], ~goes_on)), np.concatenate((~goes_on, [True]))
-        begin, end = np.flatnonzero(head[: len(at)]), np.flatnonzero(tail[: len(at)])
+        step = np.diff(at)
+        goes_on = (owner[1:] == owner[:-1]) & (f_doc[1:] == f_doc[:-1]) & (f_row[1:] == f_row[:-1]) & (step == np.diff(f_at)) & (step <= GRAM)
+        begin, end = np.flatnonzero(np.concatenate(([True], ~goes_on))[: len(at)]), np.flatnonzero(np.concatenate((~goes_on, [True]))[: len(at)])
         upto = np.searchsorted(owner[begin], np.arange(batch.num_rows + 1))
-        place = lambda x, kind: _lists(x, upto, kind)
-        columns = [
-            batch.column(0), batch.column(1), place(at[begin], pa.int32()), place(at[end] + GRAM, pa.int32()), place(f_doc[begin], pa.int64()), place(f_row[begin], pa.int64()),
-            place(f_at[begin], pa.int32()), place(f_at[end] + GRAM, pa.int32()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "starts", "ends", "f_doc", "f_row", "f_starts", "f_ends"])
+        found = (at[begin], at[end] + GRAM, f_doc[begin], f_row[begin], f_at[begin], f_at[end] + GRAM)
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        columns = [batch.column(0), batch.column(1), *(_lists(x, upto, k) for x, k in zip(found, kinds))]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", *(c.split()[0] for c in _CHAIN.split(", "))])
+
+
+def _around(batches):
+    """For each stretch of pieces asked for: its words, and the pieces before and after it, outward."""
+    names = [c.split()[0] for c in _AROUND.split(", ")]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            pieces, asked = part.column("pieces"), part.column("asked")
+            held, begin = pieces.flatten().to_numpy(), (pieces.offsets.to_numpy() - pieces.offsets[0].as_py()).astype(np.int64)
+            words = np.concatenate(([0], np.cumsum((held & 3) + 1)))
+            owner = np.repeat(np.arange(part.num_rows), np.diff(asked.offsets.to_numpy()))
+            flat = asked.flatten()
+            low, high = begin[owner], begin[owner + 1]
+            start, end = low + flat.field(0).to_numpy(), low + flat.field(1).to_numpy()
+            padded = np.append(held, held.dtype.type(0))
+            inside = lambda place: pa.array(padded[np.clip(place, 0, len(held))], mask=(place < low) | (place >= high))
+            columns = [part.column("row").take(pa.array(owner)), part.column("doc_id").take(pa.array(owner)), *(flat.field(k) for k in range(6))]
+            columns += [pa.array((words[x] - words[low]).astype(np.int32)) for x in (start, end)]
+            columns += [inside(start - k) for k in range(1, WINDOW)] + [inside(end + k - 1) for k in range(1, WINDOW)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _merged(least_words: int):
+    """Of each text's stretches of words the runs of ``least_words`` words or more; texts without one give no row."""
+
+    def run(batches):
+        for batch in batches:
+            offsets = batch.column(2).offsets.to_numpy()
+            flat = batch.column(2).flatten()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            apart = owner.astype(np.int64) << 32
+            start, end = flat.field(0).to_numpy() + apart, flat.field(1).to_numpy() + apart
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], np.maximum.accumulate(end[order])
+            begin = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1]))[: len(start)])
+            last = np.append(begin[1:], len(start))[: len(begin)] - 1
+            start, end = start[begin], end[last]
+            long_ = end - start >= least_words
+            start, end, of = start[long_], end[long_], start[long_] >> 32
+            who = np.unique(of)
+            upto = np.searchsorted(of, np.append(who, batch.num_rows))
+            low = of << 32
+            columns = [batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), _lists(start - low, upto, pa.int32()), _lists(end - low, upto, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "starts", "ends"])
+
+    return run
+
 
+def _agreeing(own: list[str], other: list[str]) -> F.Column:
+    """Words of the pieces, outward, while those of both sides agree."""
+    words = F.lit(0)
+    for x, y in reversed(list(zip(own, other))):
+        words = F.when(F.col(x) == F.col(y), F.col(x).bitwiseAND(3) + 1 + words).otherwise(0)
+    return words
 
-def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, runs): for each text with later matches its chains, each with the first document's pieces around it.
 
-    runs: structs of start and end (pieces of the text that are marked) and before and after (hashes
-    of up to WINDOW - 1 pieces there, outward). row is a hash of the text. Texts are never shuffled here.
+def repeated_runs(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, starts, ends): for each text with later repeated runs their ranges of words, end exclusive.
+
+    row is a hash of the text. Texts are never shuffled here.
     """
     units = written(_rows(docs, id_col, text_col).where("doc_id is not null").mapInArrow(_units, _UNITS), "lines-units")
     selected = units.select("doc_id", "row", F.explode(F.arrays_zip("at", "grams")).alias("s")).select("doc_id", "row", "s.at", F.col("s.grams").alias("gram"))
@@ -185,54 +246,31 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     )
     match = F.struct("at", F.col("f.doc_id").alias("f_doc"), F.col("f.row").alias("f_row"), F.col("f.at").alias("f_at"))
     texts = later.select("row", "doc_id", match.alias("m")).groupBy("row", "doc_id").agg(F.collect_set("m").alias("m"))
-    chains = written(texts.mapInArrow(_chains, f"{_RUNS}, f_doc array<long>, f_row array<long>, f_starts array<int>, f_ends array<int>"), "lines-chains")
-    each = F.explode(F.arrays_zip("starts", "ends", "f_doc", "f_row", "f_starts", "f_ends"))
-    chain = chains.select("row", "doc_id", each.alias("c")).select("row", "doc_id", "c.*")
-    # The pieces around a chain in its first document: a row a document meets its own pieces.
-    asked = chain.groupBy("f_row", "f_doc").agg(F.collect_set(F.struct("f_starts", "f_ends")).alias("asked"))
-    reach = WINDOW - 1
-    low = lambda c: F.greatest(c["f_starts"] - reach, F.lit(0))
-    around = lambda c: F.struct(
-        c["f_starts"].alias("f_starts"), c["f_ends"].alias("f_ends"),
-        F.reverse(F.slice("pieces", low(c) + 1, c["f_starts"] - low(c))).alias("before"), F.slice("pieces", c["f_ends"] + 1, F.lit(reach)).alias("after"),
+    names = [c.split()[0] for c in _CHAIN.split(", ")]
+    chains = written(texts.mapInArrow(_chains, f"row long, doc_id long, {_LISTS}"), "lines-chains")
+    # Both places of a chain ask for the pieces around them: a row a text meets its own pieces.
+    own = chains.select("row", "doc_id", F.explode(F.arrays_zip(*names)).alias("c")).select("row", "doc_id", "c.*")
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    theirs = own.select(
+        F.col("f_row").alias("row"), F.col("f_doc").alias("doc_id"), F.col("f_start").alias("start"), F.col("f_end").alias("end"),
+        *[null(c, "long") for c in ("f_doc", "f_row")], *[null(c, "int") for c in ("f_start", "f_end")],
+    )
+    asked = own.union(theirs).groupBy("row", "doc_id").agg(F.collect_set(F.struct(*names)).alias("asked"))
+    around = written(split_join(units.select("row", "doc_id", "pieces"), asked, ["row", "doc_id"]).mapInArrow(_around, _AROUND), "lines-around")
+    other = around.where("f_doc is null").select(
+        F.col("row").alias("f_row"), F.col("doc_id").alias("f_doc"), F.col("start").alias("f_start"), F.col("end").alias("f_end"), *[F.col(c).alias(f"f_{c}") for c in (*_BEFORE, *_AFTER)]
+    )
+    both = split_join(around.where("f_doc is not null"), other.distinct(), ["f_row", "f_doc", "f_start", "f_end"])
+    run = F.struct(
+        (F.col("first_word") - _agreeing(_BEFORE, [f"f_{c}" for c in _BEFORE])).alias("start"), (F.col("last_word") + _agreeing(_AFTER, [f"f_{c}" for c in _AFTER])).alias("end")
     )
-    pieces = units.select(F.col("row").alias("f_row"), F.col("doc_id").alias("f_doc"), "pieces")
-    own = split_join(pieces, asked, ["f_row", "f_doc"]).select("f_row", "f_doc", F.explode(F.transform("asked", around)).alias("c"))
-    around_chain = own.select("f_row", "f_doc", "c.*").distinct()
-    both = split_join(chain, around_chain, ["f_row", "f_doc", "f_starts", "f_ends"])
-    run = F.struct(F.col("starts").alias("start"), F.col("ends").alias("end"), "before", "after")
-    runs = written(both.groupBy("row", "doc_id").agg(F.collect_set(run).alias("runs")), "lines-runs")
-    for table in (units, chains):
+    runs = both.select("row", "doc_id", run.alias("run")).groupBy("row", "doc_id").agg(F.collect_set("run").alias("runs"))
+    runs = written(runs.mapInArrow(_merged(least_words), "row long, doc_id long, starts array<int>, ends array<int>"), "lines-runs")
+    for table in (units, chains, around):
         discard(table)
     return runs
 
 
-def marked_pieces(hashes: np.ndarray, runs: list[dict]) -> np.ndarray:
-    """Which pieces of a text are repeated: those of the runs, extended while the pieces around agree."""
-    marked = np.zeros(len(hashes), bool)
-    short = hashes.astype(np.uint32).view(np.int32).tolist()
-    for r in runs:
-        a, b = r["start"], r["end"]
-        for x in r["before"]:
-            if a == 0 or short[a - 1] != x:
-                break
-            a -= 1
-        for x in r["after"]:
-            if b == len(short) or short[b] != x:
-                break
-            b += 1
-        marked[a:b] = True
-    return marked
-
-
-def word_ranges(marked: np.ndarray, sizes: np.ndarray, least_words: int) -> list[tuple[int, int]]:
-    """[start, end) ranges of words that marked pieces in a row make, those of at least ``least_words`` words."""
-    inside = np.concatenate(([False], marked, [False]))
-    flips = np.flatnonzero(inside[1:] != inside[:-1])
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    return [(int(bounds[a]), int(bounds[b])) for a, b in zip(flips[::2], flips[1::2]) if bounds[b] - bounds[a] >= least_words]
-
-
 def without_words(text: bytes, gone: list[tuple[int, int]]) -> tuple[int, bytes]:
     """(lines that went whole, text without the ranges of words).
 
@@ -270,26 +308,17 @@ def _without(line: bytes, words: list[bytes], hit: list[tuple[int, int]]) -> byt
     return joined.rstrip() if hit[-1][1] == len(words) else joined
 
 
-def _delete(least_words: int):
-    def run(batches):
-        for batch in parts(batches):
-            texts, runs = batch.column(1), batch.column(2).to_pylist()
-            cut = Cut(texts)
-            rows = []
-            for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts.to_pylist())):
-                gone, whole, left = [], 0, text
-                if runs[k]:
-                    mine = slice(cut.text_at[k], cut.text_at[k + 1])
-                    gone = word_ranges(marked_pieces(cut.hashes[mine], runs[k]), cut.sizes[mine], least_words)
-                if gone:
-                    whole, left = without_words(text, gone)
-                n_lines = 0 if text is None else text.count(b"\n") + 1
-                rows.append((doc_id, n_lines, whole, sum(b - a for a, b in gone), ",".join(f"{a}-{b}" for a, b in gone), left))
-            columns = list(zip(*rows)) or [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "n_lines", "n_removed", "words_removed", "removed", "text"])
-
-    return run
+def _delete(batches):
+    for batch in parts(batches):
+        rows = []
+        for doc_id, text, starts, ends in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            gone = list(zip(starts, ends)) if starts else []
+            whole, left = without_words(text, gone) if gone else (0, text)
+            n_lines = 0 if text is None else text.count(b"\n") + 1
+            rows.append((doc_id, n_lines, whole, sum(b - a for a, b in gone), ",".join(f"{a}-{b}" for a, b in gone), left))
+        columns = list(zip(*rows)) or [()] * 6
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "n_lines", "n_removed", "words_removed", "removed", "text"])
 
 
 def dedup_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,13 +332,13 @@ def dedup_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: str
 
     Only texts in a bucket of hashes with one that loses words are shuffled; the others stay in place.
     """
-    runs = repeated_runs(docs, id_col=id_col, text_col=text_col)
+    runs = repeated_runs(docs, least_words=least_words, id_col=id_col, text_col=text_col)
     bucket = F.pmod(F.xxhash64("doc_id", "row"), F.lit(BUCKETS)).alias("bucket")
     hit = F.broadcast(runs.select(bucket).distinct())
     rows = _rows(docs, id_col, text_col).select("*", bucket)
-    sought = split_join(rows.join(hit, "bucket", "left_semi"), runs, ["row", "doc_id"], "left").select("doc_id", "text", "runs")
+    sought = split_join(rows.join(hit, "bucket", "left_semi"), runs, ["row", "doc_id"], "left").select("doc_id", "text", "starts", "ends")
     schema = "doc_id long, n_lines long, n_removed long, words_removed long, removed string, text binary"
-    cleaned = sought.mapInArrow(_delete(least_words), schema).withColumn("text", F.col("text").cast("string"))
+    cleaned = sought.mapInArrow(_delete, schema).withColumn("text", F.col("text").cast("string"))
     text = F.col("text").cast("string")
     zero = F.lit(0).cast("long")
     lines = F.when(text.isNull(), zero).otherwise(F.regexp_count(text, F.lit("\n")).cast("long") + 1)

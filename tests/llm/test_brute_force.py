@@ -452,6 +452,7 @@ def test_texts_are_cut_alike_alone_and_together():
         alone = line_dedup.Cut([(t or "").encode()])
         assert alone.hashes.tolist() == cut.hashes[mine].tolist() and cut.sizes[mine].max(initial=0) <= line_dedup.PIECE
     together = pa.array([t.encode() for t in texts if t is not None], pa.binary())
+    assert (cut.short_hashes() & 3).tolist() == (cut.sizes - 1).tolist()
     assert line_dedup.Cut(together.slice(3, 40)).hashes.tolist() == cut.hashes[cut.text_at[3] : cut.text_at[43]].tolist()
 
 
