@@ -21,12 +21,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 LEAST_VALUE = 6
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Suppressed candidates: UUIDs; words joined by signs or capitals (paths, identifiers); numbers, dates and rules; documented example keys.
-ALLOWED = (
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
-    r"|^[+/_=-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{3,}|[A-Za-z](?![A-Za-z]))[+/_=-]*)+$"
-    r"|^[0-9+/_=-]+$|(?i:EXAMPLE(?:KEY)?$)"
-)
+#: Suppressed candidates: UUIDs; numbers, dates and rules; documented example keys.
+ALLOWED = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[0-9+/_=-]+$|(?i:EXAMPLE(KEY)?$)"
+#: Suppressed as well: words joined by signs or capitals (paths, identifiers). Without its words such a string has no digit and no two letters in a row.
+WORDS, NO_WORDS = r"[A-Z]?[a-z]{2,}|[A-Z]{3,}", r"[0-9]|[A-Za-z]{2}"
 HEX_ONLY = r"^[0-9a-fA-F]+$"
 WINDOW = 20
 HEX_CHARS = "0123456789abcdef"
@@ -132,7 +130,8 @@ def best_window_bits(found: Column, chars: str) -> Column:
 def _secret_like(found: Column) -> Column:
     is_hex = found.rlike(HEX_ONLY)
     bits = F.when(is_hex, best_window_bits(F.lower(found), HEX_CHARS)).otherwise(best_window_bits(found, KEY_CHARS))
-    return F.when(found.rlike(ALLOWED), F.lit(False)).otherwise(bits >= F.when(is_hex, F.lit(HEX_BITS)).otherwise(F.lit(KEY_BITS)))
+    words = ~F.regexp_replace(found, WORDS, "/").rlike(NO_WORDS)
+    return F.when(found.rlike(ALLOWED) | words, F.lit(False)).otherwise(bits >= F.when(is_hex, F.lit(HEX_BITS)).otherwise(F.lit(KEY_BITS)))
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
