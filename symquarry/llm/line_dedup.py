@@ -74,6 +74,18 @@ def _least(values: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
     return marked
 
 
+def _word_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of words of these sizes that lie behind each other; some at a time, as a byte takes some numbers meanwhile."""
+    spread, ends = _odd(int(sizes.max(initial=0)), 3), np.cumsum(sizes)
+    out = np.empty(len(sizes), np.uint64)
+    for k in range(0, len(sizes), 50_000):
+        mine = sizes[k : k + 50_000]
+        low, begin = int(ends[k] - sizes[k]), np.cumsum(mine) - mine
+        within = np.arange(int(mine.sum())) - np.repeat(begin, mine)
+        out[k : k + 50_000] = np.add.reduceat(_BYTES[letters[low : low + len(within)]] * spread[within], begin)
+    return _mixed(out + sizes.astype(np.uint64))
+
+
 class Cut:
     """The words and pieces of some texts (binary): hashes, where each begins, and the text each belongs to.
 
@@ -97,11 +109,8 @@ class Cut:
         sizes = np.flatnonzero(letter & after) + 1 - start
         self.words = len(start)
         text_of_word = np.searchsorted(bounds, start, side="right") - 1
-        line = np.cumsum(data == 10)[start] + text_of_word
-        begin = np.cumsum(sizes) - sizes
-        within = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
-        spread = _odd(int(sizes.max(initial=0)), 3)
-        hashes = _mixed(np.add.reduceat(_BYTES[data[letter]] * spread[within], begin) + sizes.astype(np.uint64)) if self.words else np.zeros(0, np.uint64)
+        line = np.searchsorted(np.flatnonzero(data == 10), start) + text_of_word
+        hashes = _word_hashes(data[letter], sizes)
         self.first = np.flatnonzero(_least(hashes, line, PIECE) | np.concatenate(([True], line[1:] != line[:-1]))[: self.words])
         self.sizes = np.diff(np.append(self.first, self.words))
         within = np.arange(self.words) - np.repeat(self.first, self.sizes)
@@ -141,7 +150,7 @@ def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arr
 
 
 def _units(batches):
-    for batch in parts(batches):
+    for batch in parts(batches, size=2 << 20):
         cut = Cut(batch.column(2))
         at, grams = cut.fingerprints()
         owner = cut.owner[at]
