@@ -4,7 +4,6 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from symquarry.llm import ann, decontaminate, line_dedup, mixing, quality, secrets, sharding, simhash, store, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size string, shard int, key string, z double, h string, part int"
@@ -136,34 +135,6 @@ def test_no_vectors_and_no_pages(spark):
     assert warc.round_trip(pages).collect() == []
 
 
-def test_pipeline_stages(spark):
-    sf = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
-    grammar = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    out = corpus_pipeline.run(spark, sf).collect()
-    # Each stage again, from its operator's own report on what the one before kept.
-    texts = {r.doc_id: r for r in docs.collect()}
-    ids = {i for i, r in texts.items() if grammar.score(r.text) < toxicity.THRESHOLD}
-    left = docs.where(F.col("doc_id").isin(sorted(ids)))
-    classes = {r.doc_id: r.keep_id for r in simhash.copy_classes(left).collect()}
-    ids = {i for i in ids if classes[i] == i}
-    left = docs.where(F.col("doc_id").isin(sorted(ids)))
-    ids = {r.doc_id for r in decontaminate.contamination_digest(decontaminate.contamination(left, benchmark)).collect() if not r.contaminated}
-    left = docs.where(F.col("doc_id").isin(sorted(ids)))
-    times = {r.doc_id: r.taken // r.size for r in mixing.mix(left).collect() if r.taken}
-    got = {}
-    for r in out:
-        got[r.doc_id] = got.get(r.doc_id, 0) + 1
-        assert r.text == texts[r.doc_id].text
-    assert got == times
-    sizes = {}
-    for r in out:
-        sizes[r.shard] = sizes.get(r.shard, 0) + len((r.text or "").encode()) + 1
-    assert sorted(sizes) == list(range(8)) and max(sizes.values()) < 1.2 * sum(sizes.values()) / 8
-    assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
-
-
 def test_slices_hold_bounded_text_and_every_row():
     texts = ["a" * 10, None, "b" * 500, "", "c" * 30, "d" * 30, "e" * 200]
     batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["id", "text"])
