@@ -343,6 +343,7 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # Another hub, drawn by a hash that changes with the turn.
         hubs = still.groupBy("key").agg(F.min_by("s", F.struct(F.xxhash64("s.rep", F.lit(turn)), "s.rep")).alias("c"))
         more = written(_ordered(_star(still.drop("comp"), hubs)).join(done, ["a", "b"], "left_anti"), "copies-pairs")
+        discard(still)
         found, done = found.union(_alike(picked, nodes, more)), done.union(more)
         still, rows, left = _open_members(members, found)
     if left:
@@ -350,7 +351,10 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = found.union(_alike(picked, nodes, rest))
     classes = connected_components(found)
     label = nodes.join(classes, nodes.rep == classes.node, "left").select("words_hash", F.coalesce("component", "rep").alias("keep_id"))
-    return traits.select("doc_id", "words_hash").join(written(label, "copies-labels"), "words_hash").select("doc_id", "keep_id")
+    label = written(label, "copies-labels")
+    for spent in (nodes, by_fp, members):
+        discard(spent)
+    return traits.select("doc_id", "words_hash").join(label, "words_hash").select("doc_id", "keep_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
