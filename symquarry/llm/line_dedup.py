@@ -150,7 +150,7 @@ def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arr
 
 
 def _units(batches):
-    for batch in parts(batches, size=2 << 20):
+    for batch in parts(batches, size=1 << 20):
         cut = Cut(batch.column(2))
         at, grams = cut.fingerprints()
         owner = cut.owner[at]
@@ -318,7 +318,7 @@ def _without(line: bytes, words: list[bytes], hit: list[tuple[int, int]]) -> byt
 
 
 def _delete(batches):
-    for batch in parts(batches):
+    for batch in parts(batches, size=2 << 20):
         rows = []
         for doc_id, text, starts, ends in zip(*(batch.column(c).to_pylist() for c in range(4))):
             gone = list(zip(starts, ends)) if starts else []
