@@ -31,7 +31,7 @@ from symquarry.llm.store import new_path, shared_files, shuffle_partitions, writ
 BOOKS, WORDS, BEAM = 8, 256, 8
 #: Cells that a query looks into (all: fewer lose neighbours among vectors without clusters, see the README),
 #: rows of a batch that are scored exactly, queries of a block, rows of a batch.
-PROBES, RERANK, BLOCK, BATCH = WORDS, 200, 256, 8192
+PROBES, RERANK, BLOCK, BATCH = WORDS, 400, 256, 8192
 
 
 class Codebooks:
