@@ -12,8 +12,9 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from symquarry.extract.table import extract_symbols
@@ -104,38 +105,40 @@ def _refresh(spark: SparkSession, folder: Folder, config: Config, full: bool, ro
         apart = stored.limit(0)
     states = repositories.git_states(spark.createDataFrame(found, "name string, root string")).cache()
     looked_at = stored.join(apart.select("id"), "id", "left_anti")
-    pruned = sum(r.root not in here for r in looked_at.select("root").collect())
+    # One row a repository, here and below, is all that reaches the driver.
+    known_names = {(r.root, r.name) for r in looked_at.select("root", "name").collect()}
+    pruned = sum(root not in here for root, _ in known_names)
     scan = diff.repos_to_scan(states, stored.drop("version"), full).cache()
+    n_states, n_scanned = states.count(), scan.count()
+    counters = {"repos": n_states + apart.count(), "skipped": n_states - n_scanned, "pruned": pruned, "failed": 0, "indexed": 0, "removed": 0, "symbols": 0}
+    if commits and not n_scanned and known_names == {(root, name) for name, root in found}:
+        for df in (stored, states, scan):
+            df.unpersist()
+        return counters  # nothing is different: the last commit stands
     listed = repositories.tracked_files(scan, config.index.ignored if config.index.ignores else None).cache()
     failed = listed.where("path is null").select("root", F.lit(True).alias("failed")).distinct()
     repo_id = F.xxhash64("root")
     current = listed.where("path is not null").select(repo_id.alias("repo_id"), "root", "path", "mtime_ns", "size")
-    scanned = scan.join(failed, "root", "left_anti").select(repo_id.alias("repo_id"))
-    counters = {"repos": states.count() + apart.count(), "pruned": pruned, "failed": failed.count(), "indexed": 0, "removed": 0, "symbols": 0}
-    n_scanned = scan.count()
-    counters["skipped"] = states.count() - n_scanned
     version = uuid.uuid4().hex[:12]
-    changed: set[int] = set()
+    changed: list[int] = []
     if n_scanned:
+        counters["failed"] = failed.count()
+        scanned = scan.join(failed, "root", "left_anti").select(repo_id.alias("repo_id"))
         files = _table(spark, folder, "files", stored)
         known = files.join(scanned, "repo_id", "left_semi").cache()
         fresh = diff.changed_files(current, known, full).select(*current.columns)
         gone = diff.removed_files(known, current).select("id", "repo_id").cache()
-        work = f"work-{version}"
-        counters |= _write_changed(spark, folder, config, files, stored, fresh, gone, version, work)
-        touched = spark.read.parquet(f"{folder.path}/{work}").select("repo_id").union(gone.select("repo_id")).distinct()
-        changed = {r.repo_id for r in touched.collect()}  # one number a repository
-        folder.delete(work)
+        changed = _write_changed(spark, folder, config, files, stored, fresh, gone, version, counters)
         known.unpersist()
         gone.unpersist()
     now = int(time.time())
-    before = stored.select("root", F.col("name").alias("old_name"), F.col("head").alias("old_head"), "indexed_at", F.col("version").alias("old_version"))
+    before = stored.select("root", F.col("head").alias("old_head"), "indexed_at", F.col("version").alias("old_version"))
     repos = states.join(scan.select("root", F.lit(True).alias("scanned")), "root", "left").join(failed, "root", "left").join(before, "root", "left")
     repos = repos.select(
         repo_id.alias("id"), "name", "root", F.when(F.col("failed"), F.col("old_head")).otherwise(F.col("head")).alias("head"),
         (F.col("dirty") | F.coalesce("failed", F.lit(False))).alias("dirty"),
         F.when(F.col("scanned"), F.lit(now)).otherwise(F.col("indexed_at")).cast("long").alias("indexed_at"),
-        F.when(repo_id.isin(sorted(changed)) | F.col("old_version").isNull(), F.lit(version)).otherwise(F.col("old_version")).alias("version"),
+        F.when(repo_id.isin(changed) | F.col("old_version").isNull(), F.lit(version)).otherwise(F.col("old_version")).alias("version"),
     ).unionByName(apart)
     # The state of repositories comes last: until the commit nothing of this run counts.
     repos.coalesce(1).write.parquet(f"{folder.path}/repos-{version}")
@@ -147,31 +150,38 @@ def _refresh(spark: SparkSession, folder: Folder, config: Config, full: bool, ro
     return counters
 
 
-def _write_changed(spark, folder: Folder, config: Config, files: DataFrame, stored: DataFrame, fresh: DataFrame, gone: DataFrame, version: str, work: str) -> dict[str, int]:
-    """Parses changed files and writes the repositories that they or removed files belong to."""
+def _write_changed(spark, folder: Folder, config: Config, files: DataFrame, stored: DataFrame, fresh: DataFrame, gone: DataFrame, version: str, counters: dict[str, int]) -> list[int]:
+    """Parses changed files and writes the repositories that they or removed files belong to; returns those, and counts."""
     parsed = repositories.with_contents(fresh, config.index.max_file_size)
     keys = [F.xxhash64("repo_id", "path").alias("id"), "repo_id", "path", normalize(F.col("path")).alias("path_norm"), "mtime_ns", "size", "lang"]
     # One reading of the changed files feeds both tables.
+    work = f"work-{version}"
     parsed.select(*keys, "content").write.parquet(f"{folder.path}/{work}")
     new = spark.read.parquet(f"{folder.path}/{work}")
-    counts = {"indexed": new.count(), "removed": gone.count(), "symbols": 0}
-    if not counts["indexed"] and not counts["removed"]:
-        return counts
-    rows = extract_symbols(new.select("id", "repo_id", "path", "path_norm", "lang", "content"), resolve_yaml=config.index.resolve_yaml)
-    code = with_norms(rows).withColumn("file_id", F.col("id"))
-    code = code.withColumn("id", F.xxhash64("file_id", "line", "kind", "name", "scope", "ordinal"))
-    symbols = file_rows(new).select(*_names(SYMBOLS)).unionByName(code.select(*_names(SYMBOLS)))
-    stale = new.select("id").union(gone.select("id"))
-    touched = new.select("repo_id").union(gone.select("repo_id")).distinct()
-
-    def kept(table: DataFrame, key: str) -> DataFrame:
-        return table.join(touched, "repo_id", "left_semi").join(stale.select(F.col("id").alias(key)), key, "left_anti").select(*table.columns)
-
-    _write(kept(files, "id").unionByName(new.select(*_names(FILES))), f"{folder.path}/files/version={version}")
-    _write(kept(_table(spark, folder, "symbols", stored), "file_id").unionByName(symbols), f"{folder.path}/symbols/version={version}")
-    written = spark.read.parquet(f"{folder.path}/symbols/version={version}")
-    counts["symbols"] = written.where("kind <> 'file'").join(new.select(F.col("id").alias("file_id")), "file_id", "left_semi").count()
-    return counts
+    both = new.select("repo_id", F.lit(1).alias("new"), F.lit(0).alias("gone")).union(gone.select("repo_id", F.lit(0), F.lit(1)))
+    per_repo = both.groupBy("repo_id").agg(F.sum("new").alias("new"), F.sum("gone").alias("gone")).collect()
+    counters |= {"indexed": sum(r.new for r in per_repo), "removed": sum(r.gone for r in per_repo)}
+    touched = sorted(r.repo_id for r in per_repo)
+    if touched:
+        seen = Observation()
+        rows = extract_symbols(new.select("id", "repo_id", "path", "path_norm", "lang", "content"), resolve_yaml=config.index.resolve_yaml)
+        code = with_norms(rows).withColumn("file_id", F.col("id"))
+        code = code.withColumn("id", F.xxhash64("file_id", "line", "kind", "name", "scope", "ordinal")).observe(seen, F.count("*").alias("n"))
+        symbols = file_rows(new).select(*_names(SYMBOLS)).unionByName(code.select(*_names(SYMBOLS)))
+        stale = new.select("id").union(gone.select("id"))
+
+        def kept(table: DataFrame, key: str) -> DataFrame:
+            return table.where(F.col("repo_id").isin(touched)).join(stale.select(F.col("id").alias(key)), key, "left_anti").select(*table.columns)
+
+        tables = {
+            "files": kept(files, "id").unionByName(new.select(*_names(FILES))),
+            "symbols": kept(_table(spark, folder, "symbols", stored), "file_id").unionByName(symbols),
+        }
+        with ThreadPoolExecutor(len(tables)) as pool:
+            list(pool.map(lambda t: _write(tables[t], f"{folder.path}/{t}/version={version}"), tables))
+        counters["symbols"] = seen.get["n"]
+    folder.delete(work)
+    return touched
 
 
 def _write(df: DataFrame, path: str) -> None:
