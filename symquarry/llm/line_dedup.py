@@ -8,19 +8,19 @@ piece is longer than PIECE words.
 1. Winnowing: a fingerprint is the hash of GRAM successive pieces. Of each WINDOW successive
    fingerprints of a document the least is selected.
 2. Selected fingerprints that occur again are joined with their first occurrence by (doc_id, row,
-   position); a common passage costs a row per occurrence and never a pair. Later ones mark their
-   pieces. As WINDOW is below GRAM, those selected inside a shared run leave no gap between them.
-3. Matches that go on along the same first document are one chain. Both ends of a chain are extended
-   piece by piece while that document agrees; a run ends within WINDOW - 1 pieces of its last match.
-4. Marked pieces in a row are a run; runs of LEAST_WORDS words are deleted.
+   position); a common passage costs a row per occurrence and never a pair.
+3. Later matches that go on without a gap along the same first document are one chain. Both ends of
+   a chain are extended piece by piece while that document agrees (30 bits of the pieces' hashes, and
+   their words): a run ends, and the next match inside it begins, within WINDOW - 1 pieces.
+4. Chains that meet are a run; runs of LEAST_WORDS words are deleted.
 
 Guarantee: of any ASSURED words in a row that two places share at least one fingerprint is selected in
-both, and the later place loses all but the ends: up to 2 * PIECE - 1 words that may be cut
-differently, and, only where the fingerprint next to the end first occurred in another document that
-doesn't go on alike, up to WINDOW - 1 pieces more. (The first and last PIECE - 1 words may be cut
-differently, and one piece reaches beyond them; between them are at least ASSURED - 4 * PIECE + 3
-words, so GRAM + WINDOW - 1 pieces.) Shorter runs, down to LEAST_WORDS, go where the selection meets
-them; what goes always occurs before.
+both. The later place loses all but up to 2 * PIECE - 1 words at either end, and, only where a
+fingerprint next to an end or a gap first occurred in a third document that doesn't go on alike, up
+to WINDOW - 1 pieces there. (The first and last PIECE - 1 words may be cut differently, and one piece
+reaches beyond them; between them are at least ASSURED - 4 * PIECE + 3 words, so GRAM + WINDOW - 1
+pieces.) Shorter runs, down to LEAST_WORDS, go where the selection meets them; what goes always
+occurs before.
 """
 
 from __future__ import annotations
